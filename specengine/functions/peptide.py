@@ -72,16 +72,17 @@ def parse_mod_sequence(mod_sequence: Column) -> Column:
     """
     body = F.regexp_replace(mod_sequence, r"^n\[[^\]]*\]", "")
     residues = F.regexp_extract_all(body, F.lit(r"([A-Za-z](?:\[[^\]]*\])?)"), F.lit(1))
-    inner = F.transform(residues, lambda r, i: F.struct(
-        (i + 1).alias("pos"),
-        F.substring(r, 1, 1).alias("aa"),
-        F.regexp_extract(r, r"\[([^\]]*)\]", 1).try_cast("double").alias("mass_change"),
-    ))
-    leading = F.regexp_extract(mod_sequence, r"^n\[([^\]]*)\]", 1).try_cast("double")
-    terminal = F.array(F.struct(
-        F.lit(1).alias("pos"), F.substring(body, 1, 1).alias("aa"), leading.alias("mass_change")
-    ))
-    return F.filter(F.concat(terminal, inner), lambda m: m.mass_change.isNotNull())
+    marked = F.filter(
+        F.transform(residues, lambda r, i: F.struct((i + 1).cast("int").alias("pos"), r.alias("r"))),
+        lambda x: F.length(x.r) > 1)
+    inner = F.transform(marked, lambda x: F.struct(
+        x.pos.alias("pos"), F.substring(x.r, 1, 1).alias("aa"),
+        F.substring(x.r, F.lit(3), F.length(x.r) - 3).try_cast("double").alias("mass_change")))
+    leading = F.when(mod_sequence.startswith("n["), F.array(F.struct(
+        F.lit(1).alias("pos"), F.substring(body, 1, 1).alias("aa"),
+        F.regexp_extract(mod_sequence, r"^n\[([^\]]*)\]", 1).try_cast("double").alias(
+            "mass_change")))).otherwise(F.array().cast("array<struct<pos:int,aa:string,mass_change:double>>"))
+    return F.filter(F.concat(leading, inner), lambda m: m.mass_change.isNotNull())
 
 
 def format_mod_sequence(sequence: Column, mods: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from specengine.functions.arrays import let
 from specengine.functions.masses import HYDROGEN, PROTON, k_mass_index, precursor_mass
 
 PEAKS = "array<struct<mz:double,intensity:double>>"
@@ -63,8 +64,6 @@ def intensities(peaks: Column) -> Column:
 
 def remove_isotopes(peaks: Column, above: float = 200.0) -> Column:
     """Of peaks less than 0.95 apart keep the strongest, moving along; low m/z is skipped."""
-    high = F.filter(peaks, lambda p: p.mz > above)
-
     def step(out: Column, p: Column) -> Column:
         last = F.try_element_at(out, F.lit(-1))
         near = last.isNotNull() & (p.mz < last.mz + 0.95)
@@ -75,8 +74,9 @@ def remove_isotopes(peaks: Column, above: float = 200.0) -> Column:
             .otherwise(F.concat(out, F.array(p)))
         )
 
-    return F.when(F.size(high) == 0, peaks).otherwise(
-        F.aggregate(high, F.array().cast(PEAKS), step))
+    high = F.filter(peaks, lambda p: p.mz > above)
+    return let(F.aggregate(high, F.array().cast(PEAKS), step),
+               lambda out: F.when(F.size(out) == 0, peaks).otherwise(out))
 
 
 def remove_parent(peaks: Column, parent_mz: Column, charge: Column, width: float = 2.0) -> Column:
@@ -91,9 +91,9 @@ def mass_window(peaks: Column, low: float, high: float) -> Column:
 
 def normalize_dynamic_range(peaks: Column, top: float = 100.0) -> Column:
     """Scale the strongest peak to `top`; drop what is below 1."""
-    factor = F.array_max(intensities(peaks)) / F.lit(top)
-    scaled = F.transform(peaks, lambda p: F.struct(
-        p.mz.alias("mz"), (p.intensity / factor).alias("intensity")))
+    scaled = let(F.array_max(intensities(peaks)) / F.lit(top), lambda factor: F.transform(
+        peaks, lambda p: F.struct(
+            p.mz.alias("mz"), (p.intensity / factor).alias("intensity"))))
     return F.filter(scaled, lambda p: p.intensity >= 1)
 
 
@@ -241,21 +241,23 @@ def k_vectors(spectra: DataFrame) -> DataFrame:
 
 def comet_normalize(peaks: Column) -> Column:
     """Square roots scaled to 100, ten windows to 50, small peaks to zero."""
-    roots = F.transform(peaks, lambda p: F.struct(
-        p.mz.alias("mz"), F.sqrt(p.intensity).alias("intensity")))
-    highest = F.array_max(intensities(roots))
-    width = (F.element_at(peaks, -1).mz + 0.5) / 10
-    windows = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda w: F.array_max(F.transform(
-        F.filter(roots, lambda p: (p.mz / width).cast("int") == w),
-        lambda p: p.intensity / highest * 100)))
+    def scaled_roots(highest: Column) -> Column:
+        return F.transform(peaks, lambda p: F.struct(
+            p.mz.alias("mz"), (F.sqrt(p.intensity) / highest * 100).alias("intensity")))
 
-    def scale(p: Column) -> Column:
-        value = p.intensity / highest * 100
-        top = F.get(windows, (p.mz / width).cast("int"))
-        return F.struct(p.mz.alias("mz"), F.when(value < 5.0, 0.0).when(
-            top > 0, 50.0 / top * value).otherwise(value).alias("intensity"))
+    def in_windows(roots: Column, width: Column) -> Column:
+        window = lambda p: (p.mz / width).cast("int")
+        tops = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda w: F.array_max(
+            intensities(F.filter(roots, lambda p: window(p) == w))))
+        return let(tops, lambda top: F.transform(roots, lambda p: F.struct(
+            p.mz.alias("mz"),
+            F.when(p.intensity < 5.0, 0.0).when(
+                F.get(top, window(p)) > 0, 50.0 / F.get(top, window(p)) * p.intensity
+            ).otherwise(p.intensity).alias("intensity"))))
 
-    return F.transform(roots, scale)
+    return let(F.sqrt(F.array_max(intensities(peaks))), lambda highest: let(
+        scaled_roots(highest), lambda roots: let(
+            (F.element_at(roots, -1).mz + 0.5) / 10, lambda width: in_windows(roots, width))))
 
 
 def comet_bin(mz: Column, width: float = 0.03, offset: float = 0.0) -> Column:
@@ -274,27 +276,33 @@ def comet_bin_weights(peaks: DataFrame) -> DataFrame:
 
 def probid_truncate(peaks: Column, per_third: int = 100) -> Column:
     """Long peak lists keep the 100 strongest of each third of the m/z range."""
-    low, high = F.get(peaks, F.lit(0)).mz, F.element_at(peaks, -1).mz
-    step = ((high - low) / 3).cast("int")
-    edges = [(low, low + step), (low + step, low + 2 * step), (low + 2 * step, high)]
-    thirds = [
-        top_n_peaks(F.filter(peaks, lambda p, a=a, b=b: (p.mz >= a) & (p.mz < b)), per_third)
-        for a, b in edges
-    ]
-    return F.when(F.size(peaks) < 3 * per_third, peaks).otherwise(F.concat(*thirds))
+    def thirds(low: Column, high: Column, step: Column) -> Column:
+        edges = [(low, low + step), (low + step, low + 2 * step), (low + 2 * step, high)]
+        return F.concat(*[top_n_peaks(_between(peaks, a, b), per_third) for a, b in edges])
+
+    cut = let(F.get(peaks, F.lit(0)).mz, lambda low: let(
+        F.element_at(peaks, -1).mz, lambda high: thirds(
+            low, high, ((high - low) / 3).cast("int"))))
+    return F.when(F.size(peaks) < 3 * per_third, peaks).otherwise(cut)
+
+
+def _between(peaks: Column, low: Column, high: Column) -> Column:
+    return F.filter(peaks, lambda p: (p.mz >= low) & (p.mz < high))
 
 
 def probid_normalize(peaks: Column, groups: int = 5, top: float = 200.0) -> Column:
     """Runs of equal length scaled so that the strongest of each has 200."""
-    run = F.floor(F.size(peaks) / groups).cast("int")
-    maxima = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(peaks) - 1) / run).cast("int")),
-        lambda g: F.array_max(F.transform(
-            F.slice(peaks, g * run + 1, run), lambda p: p.intensity)))
-    return F.when(run < 1, peaks).otherwise(F.transform(peaks, lambda p, i: F.struct(
-        p.mz.alias("mz"),
-        (p.intensity * (F.lit(top) / F.get(maxima, F.floor(i / run).cast("int")))).alias("intensity"),
-    )))
+    def scale(ps: Column, run: Column) -> Column:
+        maxima = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / run).cast("int")),
+            lambda g: F.array_max(intensities(F.slice(ps, g * run + 1, run))))
+        return let(maxima, lambda m: F.transform(ps, lambda p, i: F.struct(
+            p.mz.alias("mz"),
+            (p.intensity * (F.lit(top) / F.get(m, F.floor(i / run).cast("int")))).alias(
+                "intensity"))))
+
+    return let(peaks, lambda ps: F.when(F.size(ps) < groups, ps).otherwise(let(
+        F.floor(F.size(ps) / groups).cast("int"), lambda run: scale(ps, run))))
 
 
 def morpheus_shift(peaks: Column, charge: Column) -> Column:

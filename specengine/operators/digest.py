@@ -30,19 +30,19 @@ def cut_pieces(sequence: Column, rule: str = "trypsin") -> Column:
 
 
 def piece_starts(sequence: Column, rule: str = "trypsin") -> Column:
-    """0-based start of every piece, in one pass over the residues."""
+    """0-based start of every piece, in one pass over neighbouring residues."""
     after, not_before = rule_residues(rule)
     letters = F.split(sequence, "")
+    following = F.concat(F.slice(letters, F.lit(2), F.greatest(F.lit(0), F.length(sequence) - 1)),
+                         F.array(F.lit("")))
 
-    def cut(p: Column) -> Column:
-        here = F.get(letters, p - 1).isin(*after)
-        return here & ~F.get(letters, p).isin(*not_before) if not_before else here
+    def cut(here: Column, then: Column) -> Column:
+        ok = here.isin(*after) & (then != "")
+        return ok & ~then.isin(*not_before) if not_before else ok
 
-    inner = F.when(
-        F.length(sequence) > 1,
-        F.filter(F.sequence(F.lit(1), F.length(sequence) - 1), cut),
-    ).otherwise(F.array().cast("array<int>"))
-    return F.concat(F.array(F.lit(0)), inner)
+    marks = F.transform(F.zip_with(letters, following, cut),
+                        lambda mark, i: F.when(mark, (i + 1).cast("int")))
+    return F.concat(F.array(F.lit(0)), F.filter(marks, lambda m: m.isNotNull()))
 
 
 def digest(proteins: DataFrame, rule: str = "trypsin", missed: int = 0,

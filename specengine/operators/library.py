@@ -166,14 +166,14 @@ def fasta_statistics(proteins: DataFrame, rule: str = "trypsin") -> DataFrame:
         F.lit("protein_length").alias("what"),
         F.expr("div(length(sequence), 100) * 100").cast("long").alias("bin"),
     )
+    whole = lambda kind: F.floor(
+        peptide_nano(F.col("sequence"), kind) / 10**9).cast("long")
     fragments = digest(proteins, rule).select(
         F.explode(F.array(
             F.struct(F.lit("fragment_length").alias("what"),
                      F.length("sequence").cast("long").alias("bin")),
-            F.struct(F.lit("mono_mass"),
-                     F.floor(peptide_nano(F.col("sequence")) / 10**9).cast("long")),
-            F.struct(F.lit("average_mass"),
-                     F.floor(peptide_nano(F.col("sequence"), "average") / 10**9).cast("long")),
+            F.struct(F.lit("mono_mass").alias("what"), whole("mono").alias("bin")),
+            F.struct(F.lit("average_mass").alias("what"), whole("average").alias("bin")),
         )).alias("s")
     ).select("s.*")
     return lengths.unionByName(fragments).groupBy("what", "bin").agg(

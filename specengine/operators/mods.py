@@ -66,16 +66,17 @@ def _site(mod: Modification, pos: Column, letter: Column) -> Column:
     )
 
 
+def _inner_sites(sequence: Column, mod: Modification) -> Column:
+    every = F.transform(F.split(sequence, ""), lambda c, i: _site(mod, i + 1, c))
+    return F.filter(every, lambda s: s.aa == mod.residue) if mod.residue else every
+
+
 def _sites(sequence: Column, mods: list[Modification]) -> Column:
     """Every (modification, residue) place in a peptide, ordered by position."""
-    letters = F.split(sequence, "")
     found = [F.array().cast(MOD_TYPE)]
     for mod in mods:
         if mod.restriction == GLOBAL:
-            found.append(F.filter(
-                F.transform(letters, lambda c, i, m=mod: _site(m, i + 1, c)),
-                lambda s, m=mod: s.aa == m.residue if m.residue else F.lit(True),
-            ))
+            found.append(_inner_sites(sequence, mod))
             continue
         pos = F.lit(1) if mod.restriction == N_TERMINAL else F.length(sequence)
         letter = F.substring(sequence, pos, F.lit(1))

@@ -14,6 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specengine.functions.arrays import let
 from specengine.functions.masses import k_mass_index
 from specengine.functions.spectrum import factorial
 from specengine.operators import condition as C
@@ -58,9 +59,11 @@ def k_credit_sets(ions: Column) -> Column:
     else half when one falls next to it.  Both sets depend on the peptide
     only, so they are made once per peptide.
     """
-    hit = F.array_distinct(F.transform(ions, lambda x: k_mass_index(x.mz)))
-    beside = F.concat(F.transform(hit, lambda k: k + 1), F.transform(hit, lambda k: k - 1))
-    return F.struct(hit.alias("full"), F.array_except(beside, hit).alias("half"))
+    def sets(hit: Column) -> Column:
+        beside = F.concat(F.transform(hit, lambda k: k + 1), F.transform(hit, lambda k: k - 1))
+        return F.struct(hit.alias("full"), F.array_except(beside, hit).alias("half"))
+
+    return let(F.array_distinct(F.transform(ions, lambda x: k_mass_index(x.mz))), sets)
 
 
 def _at(vector: Column, k: Column) -> Column:
@@ -115,16 +118,19 @@ def _tandem_theory(library: DataFrame) -> DataFrame:
         keyed = F.transform(long_ones, lambda x: F.struct(
             (x.z * 100_000 + tandem_index(x.mz)).alias("k"), x.type.alias("type"),
             x.weight.alias("weight")))
-        keys = F.array_distinct(F.transform(keyed, lambda x: x.k))
 
-        def one(k: Column) -> Column:
-            here = F.filter(keyed, lambda x: x.k == k)
+        def one(here: Column, k: Column) -> Column:
             return F.struct(
                 (k % 100_000).cast("int").alias("k"),
                 F.element_at(here, -1).type.alias("type"),
                 F.aggregate(here, F.lit(0.0), lambda t, x: t + x.weight).alias("weight"))
 
-        return F.transform(keys, one)
+        def merged(all_: Column) -> Column:
+            keys = F.array_distinct(F.transform(all_, lambda x: x.k))
+            return F.transform(keys, lambda k: let(
+                F.filter(all_, lambda x: x.k == k), lambda here: one(here, k)))
+
+        return let(keyed, merged)
 
     return _two_caps(library, build)
 
@@ -282,31 +288,34 @@ def ion_credits(ions: Column) -> Column:
     first; a direct hit that comes after a half payment gets the other half.
     Only direct hits are counted.
     """
-    index = F.transform(ions, lambda x: k_mass_index(x.mz))
-    kinds = F.transform(ions, lambda x: x.type)
-    touched = F.array_distinct(F.flatten(F.transform(
-        index, lambda k: F.array(k, k + 1, k - 1))))
-
-    def first_of(k: Column) -> Column:
-        at = F.array_position(index, k).cast("int")
-        return F.when(at > 0, at)
-
-    def split(k: Column) -> Column:
-        direct = first_of(k)
-        beside = F.least(F.coalesce(first_of(k - 1), first_of(k + 1)),
-                         F.coalesce(first_of(k + 1), first_of(k - 1)))
-        late = direct.isNull() | (beside < direct)
-        half = F.when(beside.isNotNull() & late, 0.5).otherwise(0.0)
-        whole = F.when(direct.isNull(), 0.0).otherwise(1.0 - half)
-        of = lambda at, kind: F.coalesce(F.get(kinds, at - 1) == kind, F.lit(False))
-        part = lambda kind: (
-            F.when(of(direct, kind), whole).otherwise(0.0)
-            + F.when(of(beside, kind), half).otherwise(0.0))
-        return F.struct(
-            k.alias("k"), part("b").alias("b"), part("y").alias("y"),
-            of(direct, "b").cast("int").alias("nb"), of(direct, "y").cast("int").alias("ny"))
-
-    return F.transform(touched, split)
+    def split(index: Column, kinds: Column, k: Column) -> Column:
+        def first_of(i: Column) -> Column:
+            at = F.array_position(index, i).cast("int")
+            return F.when(at > 0, at)
+
+        def pay(direct: Column, beside: Column) -> Column:
+            late = direct.isNull() | (beside < direct)
+            half = F.when(beside.isNotNull() & late, 0.5).otherwise(0.0)
+            whole = F.when(direct.isNull(), 0.0).otherwise(1.0 - half)
+            of = lambda at, kind: F.coalesce(
+                F.get(kinds, at - 1) == kind, F.lit(False))
+            part = lambda kind: (
+                F.when(of(direct, kind), whole).otherwise(0.0)
+                + F.when(of(beside, kind), half).otherwise(0.0))
+            return F.struct(
+                k.alias("k"), part("b").alias("b"), part("y").alias("y"),
+                of(direct, "b").cast("int").alias("nb"), of(direct, "y").cast("int").alias("ny"))
+
+        return let(first_of(k), lambda direct: let(
+            F.least(first_of(k - 1), first_of(k + 1)), lambda beside: pay(direct, beside)))
+
+    def every(index: Column, kinds: Column) -> Column:
+        touched = F.array_distinct(F.flatten(F.transform(
+            index, lambda k: F.array(k, k + 1, k - 1))))
+        return F.transform(touched, lambda k: split(index, kinds, k))
+
+    return let(F.transform(ions, lambda x: k_mass_index(x.mz)), lambda index: let(
+        F.transform(ions, lambda x: x.type), lambda kinds: every(index, kinds)))
 
 
 def ion_use(matches: DataFrame, vectors: DataFrame, library: DataFrame) -> DataFrame:

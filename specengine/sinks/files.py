@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from specengine.operators.library import db_sizes
 
 FASTA_WIDTH = 80
+MASS_BAND = 100
 
 
 def write_fasta(proteins: DataFrame, path: str, width: int = FASTA_WIDTH) -> None:
@@ -41,20 +42,24 @@ def write_mgf_expect(spectra: DataFrame, path: str, max_expect: float) -> None:
     write_mgf(spectra.filter((F.col("expect") <= max_expect) & (F.col("expect") != 0)), path)
 
 
-def with_mass_int(peptides: DataFrame) -> DataFrame:
-    return peptides.withColumn("mass_int", F.col("matching_mass").cast("int"))
+def with_mass_int(peptides: DataFrame, band: int) -> DataFrame:
+    """Add the whole mass and the band of masses that is stored together."""
+    mass_int = F.col("matching_mass").cast("int")
+    return peptides.withColumn("mass_int", mass_int).withColumn(
+        "mass_band", F.floor(F.col("mass_int") / band).cast("int"))
 
 
 def write_peptide_db(peptides: DataFrame, path: str, mode: str = "overwrite",
-                     files_per_mass: int = 1) -> None:
-    """Parquet partitioned by whole mass.
+                     band: int = MASS_BAND) -> None:
+    """Parquet in folders of 100 Da, range-placed and sorted by mass.
 
-    Rows of a mass go to `files_per_mass` tasks by hash, so a crowded mass can
-    be written by many tasks and the others do not make thousands of files.
+    A lookup reads one folder, and the minimum and maximum of each row group
+    skip what is not of that mass.  Rows are placed by (mass, sequence), so a
+    crowded mass is written by several tasks, and a task writes to few folders.
     """
-    slot = F.pmod(F.xxhash64("mod_sequence"), F.lit(files_per_mass))
-    with_mass_int(peptides).repartition("mass_int", slot).write.mode(mode).partitionBy(
-        "mass_int").parquet(path)
+    order = ["mass_band", "mass_int", "mod_sequence"]
+    with_mass_int(peptides, band).repartitionByRange(*order).sortWithinPartitions(
+        *order).write.mode(mode).partitionBy("mass_band").parquet(path)
 
 
 def guarantee_peptide_db(peptides: DataFrame, path: str) -> None:
@@ -66,16 +71,20 @@ def read_peptide_db(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def peptides_of_mass(spark: SparkSession, path: str, mass_int: int) -> DataFrame:
-    """Library rows of one whole mass; only that partition is read."""
-    return read_peptide_db(spark, path).filter(F.col("mass_int") == mass_int)
+def peptides_of_mass(spark: SparkSession, path: str, mass_int: int,
+                     band: int = MASS_BAND) -> DataFrame:
+    """Library rows of one whole mass: one folder, and a pushed-down filter inside it."""
+    return read_peptide_db(spark, path).filter(
+        (F.col("mass_band") == mass_int // band) & (F.col("mass_int") == mass_int))
 
 
-def write_peptides_by_mass(peptides: DataFrame, path: str) -> None:
-    """CSV lines `sequence,mass,proteins` in one folder per whole mass."""
-    with_mass_int(peptides).select(
-        "mass_int", "mod_sequence", "mass", "first_protein", "n_proteins"
-    ).repartition("mass_int").write.mode("overwrite").partitionBy("mass_int").csv(path)
+def write_peptides_by_mass(peptides: DataFrame, path: str, band: int = MASS_BAND) -> None:
+    """CSV lines `sequence,mass,whole mass,first protein,proteins`; with band 1 a folder per mass."""
+    order = ["mass_band", "mass_int", "mod_sequence"]
+    with_mass_int(peptides, band).select(
+        "mass_band", "mod_sequence", "mass", "mass_int", "first_protein", "n_proteins"
+    ).repartitionByRange(*order).sortWithinPartitions(*order).write.mode(
+        "overwrite").partitionBy("mass_band").csv(path)
 
 
 def write_db_sizes(peptides: DataFrame, path: str) -> None:
