@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from specengine.functions.arrays import let
+from specengine.functions.arrays import let, once
 from specengine.functions.masses import HYDROGEN, PROTON, k_mass_index, precursor_mass
 
 PEAKS = "array<struct<mz:double,intensity:double>>"
@@ -54,7 +54,8 @@ def assemble_spectra(peaks: DataFrame, precursors: DataFrame) -> DataFrame:
 
 
 def explode_peaks(spectra: DataFrame) -> DataFrame:
-    return spectra.select("id", F.posexplode("peaks").alias("pos", "p")).select(
+    return spectra.select("id", F.posexplode_outer("peaks").alias("pos", "p")).filter(
+        F.col("pos").isNotNull()).select(
         "id", "pos", "p.mz", "p.intensity")
 
 
@@ -91,10 +92,12 @@ def mass_window(peaks: Column, low: float, high: float) -> Column:
 
 def normalize_dynamic_range(peaks: Column, top: float = 100.0) -> Column:
     """Scale the strongest peak to `top`; drop what is below 1."""
-    scaled = let(F.array_max(intensities(peaks)) / F.lit(top), lambda factor: F.transform(
-        peaks, lambda p: F.struct(
-            p.mz.alias("mz"), (p.intensity / factor).alias("intensity"))))
-    return F.filter(scaled, lambda p: p.intensity >= 1)
+    def scale(ps: Column) -> Column:
+        return let(F.array_max(intensities(ps)) / F.lit(top), lambda factor: F.transform(
+            ps, lambda p: F.struct(
+                p.mz.alias("mz"), (p.intensity / factor).alias("intensity"))))
+
+    return F.filter(let(peaks, scale), lambda p: p.intensity >= 1)
 
 
 def is_noise(peaks: Column, mass: Column, charge: Column) -> Column:
@@ -159,13 +162,12 @@ def condition_spectra(spectra: DataFrame, settings: Settings = Settings()) -> Da
     charge, mz = F.col("precursor.charge"), F.col("precursor.mz")
     mass = precursor_mass(mz, charge)
     df = spectra.filter(charge_supported(charge, settings.max_charge) & mass_scored(mass, settings))
-    df = df.withColumn("peaks", mass_window(
+    df = once(df, "peaks", normalize_dynamic_range(mass_window(
         remove_parent(remove_isotopes(F.col("peaks"), settings.isotope_mz), mz, charge),
-        settings.min_mz, settings.max_mz))
-    df = df.withColumn("peaks", normalize_dynamic_range(F.col("peaks"), settings.dynamic_range))
-    df = df.filter(F.size("peaks") >= settings.min_peaks)
-    df = df.filter(~is_noise(F.col("peaks"), mass, charge))
-    return df.withColumn("peaks", top_n_peaks(clean_isotopes(F.col("peaks")), settings.max_peaks))
+        settings.min_mz, settings.max_mz), settings.dynamic_range))
+    df = df.filter(
+        (F.size("peaks") >= settings.min_peaks) & ~is_noise(F.col("peaks"), mass, charge))
+    return once(df, "peaks", top_n_peaks(clean_isotopes(F.col("peaks")), settings.max_peaks))
 
 
 def k_window_count(span: Column) -> Column:
@@ -189,7 +191,7 @@ def k_sqrt_window_normalize(spectra: DataFrame) -> DataFrame:
         upper.alias("upper"),
         F.get("peaks", F.lit(0)).mz.alias("min_mz"),
         F.sqrt(F.array_max(intensities(F.col("peaks")))).alias("strongest"),
-        F.explode("peaks").alias("p"),
+        F.explode_outer("peaks").alias("p"),
     ).repartition("id")
     one = rows.groupBy("id", k_mass_index(F.col("p.mz")).alias("k")).agg(
         F.max(F.sqrt("p.intensity")).alias("s"),
@@ -266,12 +268,13 @@ def comet_bin(mz: Column, width: float = 0.03, offset: float = 0.0) -> Column:
 
 def comet_bin_weights(peaks: DataFrame) -> DataFrame:
     """Peak rows to bin weights: the bin itself, and half of it for both neighbours, the largest wins."""
-    return peaks.select("id", F.explode(F.array(
-        F.struct(comet_bin(F.col("mz")).alias("bin"), F.col("intensity").alias("weight")),
-        F.struct(comet_bin(F.col("mz")) - 1, F.col("intensity") / 2),
-        F.struct(comet_bin(F.col("mz")) + 1, F.col("intensity") / 2),
-    )).alias("b")).groupBy("id", "b.bin").agg(F.max("b.weight").alias("weight")).filter(
-        F.col("weight") > 0)
+    def share(step: int, part: int) -> Column:
+        return F.struct((comet_bin(F.col("mz")) + step).alias("bin"),
+                        (F.col("intensity") / part).alias("weight"))
+
+    spread_ = F.explode(F.array(share(0, 1), share(-1, 2), share(1, 2))).alias("b")
+    return peaks.select("id", spread_).groupBy("id", "b.bin").agg(
+        F.max("b.weight").alias("weight")).filter(F.col("weight") > 0)
 
 
 def probid_truncate(peaks: Column, per_third: int = 100) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specengine.functions.peptide import usable_peptide
+from specengine.functions.arrays import once
+from specengine.functions.peptide import MAX_PEPTIDE, MIN_PEPTIDE, usable_peptide
 
 # Named cleavage rules; `[after]|{not before}`.
 RULES = {"trypsin": "[RK]|{P}", "lysinec": "[K]", "lysc": "[K]"}
@@ -55,9 +56,9 @@ def digest(proteins: DataFrame, rule: str = "trypsin", missed: int = 0,
     """
     if not 0 <= missed <= MAX_MISSED:
         raise ValueError(f"missed cleavages must be 0..{MAX_MISSED}")
-    df = proteins.withColumn("_pieces", cut_pieces(F.col("sequence"), rule))
+    df = once(proteins, "_pieces", cut_pieces(F.col("sequence"), rule))
     if positions:
-        df = df.withColumn("_starts", piece_starts(F.col("sequence"), rule))
+        df = once(df, "_starts", piece_starts(F.col("sequence"), rule))
     df = df.drop("sequence").select("*", F.posexplode("_pieces").alias("_i", "_piece"))
     if missed:
         df = df.withColumn("missed_cleavages", F.explode(F.sequence(
@@ -86,21 +87,17 @@ def missed_cleavages(proteins: DataFrame, limit: int = 2, rule: str = "trypsin")
 
 
 def semi_cleavages(proteins: DataFrame, rule: str = "trypsin", missed: int = 0) -> DataFrame:
-    """Specific peptides plus every usable prefix and suffix of them, distinct per protein."""
+    """Specific peptides plus every prefix and suffix of usable length, distinct per protein."""
     whole = digest(proteins, rule, missed, usable=False).select("protein", "sequence")
-    parts = whole.select(
-        "protein",
-        F.explode(F.concat(
-            F.array(F.col("sequence")),
-            F.when(F.length("sequence") > 1, F.flatten(F.transform(
-                F.sequence(F.lit(1), F.length("sequence") - 1),
-                lambda i: F.array(
-                    F.substring(F.col("sequence"), F.lit(1), i),
-                    F.substring(F.col("sequence"), i + 1, F.length("sequence")),
-                ),
-            ))).otherwise(F.array().cast("array<string>")),
-        )).alias("sequence"),
-    )
+    longest = F.least(F.length("sequence") - 1, F.lit(MAX_PEPTIDE))
+    ends = F.flatten(F.transform(
+        F.sequence(F.lit(MIN_PEPTIDE), longest),
+        lambda n: F.array(F.substring(F.col("sequence"), F.lit(1), n),
+                          F.right(F.col("sequence"), n))))
+    parts = whole.select("protein", F.explode_outer(F.concat(
+        F.array(F.col("sequence")),
+        F.when(longest >= MIN_PEPTIDE, ends).otherwise(F.array().cast("array<string>")),
+    )).alias("sequence"))
     return parts.filter(usable_peptide(F.col("sequence"))).distinct()
 
 

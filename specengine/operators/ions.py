@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specengine.functions.arrays import once
 from specengine.functions.masses import CLEAVE_C, CLEAVE_N, HYDROGEN, to_nano
 from specengine.operators.mods import residue_masses
 
@@ -39,10 +40,8 @@ def prefix_masses(masses: Column) -> Column:
 
 
 def _factor(letter: Column, table: dict[str, float]) -> Column:
-    out = F.lit(1.0)
-    for residue, factor in table.items():
-        out = F.when(letter == residue, factor).otherwise(out)
-    return out
+    factors = F.array(*[F.lit(table.get(chr(65 + i), 1.0)) for i in range(26)])
+    return F.get(factors, F.ascii(letter) - 65)
 
 
 def with_ions(peptides: DataFrame, max_charge: int = MAX_ION_CHARGE) -> DataFrame:
@@ -53,7 +52,7 @@ def with_ions(peptides: DataFrame, max_charge: int = MAX_ION_CHARGE) -> DataFram
     residues after i; the last place has only a b ion.
     """
     mods = F.col("mods") if "mods" in peptides.columns else None
-    df = peptides.withColumn("_pre", prefix_masses(residue_masses(F.col("sequence"), mods)))
+    df = once(peptides, "_pre", prefix_masses(residue_masses(F.col("sequence"), mods)))
     length = F.length("sequence")
     total = F.element_at("_pre", -1)
 
@@ -78,14 +77,14 @@ def with_ions(peptides: DataFrame, max_charge: int = MAX_ION_CHARGE) -> DataFram
         F.transform(F.sequence(F.lit(1), length), lambda i: F.when(
             i < length, F.array(ion(z, i, "b"), ion(z, i, "y"))).otherwise(
             F.array(ion(z, i, "b")))))))
-    return df.withColumn("ions", ions).drop("_pre")
+    return once(df, "ions", ions).drop("_pre")
 
 
 def theoretical_ions(peptides: DataFrame, max_charge: int = MAX_ION_CHARGE) -> DataFrame:
     """One row per ion: sequence, z, pos, type, nano, mz, weight."""
     key = "mod_sequence" if "mod_sequence" in peptides.columns else "sequence"
     return with_ions(peptides, max_charge).select(
-        F.col(key).alias("peptide"), F.explode("ions").alias("ion")
+        F.col(key).alias("peptide"), F.explode_outer("ions").alias("ion")
     ).select("peptide", "ion.*")
 
 

@@ -28,8 +28,11 @@ def within_limits(scan: Column, peptide: Column, charge: Column,
     return F.when(delta > 0, delta <= abs(plus)).otherwise(-delta <= abs(minus))
 
 
-def bin_charge_join(spectra: DataFrame, library: DataFrame,
-                    window: float = BIN_HALF_WINDOW) -> DataFrame:
+SizedBy = tuple[DataFrame, DataFrame] | None
+
+
+def bin_charge_join(spectra: DataFrame, library: DataFrame, window: float = BIN_HALF_WINDOW,
+                    sized_by: SizedBy = None) -> DataFrame:
     """Spectra of charge 1..3 with the peptides whose M+H lies within the window.
 
     The mass is already that of the singly charged ion, so the peptide side
@@ -38,7 +41,12 @@ def bin_charge_join(spectra: DataFrame, library: DataFrame,
     scans = add_precursor_mass(spectra).filter(F.col("precursor.charge").isin(*CHARGES))
     return range_join(scans, library, "precursor_mass", "matching_mass", window, window,
                       predicate=lambda: F.abs(
-                          F.col("matching_mass") - F.col("precursor_mass")) <= window)
+                          F.col("matching_mass") - F.col("precursor_mass")) <= window,
+                      sized_by=_with_mass(sized_by))
+
+
+def _with_mass(sized_by: SizedBy) -> SizedBy:
+    return (add_precursor_mass(sized_by[0]), sized_by[1]) if sized_by else None
 
 
 def searched_masses(mass: Column, plus: float = PLUS_LIMIT, minus: float = MINUS_LIMIT) -> Column:
@@ -50,12 +58,18 @@ def searched_masses(mass: Column, plus: float = PLUS_LIMIT, minus: float = MINUS
 
 
 def mass_limit_join(spectra: DataFrame, library: DataFrame, plus: float = PLUS_LIMIT,
-                    minus: float = MINUS_LIMIT, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                    minus: float = MINUS_LIMIT, rows_per_task: int = ROWS_PER_TASK,
+                    sized_by: SizedBy = None) -> DataFrame:
     """Spectra meet every peptide of each whole mass they are looked up under."""
-    scans = add_precursor_mass(spectra).withColumn(
-        "mass_int", F.explode(searched_masses(F.col("precursor_mass"), plus, minus)))
-    peptides = library.withColumn("mass_int", k_mass_index(F.col("matching_mass")))
-    return salted_join(scans, peptides, ["mass_int"], rows_per_task)
+    def scans(df: DataFrame) -> DataFrame:
+        return add_precursor_mass(df).withColumn(
+            "mass_int", F.explode(searched_masses(F.col("precursor_mass"), plus, minus)))
+
+    def peptides(df: DataFrame) -> DataFrame:
+        return df.withColumn("mass_int", k_mass_index(F.col("matching_mass")))
+
+    sizes = (scans(sized_by[0]), peptides(sized_by[1])) if sized_by else None
+    return salted_join(scans(spectra), peptides(library), ["mass_int"], rows_per_task, sizes)
 
 
 def unknown_charge(spectra: DataFrame) -> DataFrame:
@@ -79,13 +93,14 @@ def unknown_charge_join(spectra: DataFrame, library: DataFrame, plus: float = PL
 
 
 def da_tolerance_join(spectra: DataFrame, library: DataFrame, tolerance: float = 1.0,
-                      units: str = "Daltons") -> DataFrame:
+                      units: str = "Daltons", sized_by: SizedBy = None) -> DataFrame:
     """|peptide - precursor| < tolerance; with ppm units no candidate beyond 0.5 Da is met."""
     scans = add_precursor_mass(spectra)
     reach = min(tolerance, 0.5) if units.lower() == "ppm" else tolerance
     return range_join(scans, library, "precursor_mass", "matching_mass", reach, reach,
                       predicate=lambda: F.abs(
-                          F.col("matching_mass") - F.col("precursor_mass")) < reach)
+                          F.col("matching_mass") - F.col("precursor_mass")) < reach,
+                      sized_by=_with_mass(sized_by))
 
 
 def peak_match_join(ions: DataFrame, peaks: DataFrame, error: float, keys: list[str]) -> DataFrame:

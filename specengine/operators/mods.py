@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specengine.functions.arrays import once
 from specengine.functions.masses import formula_nano, residue_nano, to_nano
 from specengine.functions.peptide import format_mod_sequence
 
@@ -99,9 +100,7 @@ def apply_mods(peptides: DataFrame, mods: list[Modification],
     fixed = [m for m in mods if m.fixed and fixed_mandatory]
     chosen = [m for m in mods if m not in fixed] + (terminal_mods() if with_terminal else [])
     sequence = F.col("sequence")
-    df = peptides.withColumn("_sites", _sites(sequence, chosen)).withColumn(
-        "_fixed", _sites(sequence, fixed)
-    )
+    df = once(once(peptides, "_sites", _sites(sequence, chosen)), "_fixed", _sites(sequence, fixed))
     none = F.array(F.array().cast(MOD_TYPE))
     level, levels = none, [none]
     for _ in range(max_mods):
@@ -111,7 +110,7 @@ def apply_mods(peptides: DataFrame, mods: list[Modification],
             lambda s: F.concat(chosen_, F.array(s)),
         )))
         levels.append(level)
-    df = df.withColumn("mods", F.explode(F.concat(*levels)))
+    df = df.withColumn("mods", F.explode_outer(F.concat(*levels)))
     if fixed:
         taken = lambda m: F.exists("_fixed", lambda f: f.pos == m.pos)
         df = df.filter(~F.exists("mods", taken)).withColumn(

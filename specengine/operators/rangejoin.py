@@ -17,7 +17,8 @@ def bin_of(value: Column, width: float) -> Column:
 def range_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str,
                below: float, above: float, keys: Sequence[str] = (), width: float | None = None,
                predicate: Callable[[], Column] | None = None,
-               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+               rows_per_task: int = ROWS_PER_TASK,
+               sized_by: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Pairs with left - below <= right <= left + above, plus equality on `keys`.
 
     The right row has one bin; the left row goes to each bin its window
@@ -26,10 +27,16 @@ def range_join(left: DataFrame, right: DataFrame, left_value: str, right_value:
     """
     width = width or max(below + above, 1e-9)
     low, high = F.col(left_value) - below, F.col(left_value) + above
-    binned_left = left.withColumn(
-        "_bin", F.explode(F.sequence(bin_of(low, width), bin_of(high, width)))
-    )
-    binned_right = right.withColumn("_bin", bin_of(F.col(right_value), width))
-    pairs = salted_join(binned_left, binned_right, [*keys, "_bin"], rows_per_task).drop("_bin")
+
+    def windows(df: DataFrame) -> DataFrame:
+        return df.withColumn(
+            "_bin", F.explode(F.sequence(bin_of(low, width), bin_of(high, width))))
+
+    def bins(df: DataFrame) -> DataFrame:
+        return df.withColumn("_bin", bin_of(F.col(right_value), width))
+
+    sizes = (windows(sized_by[0]), bins(sized_by[1])) if sized_by else None
+    pairs = salted_join(
+        windows(left), bins(right), [*keys, "_bin"], rows_per_task, sizes).drop("_bin")
     exact = predicate() if predicate else F.col(right_value).between(low, high)
     return pairs.filter(exact)

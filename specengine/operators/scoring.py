@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specengine.functions.arrays import let
+from specengine.functions.arrays import let, once
 from specengine.functions.masses import k_mass_index
 from specengine.functions.spectrum import factorial
 from specengine.operators import condition as C
@@ -27,6 +27,8 @@ COMET_SCALE = 0.005
 MORPHEUS_TOLERANCE = 0.025
 PROBID_ERROR = 1.0
 HYDROGEN_MASS = 1.007825035
+# Scores are rounded, so that equal ones tie whatever the order of their sums.
+SCORE_DIGITS = 6
 
 
 class Algorithm(NamedTuple):
@@ -41,9 +43,14 @@ def _carry(spectra: DataFrame) -> DataFrame:
 
 def _two_caps(library: DataFrame, build: Callable[[Column], Column]) -> DataFrame:
     """Theory for precursors of charge 1 (`t1`) and above (`t2`)."""
-    df = with_ions(library, 2)
-    return df.withColumn("t1", build(scored_ions(F.col("ions"), 1))).withColumn(
-        "t2", build(F.col("ions"))).drop("ions")
+    df = with_ions(library.select("mod_sequence", "sequence", "matching_mass", *_mods(library)), 2)
+    return once(df, "t", F.struct(
+        build(scored_ions(F.col("ions"), 1)).alias("t1"),
+        build(F.col("ions")).alias("t2"))).drop("ions").select("*", "t.t1", "t.t2").drop("t")
+
+
+def _mods(library: DataFrame) -> list[str]:
+    return ["mods"] if "mods" in library.columns else []
 
 
 def _theory_of_pair() -> Column:
@@ -83,11 +90,11 @@ def kscore_condition(raw: Column, length: Column) -> Column:
 
 def _kscore_measure(spectra: DataFrame) -> DataFrame:
     good = C.condition_spectra(spectra, C.Settings(isotope_mz=150.0))
-    return _carry(good).join(C.k_vectors(good), "id")
+    return _carry(spectra).join(C.k_vectors(good), "id")
 
 
 def _kscore_score(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("raw_score", kscore_dot(F.col("vector"), _theory_of_pair())).withColumn(
+    return once(pairs, "raw_score", kscore_dot(F.col("vector"), _theory_of_pair())).withColumn(
         "score", kscore_condition(F.col("raw_score"), F.length("sequence"))
     ).withColumn("hyperscore", F.col("score"))
 
@@ -102,7 +109,7 @@ def _tandem_measure(spectra: DataFrame) -> DataFrame:
     good = C.condition_spectra(spectra)
     rows = C.explode_peaks(good).groupBy("id", tandem_index(F.col("mz")).alias("k")).agg(
         F.sum("intensity").alias("intensity"))
-    return _carry(good).join(C.dense_vector(rows), "id")
+    return _carry(spectra).join(C.dense_vector(rows), "id")
 
 
 def _tandem_theory(library: DataFrame) -> DataFrame:
@@ -139,7 +146,7 @@ def _tandem_score(pairs: DataFrame) -> DataFrame:
     hits = F.filter(F.transform(_theory_of_pair(), lambda x: F.struct(
         x.type.alias("type"), (x.weight * _at(F.col("vector"), x.k)).alias("s"))),
         lambda h: h.s > 0)
-    df = pairs.withColumn("_h", hits)
+    df = once(pairs, "_h", hits)
     count = lambda kind: F.size(F.filter("_h", lambda h: h.type == kind))
     return df.withColumn(
         "raw_score", F.aggregate("_h", F.lit(0.0), lambda t, h: t + h.s)
@@ -156,7 +163,7 @@ def _comet_measure(spectra: DataFrame) -> DataFrame:
         good.withColumn("peaks", C.comet_normalize(F.col("peaks")))))
     listed = rows.groupBy("id").agg(
         F.array_sort(F.collect_list(F.struct("bin", "weight"))).alias("_l"))
-    return _carry(good).join(listed.select(
+    return _carry(spectra).join(listed.select(
         "id", F.transform("_l", lambda x: x.bin).alias("bins"),
         F.transform("_l", lambda x: x.weight).alias("weights")), "id")
 
@@ -168,7 +175,7 @@ def _comet_theory(library: DataFrame) -> DataFrame:
 def _comet_score(pairs: DataFrame) -> DataFrame:
     total = F.aggregate(_theory_of_pair(), F.lit(0.0), lambda t, b: t + F.coalesce(
         F.get("weights", (F.array_position("bins", b) - 1).cast("int")), F.lit(0.0)))
-    return pairs.withColumn("raw_score", total * COMET_SCALE).withColumn(
+    return once(pairs, "raw_score", total * COMET_SCALE).withColumn(
         "score", F.col("raw_score")).withColumn("hyperscore", F.col("score"))
 
 
@@ -194,7 +201,7 @@ def _morpheus_theory(library: DataFrame) -> DataFrame:
 def _morpheus_score(pairs: DataFrame) -> DataFrame:
     hits = F.filter(F.transform(_theory_of_pair(), lambda mz: first_within(
         F.col("measured"), mz, MORPHEUS_TOLERANCE)), lambda p: p.isNotNull())
-    df = pairs.withColumn("_h", hits)
+    df = once(pairs, "_h", hits)
     matched = F.aggregate("_h", F.lit(0.0), lambda t, p: t + p.intensity)
     return df.withColumn("raw_score", F.size("_h") + matched / F.col("total")).withColumn(
         "score", F.col("raw_score")).withColumn("hyperscore", F.col("score")).drop("_h")
@@ -224,7 +231,7 @@ def _probid_theory(library: DataFrame) -> DataFrame:
 
 def _probid_score(pairs: DataFrame) -> DataFrame:
     """Matches, n ln n, immonium term and the cost of ions that were not seen."""
-    df = pairs.withColumn("_h", F.filter(F.transform("t1", lambda mz: F.struct(
+    df = once(pairs, "_h", F.filter(F.transform("t1", lambda mz: F.struct(
         mz.alias("mz"), first_within(F.col("measured"), mz, PROBID_ERROR).alias("p"))),
         lambda h: h.p.isNotNull()))
     n = F.size("_h")
@@ -258,15 +265,18 @@ def choose_algorithm(name: str | None = None) -> Algorithm:
 
 
 def score_spectra(spectra: DataFrame, library: DataFrame,
-                  join: Callable[[DataFrame, DataFrame], DataFrame],
+                  join: Callable[..., DataFrame],
                   algorithm: str = DEFAULT_ALGORITHM, positive: bool = True) -> DataFrame:
     """Join, score in the row, keep id, charge, peptide and the three scores."""
     alg = choose_algorithm(algorithm)
-    pairs = join(alg.measure(spectra), alg.theory(library))
+    pairs = join(alg.measure(spectra), alg.theory(library),
+                 sized_by=(spectra.select("id", "precursor"),
+                           library.select("mod_sequence", "matching_mass")))
     scored = alg.score(pairs).select(
         F.lit(algorithm).alias("algorithm"), "id",
         F.col("precursor.charge").alias("charge"),
-        F.col("mod_sequence").alias("peptide"), "raw_score", "score", "hyperscore")
+        F.col("mod_sequence").alias("peptide"),
+        *[F.round(c, SCORE_DIGITS).alias(c) for c in ("raw_score", "score", "hyperscore")])
     return scored.filter(F.col("score") > 0) if positive else scored
 
 

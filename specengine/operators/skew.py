@@ -38,18 +38,21 @@ def _row_hash(df: DataFrame) -> Column:
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
-                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                rows_per_task: int = ROWS_PER_TASK,
+                sized_by: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Inner equi-join in which hot keys are cut into blocks on both sides.
 
     A key with `a` blocks of left rows and `b` blocks of right rows becomes
     a * b independent join keys: each left row goes to one left block and is
     copied to the b right blocks, and the other way round.  Every pair of
     matching rows meets exactly once.  Rows are placed by their hash, so a
-    retried task places them in the same block.
+    retried task places them in the same block.  `sized_by` gives narrower
+    frames with (at least) the same keys, on which the hot keys are counted.
     """
     keys = list(keys)
-    hot = hot_keys(left, keys, rows_per_task, "_a").join(
-        hot_keys(right, keys, rows_per_task, "_b"), keys, "full"
+    count_left, count_right = sized_by or (left, right)
+    hot = hot_keys(count_left, keys, rows_per_task, "_a").join(
+        hot_keys(count_right, keys, rows_per_task, "_b"), keys, "full"
     ).select(*keys, F.coalesce("_a", F.lit(1)).alias("_a"), F.coalesce("_b", F.lit(1)).alias("_b"))
 
     def place(df: DataFrame, own: str, other: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["library_queries"]
+MODULES = ["library_queries", "spectrum_queries", "score_queries"]
 
 
 def all_queries():

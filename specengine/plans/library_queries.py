@@ -488,7 +488,7 @@ def write_peptides_by_mass(spark, folder):
     S.write_peptides_by_mass(L.build_library(proteins(spark, folder)), path)
     return spark.read.schema(
         "mod_sequence string, mass double, mass_int int, first_protein string, n_proteins long"
-    ).csv(path)
+    ).csv(path).drop("mass_band")
 
 
 @query("peptides_within_limits", _unique_sql() + """
