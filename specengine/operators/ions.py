@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from specengine.functions.arrays import once
 from specengine.functions.masses import CLEAVE_C, CLEAVE_N, HYDROGEN, to_nano
 from specengine.operators.mods import residue_masses
+from specengine.session import spread_work
 
 # Added to the residues of a b or y fragment; each further charge adds one hydrogen.
 B_NANO = to_nano(CLEAVE_N)
@@ -44,39 +45,44 @@ def _factor(letter: Column, table: dict[str, float]) -> Column:
     return F.get(factors, F.ascii(letter) - 65)
 
 
-def with_ions(peptides: DataFrame, max_charge: int = MAX_ION_CHARGE) -> DataFrame:
-    """Add `ions`: ARRAY<STRUCT<z, pos, type, nano, mz, weight>>.
+ALL_FIELDS = ("z", "pos", "type", "nano", "mz", "weight")
+
+
+def with_ions(peptides: DataFrame, max_charge: int = MAX_ION_CHARGE,
+              fields: tuple[str, ...] = ALL_FIELDS) -> DataFrame:
+    """Add `ions`: an array of structs with the wanted fields.
 
     Order: charge, then cleavage place, then b before y.  `nano` is the exact
     mass before the division by charge.  The y fragment of place i holds the
     residues after i; the last place has only a b ion.
     """
     mods = F.col("mods") if "mods" in peptides.columns else None
-    df = once(peptides, "_pre", prefix_masses(residue_masses(F.col("sequence"), mods)))
+    spread = spread_work(peptides, "mod_sequence" if "mod_sequence" in peptides.columns
+                         else "sequence")
+    df = once(spread, "_pre", prefix_masses(residue_masses(F.col("sequence"), mods)))
     length = F.length("sequence")
-    total = F.element_at("_pre", -1)
 
-    def ion(z: Column, i: Column, kind: str) -> Column:
-        extra = (z - 1) * F.lit(CHARGE_NANO).cast("long")
+    def ion(z: int, i: Column, kind: str) -> Column:
+        extra = (z - 1) * CHARGE_NANO
         if kind == "b":
-            nano = F.get("_pre", i) + B_NANO + extra
+            nano = F.get("_pre", i) + F.lit(B_NANO + extra).cast("long")
             weight = _factor(F.substring(F.col("sequence"), i, F.lit(1)), B_FACTORS) * F.when(
                 i == 2, F.when(F.col("sequence").startswith("P"), SECOND_B_PROLINE)
                 .otherwise(SECOND_B)).otherwise(1.0)
         else:
-            nano = total - F.get("_pre", i) + Y_NANO + extra
+            nano = F.element_at("_pre", -1) - F.get("_pre", i) + F.lit(Y_NANO + extra).cast("long")
             weight = _factor(F.right(F.col("sequence"), F.lit(1)), Y_FACTORS)
-        return F.struct(
-            z.cast("int").alias("z"), i.cast("int").alias("pos"), F.lit(kind).alias("type"),
-            nano.alias("nano"),
-            (nano.cast("double") / (z.cast("double") * float(10**9))).alias("mz"),
-            weight.alias("weight"),
-        )
-
-    ions = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_charge)), lambda z: F.flatten(
-        F.transform(F.sequence(F.lit(1), length), lambda i: F.when(
-            i < length, F.array(ion(z, i, "b"), ion(z, i, "y"))).otherwise(
-            F.array(ion(z, i, "b")))))))
+        made = {"z": F.lit(z), "pos": i.cast("int"), "type": F.lit(kind), "nano": nano,
+                "mz": nano.cast("double") / F.lit(float(z * 10**9)), "weight": weight}
+        return F.struct(*[made[f].alias(f) for f in fields])
+
+    def of_charge(z: int) -> Column:
+        inner = F.flatten(F.transform(
+            F.sequence(F.lit(1), length - 1), lambda i: F.array(ion(z, i, "b"), ion(z, i, "y"))))
+        last = F.array(ion(z, length, "b"))
+        return F.when(length > 1, F.concat(inner, last)).otherwise(last)
+
+    ions = F.concat(*[of_charge(z) for z in range(1, max_charge + 1)])
     return once(df, "ions", ions).drop("_pre")
 
 

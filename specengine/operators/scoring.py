@@ -18,7 +18,7 @@ from specengine.functions.arrays import let, once
 from specengine.functions.masses import k_mass_index
 from specengine.functions.spectrum import factorial
 from specengine.operators import condition as C
-from specengine.operators.ions import scored_ions, with_ions
+from specengine.operators.ions import ALL_FIELDS, scored_ions, with_ions
 
 # Index width of the tandem score (a 32-bit 0.4), score scale of comet,
 # tolerances of morpheus and probid.
@@ -41,9 +41,11 @@ def _carry(spectra: DataFrame) -> DataFrame:
     return spectra.select("id", "precursor")
 
 
-def _two_caps(library: DataFrame, build: Callable[[Column], Column]) -> DataFrame:
+def _two_caps(library: DataFrame, build: Callable[[Column], Column],
+              fields: tuple[str, ...] = ("z", "mz")) -> DataFrame:
     """Theory for precursors of charge 1 (`t1`) and above (`t2`)."""
-    df = with_ions(library.select("mod_sequence", "sequence", "matching_mass", *_mods(library)), 2)
+    df = with_ions(library.select("mod_sequence", "sequence", "matching_mass", *_mods(library)),
+                   2, fields)
     return once(df, "t", F.struct(
         build(scored_ions(F.col("ions"), 1)).alias("t1"),
         build(F.col("ions")).alias("t2"))).drop("ions").select("*", "t.t1", "t.t2").drop("t")
@@ -139,7 +141,7 @@ def _tandem_theory(library: DataFrame) -> DataFrame:
 
         return let(keyed, merged)
 
-    return _two_caps(library, build)
+    return _two_caps(library, build, ALL_FIELDS)
 
 
 def _tandem_score(pairs: DataFrame) -> DataFrame:
@@ -226,7 +228,8 @@ def _probid_measure(spectra: DataFrame) -> DataFrame:
 
 
 def _probid_theory(library: DataFrame) -> DataFrame:
-    return with_ions(library, 1).withColumn("t1", F.transform("ions", lambda x: x.mz)).drop("ions")
+    return with_ions(library, 1, ("z", "mz")).withColumn(
+        "t1", F.transform("ions", lambda x: x.mz)).drop("ions")
 
 
 def _probid_score(pairs: DataFrame) -> DataFrame:

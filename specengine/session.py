@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -65,3 +66,15 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+def spread_work(df: DataFrame, *keys: str) -> DataFrame:
+    """Place compact rows on all shuffle partitions before a step that is heavy per row.
+
+    Adaptive execution merges small shuffle partitions by bytes; a peptide is a
+    few bytes but costs hundreds of microseconds to expand, so the number of
+    partitions is fixed here.  The key is hashed once more, because a plain
+    repartition by the key of the preceding aggregation would be dropped.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, F.xxhash64(*keys))
