@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from specengine.functions.arrays import once
 from specengine.functions.text import levenshtein_similarity, regularize_word
+from specengine.session import shuffle_partitions
 
 LINE_REACH = 200
 
@@ -75,17 +77,19 @@ def best_line_match(lines: DataFrame, reach: int = LINE_REACH) -> DataFrame:
     Lines are cut into blocks of `reach` numbers; a line meets the lines after
     it in its own and in the next block, so a chapter of any length spreads
     over many keys and each pair is compared once, then counted for both
-    lines.  Among equal similarities the earlier line wins.
+    lines.  The number of partitions is fixed, as a pair is cheap to move and
+    costly to compare.  Among equal similarities the earlier line wins.
     """
     block = lambda c: F.floor(F.col(c) / reach).cast("long")
     first = lines.select("chapter", "line_no", "line").withColumn("_b", block("line_no"))
     later = lines.select("chapter", F.col("line_no").alias("line_no2"),
                          F.col("line").alias("line2")).withColumn("_b", F.explode(F.array(
                              block("line_no2"), block("line_no2") - 1)))
-    pairs = first.join(later, ["chapter", "_b"]).filter(
+    n = shuffle_partitions(lines)
+    pairs = first.repartition(n, "chapter", "_b").join(
+        later.repartition(n, "chapter", "_b"), ["chapter", "_b"]).filter(
         (F.col("line_no2") > F.col("line_no")) & (F.col("line_no2") - F.col("line_no") <= reach))
-    scored = pairs.withColumn(
-        "similarity", levenshtein_similarity(F.col("line"), F.col("line2")))
+    scored = once(pairs, "similarity", levenshtein_similarity(F.col("line"), F.col("line2")))
     both = scored.select("chapter", F.explode(F.array(
         F.struct("line_no", F.col("line_no2").alias("other"), "similarity"),
         F.struct(F.col("line_no2").alias("line_no"), F.col("line_no").alias("other"),

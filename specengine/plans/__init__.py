@@ -2,7 +2,10 @@
 
 from importlib import import_module
 
-MODULES = ["library_queries", "spectrum_queries", "score_queries"]
+MODULES = [
+    "library_queries", "spectrum_queries", "score_queries", "report_queries", "text_queries",
+    "source_queries",
+]
 
 
 def all_queries():

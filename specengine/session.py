@@ -76,5 +76,8 @@ def spread_work(df: DataFrame, *keys: str) -> DataFrame:
     partitions is fixed here.  The key is hashed once more, because a plain
     repartition by the key of the preceding aggregation would be dropped.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, F.xxhash64(*keys))
+    return df.repartition(shuffle_partitions(df), F.xxhash64(*keys))
+
+
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

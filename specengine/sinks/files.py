@@ -9,6 +9,7 @@ from specengine.operators.library import db_sizes
 
 FASTA_WIDTH = 80
 MASS_BAND = 100
+MZ_BAND = 50
 
 
 def write_fasta(proteins: DataFrame, path: str, width: int = FASTA_WIDTH) -> None:
@@ -98,9 +99,12 @@ def read_db_sizes(spark: SparkSession, path: str) -> DataFrame:
         F.col("mass").cast("int").alias("mass_int"), "n")
 
 
-def write_clusters_by_mz(clusters: DataFrame, path: str) -> None:
-    clusters.repartition("mz_int").sortWithinPartitions("mz_int", "precursor_mz").write.mode(
-        "overwrite").partitionBy("mz_int").parquet(path)
+def write_clusters_by_mz(clusters: DataFrame, path: str, band: int = MZ_BAND) -> None:
+    """Clusters in folders of m/z bands, range-placed and sorted by precursor m/z."""
+    order = ["mz_band", "precursor_mz", "cluster"]
+    clusters.withColumn("mz_band", F.floor(F.col("mz_int") / band).cast("int")).repartitionByRange(
+        *order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy(
+        "mz_band").parquet(path)
 
 
 def write_digester_params(spark: SparkSession, path: str, rule: str, missed: int, semi: bool,

@@ -60,7 +60,7 @@ def read_mgf(spark: SparkSession, path, strict: bool = True) -> DataFrame:
     blocks = spark.read.option("lineSep", "END IONS").text(path).filter(
         F.col("value").contains("BEGIN IONS"))
     body = F.regexp_replace("value", r"(?s)^.*BEGIN IONS", "")
-    df = blocks.select(F.filter(F.transform(F.split(body, r"\r?\n"), F.trim),
+    df = blocks.select(F.filter(F.transform(F.split(body, r"\r?\n"), lambda x: F.trim(x)),
                                 lambda x: x != "").alias("lines"))
     tag = lambda name: F.regexp_replace(F.get(F.filter(
         "lines", lambda x: x.startswith(f"{name}=")), F.lit(0)), f"^{name}=", "")
@@ -115,9 +115,10 @@ def library_peptides(spark: SparkSession, path) -> DataFrame:
         "peptide", "protein", F.col("precursor.charge").alias("charge"))
 
 
-def read_dta_dir(spark: SparkSession, path) -> DataFrame:
+def read_dta_dir(spark: SparkSession, path, pattern: str = "*.dta") -> DataFrame:
     """A folder of .dta files: first line `mass charge`, then peaks; id is the file name."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.dta").text(path)
+    files = spark.read.option("pathGlobFilter", pattern).option(
+        "recursiveFileLookup", True).text(path, wholetext=True)
     df = files.select(
         F.element_at(F.split("_metadata.file_path", "/"), -1).alias("id"),
         F.split(F.trim("value"), r"\r?\n").alias("lines"))

@@ -16,7 +16,7 @@ def read_text_lines(spark: SparkSession, path) -> DataFrame:
 
 def read_whole_files(spark: SparkSession, path) -> DataFrame:
     """(path, value) with one row per file."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), "value")
 
 
