@@ -413,9 +413,13 @@ def comet_score(spark, folder):
 MORPHEUS_SQL = BASE_SQL + ",\n" + ions_sql() + ",\n" + PAIRS_SQL.format(source="spectra") + """,
 shifted AS (SELECT id, total, p.mz + z * 1.007825035e0 AS mz, p.i AS i FROM (
   SELECT id, z, unnest(peaks) AS p, list_sum(list_transform(peaks, lambda q: q.i)) AS total FROM spectra)),
-cand AS (SELECT p.id, p.charge, p.sequence AS peptide, o.z, o.i AS pos, o.type, s.total, s.mz, s.i AS intensity
-  FROM pairs p JOIN shifted s ON s.id = p.id JOIN ions o ON o.sequence = p.sequence
-    AND abs(s.mz - (o.mz - 1.007825035e0 * o.z)) <= 0.025e0 AND o.z <= CASE WHEN p.charge = 1 THEN 1 ELSE 2 END),
+ion_bins AS (SELECT sequence, z, i, type, mz - 1.007825035e0 * z AS t,
+    CAST(floor((mz - 1.007825035e0 * z) / 0.025e0) AS BIGINT) + d AS b FROM ions, (VALUES (-1), (0), (1)) s(d) WHERE z <= 2),
+pair_peaks AS MATERIALIZED (SELECT p.id, p.charge, p.sequence AS peptide, s.total, s.mz, s.i AS intensity,
+    CAST(floor(s.mz / 0.025e0) AS BIGINT) AS b FROM pairs p JOIN shifted s ON s.id = p.id),
+cand AS (SELECT p.id, p.charge, p.peptide, o.z, o.i AS pos, o.type, p.total, p.mz, p.intensity
+  FROM pair_peaks p JOIN ion_bins o ON o.sequence = p.peptide AND o.b = p.b
+  WHERE abs(p.mz - o.t) <= 0.025e0 AND o.z <= CASE WHEN p.charge = 1 THEN 1 ELSE 2 END),
 firsts AS (SELECT id, charge, peptide, z, pos, type, total, arg_min(intensity, mz) AS intensity FROM cand
   GROUP BY id, charge, peptide, z, pos, type, total),
 raw AS (SELECT id, charge, peptide, count(*) + sum(intensity) / max(total) AS s FROM firsts GROUP BY 1, 2, 3)"""
