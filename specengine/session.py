@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,24 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per session; Python steps import it there.
+
+    The archive lies on the driver, which serves it to every executor, later ones too.
+    """
+    if spark.conf.get("specengine.shipped", None):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="specengine-zip-")), "specengine.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                z.write(full, os.path.join("specengine", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set("specengine.shipped", "true")
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder all executors share.
 
