@@ -55,6 +55,8 @@ def _repeated_words(word: np.ndarray, row: np.ndarray, rows: int, size: int) ->
     up, down = powers(len(word))
     sums = np.concatenate(([U(0)], np.cumsum(word * up[:len(word)])))
     begin = np.flatnonzero(row[:-size + 1] == row[size - 1:])
+    if len(begin) == 0:
+        return np.zeros(rows, np.int64)
     key = mix((sums[begin + size] - sums[begin]) * down[begin] + mix(row[begin].astype(U)))
     order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
