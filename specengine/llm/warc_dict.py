@@ -112,7 +112,7 @@ def write(typed: DataFrame, folder: str) -> DataFrame:
             packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, dict_data=zstandard.ZstdCompressionDict(
                 dictionary) if dictionary else None)
             written = records = payloads = 0
-            with store.open_output_stream(path) as out:
+            with store.open_output_stream(path, compression=None) as out:
                 written += out.write(MAGIC.to_bytes(4, "little") + len(dictionary).to_bytes(4, "little") + dictionary)
                 first = None
                 for row in _chain(held, rows):
@@ -196,7 +196,7 @@ def read(manifest: DataFrame, folder: str, id_type: str = "long", payloads: bool
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows, size = [], 0
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     for head, body in read_archive(stream):
                         ids = [head.get("X-Page-ID"), head.get("X-Refers-To-Page-ID")]
                         ids = [int(x) if number and x is not None else x for x in ids]
