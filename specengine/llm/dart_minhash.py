@@ -15,8 +15,9 @@ probability (1 - 0.8^8)^40 = 0.0006, one of 0.9 never; one of 0.4 meets with 0.0
 2. Bands are counted, and those of one node dropped.  In each band's bucket the node that shares most
    buckets leads: it is the most central text.  Members are paired with their leader, not with each other.
 3. Pairs are verified by the exact similarity of their whole texts; components of the links are classes.
-4. In every bucket the members that aren't in the leader's class stay, elect their own leader, and 2 to 4
-   go on until no bucket has two members left.  No bucket is capped.
+4. In every bucket the members outside the leader's class stay, elect leaders again (LEADERS of them, and
+   more each turn) and meet all of them, until no bucket has members of two classes left.  No bucket is
+   capped.
 
 What this can miss: the bands' share above, and a link between two texts of which neither led a bucket
 that held both, unless another path links them.
@@ -45,6 +46,8 @@ SHINGLE = 5
 ROWS, BANDS = 8, 40
 COORDINATES = ROWS * BANDS
 SIMILARITY = 0.8
+#: Leaders of a bucket from the second turn on: so many at first, twice as many each turn, up to the most.
+LEADERS, MOST_LEADERS = 8, 64
 _GOLDEN = U(0x9E3779B97F4A7C15)
 
 
@@ -171,29 +174,41 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     members = stored(members.join(small_or_shuffled(stored(shared, "keys").select("key")), "key"), "members")
     some = small_or_shuffled(members.select("node").distinct())
     texts = stored(texts.join(some, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    links = spark.createDataFrame([], "node binary, leader binary")
-    labels = None
+    labels, turn = None, 0
     while not members.isEmpty():
-        counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        central = members.join(counts, "key").groupBy("node").agg(F.sum("n").alias("shares"))
-        leaders = stored(members.join(central, "node").groupBy("key").agg(
-            F.max_by("node", F.struct("shares", "node")).alias("leader")), "leaders")
-        led = stored(members.join(small_or_shuffled(leaders), "key"), "led")
+        if turn == 0:
+            counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+            central = members.join(counts, "key").groupBy("node").agg(F.sum("n").alias("shares"))
+            leaders = members.join(central, "node").groupBy("key").agg(
+                F.max_by("node", F.struct("shares", "node")).alias("leader"))
+        else:
+            part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(min(MOST_LEADERS, LEADERS << (turn - 1))))
+            leaders = members.groupBy("key", part.alias("part")).agg(F.min("node").alias("leader")).drop("part")
+        led = stored(members.join(small_or_shuffled(stored(leaders, "leaders")), "key"), "led")
         pairs = led.filter(F.col("node") != F.col("leader")).select("node", "leader").distinct()
         found = stored(verified(pairs, texts, similarity), "links")
-        links = found if labels is None else links.union(found)
-        labels = stored(connected_components(links, "node", "leader").select(
-            F.col("id").alias("node"), "cluster"), "labels")
-        # Members outside their leader's class go on; the leader itself has met everyone.
+        labels = _joined(labels, found)
+        # Members outside all their leaders' classes go on; a leader has met everyone.
         own = led.join(labels, "node", "left").withColumn("own", F.coalesce("cluster", "node")).drop("cluster")
-        other = own.join(labels.select(F.col("node").alias("leader"), F.col("cluster").alias("theirs")), "leader", "left")
-        rest = other.filter(F.col("own") != F.coalesce("theirs", "leader")).select("key", "node", "own")
+        theirs = labels.select(F.col("node").alias("leader"), F.col("cluster").alias("theirs"))
+        met = own.join(theirs, "leader", "left").groupBy("key", "node", "own").agg(
+            F.max(F.col("own") == F.coalesce("theirs", "leader")).alias("met"))
+        rest = stored(met.filter("NOT met").select("key", "node", "own"), "rest")
         # A bucket whose members are of one class has nothing left to find.
         open_keys = rest.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter(
             "low <> high").select("key")
-        rest = stored(rest, "rest")
         members = stored(rest.select("key", "node").join(small_or_shuffled(stored(open_keys, "open")), "key"), "members")
-    return labels if labels is not None else links.select("node", F.col("leader").alias("cluster"))
+        turn += 1
+    return labels if labels is not None else spark.createDataFrame([], "node binary, cluster binary")
+
+
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, cluster) after further links (node, leader)."""
+    if labels is not None:
+        if links.isEmpty():
+            return labels
+        links = links.union(labels.select("node", F.col("cluster").alias("leader")))
+    return stored(connected_components(links, "node", "leader").select(F.col("id").alias("node"), "cluster"), "labels")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
