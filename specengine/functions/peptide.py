@@ -37,25 +37,31 @@ def aa_count(sequence: Column, residue: str) -> Column:
 
 
 def protein_id(annotation: Column) -> Column:
-    """`sp|X|...` gives X, anything else its first word as an upper-case identifier."""
-    first_word = F.regexp_extract(annotation, r"^(\S*)", 1)
+    """`sp|X|...` gives X, anything else its first word as an upper-case identifier.
+
+    A leading `>` and punctuation before the first letter or digit are dropped, other punctuation becomes `_`.
+    """
+    bare = F.regexp_replace(annotation, "^>", "")
+    word = F.regexp_extract(F.regexp_replace(F.trim(annotation), "^>", ""), "^([^ ]*)", 1)
+    begun = F.regexp_replace(F.upper(word), r"^[^\p{L}\p{Nd}]+", "")
     return F.when(
-        annotation.rlike(r"^sp\|[^|]*\|"), F.regexp_extract(annotation, r"^sp\|([^|]*)\|", 1)
-    ).otherwise(F.regexp_replace(F.upper(first_word), r"[^A-Z0-9]", "_"))
+        bare.rlike(r"^sp\|[^|]*\|"), F.regexp_extract(bare, r"^sp\|([^|]*)\|", 1)
+    ).otherwise(F.regexp_replace(begun, r"[^\p{L}\p{Nd}]", "_"))
 
 
 def condition_protein_label(label: Column) -> Column:
-    """A label that is safe inside reports: printable, no bars, no quotes."""
+    """A label that is safe inside reports: printable, a bar as `_`, quotes and separators as blanks."""
     printable = F.regexp_replace(label, r"[^\x20-\x7E]", "")
-    return F.translate(printable, "|'\"", "_")
+    return F.translate(printable, "|'\"!;:,", "_      ")
 
 
 def decoy_label(label: Column) -> Column:
-    """`DECOY_` plus the rest for a known decoy prefix, else NULL."""
+    """`DECOY_` plus the rest for a known decoy prefix, else NULL; NULL also where nothing is left."""
     out = F.lit(None).cast("string")
     for prefix in reversed(DECOY_PREFIXES):
         rest = F.substring(label, len(prefix) + 1, 1 << 30)
-        out = F.when(label.startswith(prefix), F.concat(F.lit(DECOY), rest)).otherwise(out)
+        known = F.when(rest != "", F.concat(F.lit(DECOY), rest))
+        out = F.when(label.startswith(prefix), known).otherwise(out)
     return out
 
 

@@ -56,31 +56,43 @@ def _checked_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+def _prefixes(column: str, lengths: list[int]) -> Column:
+    return F.explode(F.array_distinct(F.array(
+        *[F.substring(column, 1, n) for n in lengths] or [F.lit(None).cast("string")])))
+
+
 def select_proteins_by_prefix(proteins: DataFrame, ids: DataFrame) -> DataFrame:
-    """Proteins whose annotation starts with a listed id.
+    """Proteins whose annotation starts with a listed id, each row as often as it was given.
 
-    Ids of one length are matched by an equi-join on the prefix of that
-    length; the number of different lengths is small.
+    Ids of one length are matched by an equi-join on the prefix of that length; there are at most as many
+    lengths as the longest id has letters.  Ids that start with another listed id add nothing and are
+    dropped, so a row meets one id at most.
     """
-    lengths = [r[0] for r in ids.select(F.length("prefix")).distinct().limit(1000).collect()]
-    keyed = proteins.withColumn("_prefix", F.explode(F.array_distinct(F.array(
-        *[F.substring("annotation", 1, n) for n in sorted(lengths)]))))
-    listed = _checked_small(ids.select(F.col("prefix").alias("_prefix")).distinct())
-    found = keyed.join(listed, "_prefix", "left_semi")
-    return found.drop("_prefix").dropDuplicates(["annotation"])
+    listed = ids.filter(F.col("prefix") != "").select("prefix").distinct()
+    lengths = sorted(r[0] for r in listed.select(F.length("prefix")).distinct().collect())
+    longer = listed.withColumn("_part", _prefixes("prefix", lengths)).filter("_part <> prefix")
+    covered = longer.join(listed.select(F.col("prefix").alias("_part")), "_part").select("prefix")
+    least = _checked_small(listed.join(covered, "prefix", "left_anti").select(F.col("prefix").alias("_prefix")))
+    keyed = proteins.withColumn("_prefix", _prefixes("annotation", lengths))
+    return keyed.join(least, "_prefix", "left_semi").drop("_prefix")
 
 
 def select_proteins_containing(proteins: DataFrame, peptides: DataFrame) -> DataFrame:
-    """Proteins whose sequence contains a listed peptide, by shared 4-letter words.
+    """Proteins whose sequence contains a listed peptide.
 
-    Each listed peptide is found through its first four letters, so a protein
-    is compared only with peptides that start somewhere in it.
+    A peptide is found through its first four letters, or all of a shorter one, so a protein is compared
+    only with peptides that start somewhere in it.
     """
-    words = proteins.select("protein", "sequence", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("sequence") - 3)),
-        lambda i: F.substring(F.col("sequence"), i, F.lit(4))))).alias("_w"))
-    listed = peptides.select(F.col("sequence").alias("_peptide")).distinct().withColumn(
+    listed = peptides.filter(F.col("sequence") != "").select(F.col("sequence").alias("_peptide")).distinct().withColumn(
         "_w", F.substring("_peptide", 1, 4))
+    sizes = sorted(r[0] for r in listed.select(F.length("_w")).distinct().collect())  # 1 to 4
+
+    def words_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("sequence") - (n - 1)))
+        return F.transform(starts, lambda i: F.substring(F.col("sequence"), i, F.lit(n)))
+
+    words = proteins.select("protein", "sequence", F.explode(F.array_distinct(F.flatten(F.array(
+        *[words_of(n) for n in sizes or [4]])))).alias("_w"))
     found = words.join(listed, "_w").filter(F.contains("sequence", "_peptide"))
     return proteins.join(found.select("protein").distinct(), "protein", "left_semi")
 

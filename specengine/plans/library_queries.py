@@ -57,8 +57,9 @@ ANNOTATIONS_SQL = """WITH ann AS (
 
 
 @query("protein_id", ANNOTATIONS_SQL + """
-SELECT pos, CASE WHEN annotation LIKE 'sp|%' THEN string_split(annotation, '|')[2]
-  ELSE regexp_replace(upper(string_split(annotation, ' ')[1]), '[^A-Z0-9]', '_', 'g') END AS protein_id
+SELECT pos, CASE WHEN regexp_matches(annotation, '^>?sp[|][^|]*[|]') THEN string_split(annotation, '|')[2]
+  ELSE regexp_replace(regexp_replace(upper(string_split(regexp_replace(trim(annotation), '^>', ''), ' ')[1]),
+         '^[^\\p{L}\\p{Nd}]+', ''), '[^\\p{L}\\p{Nd}]', '_', 'g') END AS protein_id
 FROM ann""")
 def protein_id(spark, folder):
     return documents_as_annotations(spark, folder).select(
@@ -76,8 +77,8 @@ def annotation_ids(spark, folder):
 
 @query("condition_protein_label", """
 SELECT doc_id, md5(label) AS label_md5, CAST(length(label) AS INTEGER) AS n
-FROM (SELECT doc_id, replace(replace(replace(regexp_replace(text, '[^ -~]', '', 'g'),
-      '|', '_'), '''', ''), '"', '') AS label FROM documents)""")
+FROM (SELECT doc_id, regexp_replace(replace(regexp_replace(text, '[^ -~]', '', 'g'), '|', '_'),
+      '["''!;:,]', ' ', 'g') AS label FROM documents)""")
 def condition_protein_label(spark, folder):
     label = P.condition_protein_label(F.col("text"))
     return table(spark, folder, "documents").select("doc_id", label.alias("l")).select(
@@ -585,12 +586,12 @@ def select_proteins_by_prefix(spark, folder):
 
 
 @query("select_proteins_containing", ctes("proteins", """listed AS (
-  SELECT DISTINCT regexp_replace(regexp_replace(upper(p_name), '[^A-Z]', '', 'g'), '[BJOUXZ]', '', 'g') AS peptide
-  FROM part)""") + """
+  SELECT DISTINCT regexp_replace(upper(word), '[^A-Z]|[BJOUXZ]', '', 'g') AS peptide
+  FROM (SELECT unnest(string_split(text, ' ')) AS word FROM benchmark))""") + """
 SELECT protein FROM proteins
-WHERE EXISTS (SELECT 1 FROM listed WHERE length(peptide) >= 4 AND contains(sequence, substr(peptide, 1, 4)))""")
+WHERE EXISTS (SELECT 1 FROM listed WHERE peptide <> '' AND contains(sequence, peptide))""")
 def select_proteins_containing(spark, folder):
-    letters = F.regexp_replace(F.regexp_replace(F.upper("p_name"), "[^A-Z]", ""), "[BJOUXZ]", "")
-    listed = table(spark, folder, "part").select(letters.alias("sequence")).filter(
-        F.length("sequence") >= 4).select(F.substring("sequence", 1, 4).alias("sequence"))
+    word = F.explode(F.split("text", " "))
+    listed = table(spark, folder, "benchmark").select(word.alias("word")).select(
+        F.regexp_replace(F.upper("word"), "[^A-Z]|[BJOUXZ]", "").alias("sequence"))
     return X.select_proteins_containing(proteins(spark, folder), listed).select("protein")

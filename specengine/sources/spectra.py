@@ -88,9 +88,15 @@ def read_mgf(spark: SparkSession, path, strict: bool = True) -> DataFrame:
 
 
 def read_msp(spark: SparkSession, path) -> DataFrame:
-    """Spectral library entries, blank-line separated: shared columns plus peptide, protein, mw."""
-    blocks = spark.read.option("lineSep", "\n\n").text(path).filter(
-        F.col("value").rlike(r"(?m)^Name:"))
+    """Spectral library entries, each from its `Name:` line on: shared columns plus peptide, protein, mw.
+
+    A file is split at these lines, whatever line ends and blank lines it has; what stands before the
+    first one is no entry.
+    """
+    cut = spark.read.option("lineSep", "\nName:").text(path).select(F.replace("value", F.lit("\r"), F.lit("")).alias("v"))
+    blocks = cut.select(F.when(F.col("v").startswith("Name:"), F.col("v")).otherwise(
+        F.concat(F.lit("Name:"), F.col("v"))).alias("value")).filter(
+        F.col("value").rlike(r"(?m)^(MW|Comment|Num peaks):"))
     field = lambda name: F.regexp_extract("value", rf"(?m)^{name}:\s*(.*)$", 1)
     name, comment = F.trim(field("Name")), field("Comment")
     mw = F.trim(field("MW")).try_cast("double")

@@ -37,7 +37,7 @@ def read_fasta(spark: SparkSession, path, partitions: int | None = None) -> Data
     its own `>`; a trailing `*` and empty records are dropped.
     """
     records = spark.read.option("lineSep", "\n>").text(path)
-    clean = records.select(F.regexp_replace("value", "^>", "").alias("r"))
+    clean = records.select(F.regexp_replace("value", "^>|\\r", "").alias("r"))
     parts = clean.select(
         F.trim(F.regexp_extract("r", r"^([^\n]*)", 1)).alias("annotation"),
         F.regexp_replace(F.regexp_replace("r", r"^[^\n]*", ""), r"\s|\*\s*$", "").alias("sequence"),
