@@ -56,15 +56,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text",
-           most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a chunk has about `most` bytes of text, and one row at least."""
+           most: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a chunk has about `most` bytes of text and at most `rows` rows, and one row at least."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         _, at = utf8(batch.column(batch.schema.get_field_index(text)))
         first = 0
         while first < batch.num_rows:
-            last = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
+            last = max(first + 1, min(first + rows, int(np.searchsorted(at, at[first] + most, "right")) - 1))
             yield batch.slice(first, last - first)
             first = last
 

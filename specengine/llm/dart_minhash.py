@@ -48,6 +48,8 @@ COORDINATES = ROWS * BANDS
 SIMILARITY = 0.8
 #: Leaders of a bucket from the second turn on: so many at first, twice as many each turn, up to the most.
 LEADERS, MOST_LEADERS = 8, 64
+#: Text and rows that a task signs or compares at a time; a row throws some 2,800 darts, however short it is.
+STEP_BYTES, STEP_ROWS = 500_000, 512
 _GOLDEN = U(0x9E3779B97F4A7C15)
 
 
@@ -121,7 +123,7 @@ def node(text: Column) -> Column:
 def bands(nodes: DataFrame) -> DataFrame:
     """(node, bands) of rows (node, text), one row per distinct node."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=STEP_BYTES, rows=STEP_ROWS):
             own = batch.column(0).to_pylist()
             once = np.array(sorted({n: i for i, n in reversed(list(enumerate(own)))}.values()), np.int64)
             batch = batch.take(pa.array(once))
@@ -156,8 +158,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
         texts.select(F.col("node").alias("leader"), F.col("text").alias("text_b")), "leader")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for half in chunks(batches, "text_b", 2_000_000):
-            for batch in chunks(iter([half]), "text_a", 2_000_000):
+        for half in chunks(batches, "text_b", STEP_BYTES):
+            for batch in chunks(iter([half]), "text_a", STEP_BYTES):
                 kept = np.flatnonzero(jaccard(batch.column(2), batch.column(3)) >= similarity)
                 yield batch.select(["node", "leader"]).take(pa.array(kept))
 
