@@ -1,9 +1,9 @@
 """Spectrum clustering in passes.
 
-Each pass groups spectra (or clusters) by a key, walks through a group in
-precursor order and links every member to the leader of the first cluster it
-is similar to.  The links are a star per cluster, never all pairs; components
-of the links are the clusters.  Similarity is the normalised dot product of
+Each pass groups spectra (or clusters) by a key and compares all members of a
+group within the precursor window.  Clusters are the components of the
+similarity graph, so no order of rows or split of groups changes them.  Links
+are stars, never all pairs.  Similarity is the normalised dot product of
 square-root intensities in whole-Dalton bins; that choice is ours.
 """
 
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specengine.operators.skew import ROWS_PER_TASK, hot_keys
+from specengine.operators.filters import checked_small
 from specengine.session import checkpoint
 
 MAJOR_PEAKS = 6
@@ -24,6 +24,8 @@ MZ_LIMIT = 10_000.0
 MZ_WINDOW = 1.0
 SIMILARITY = 0.6
 BLOCK_WINDOWS = 4
+#: Members of a part of a crowded group; a comparison holds two parts.
+MEMBERS_PER_PART = 2_000
 
 
 def binned_vectors(spectra: DataFrame) -> DataFrame:
@@ -62,48 +64,90 @@ def mz_blocks(keyed: DataFrame, window: float) -> DataFrame:
 
 
 def star_links(keyed: DataFrame, window: float = MZ_WINDOW, similarity: float = SIMILARITY,
-               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Links (id, leader) inside each (key, block); crowded groups are split by hash.
-
-    A group is read as a stream in precursor order, and only the leaders
-    inside the moving window are held.
+               rows_per_task: int = MEMBERS_PER_PART) -> DataFrame:
+    """Links (id, leader) between similar members of each (key, block) within the window.
+
+    A group of more than `rows_per_task` members is dealt into parts by the
+    hash of the id, and every two parts meet in one comparison, so all members
+    are compared whatever the number of parts.  A comparison returns one star
+    for each component that it finds, never its pairs; the components of all
+    links are those of the similarity graph.  A member without any partner is
+    linked to itself.
     """
     blocks = mz_blocks(keyed, window)
-    hot = hot_keys(blocks, ["key", "block"], rows_per_task)
-    split = blocks.join(F.broadcast(hot), ["key", "block"], "left").withColumn(
-        "salt", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)).cast("long")))
-    groups = split.repartition("key", "block", "salt").sortWithinPartitions(
-        "key", "block", "salt", "precursor_mz", "id").select(
-        "key", "block", "salt", "precursor_mz", "id", "bins", "weights")
+    group = ["key", "block"]
+    crowded = blocks.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(
+        F.col("_n") > rows_per_task).select(*group, F.ceil(F.col("_n") / rows_per_task).alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1)).cast("long")
+    numbers = F.sequence(F.lit(0).cast("long"), parts - 1)
+    placed = blocks.join(checked_small(crowded), group, "left").withColumn(
+        "_own", F.pmod(F.xxhash64("id"), parts)).withColumn(
+        "_other", F.explode(F.when(parts == 1, numbers).otherwise(F.array_remove(numbers, F.col("_own")))))
+    cells = placed.select(*group, F.least("_own", "_other").alias("a"), F.greatest("_own", "_other").alias("b"),
+                          "precursor_mz", "id", "bins", "weights")
+    order = [*group, "a", "b"]
+    placed = cells.repartition(*order).sortWithinPartitions(*order, "id")
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, leaders = None, []
+        held = None
         for batch in batches:
-            ids, found = [], []
-            rows = zip(batch["key"], batch["block"], batch["salt"], batch["precursor_mz"],
-                       batch["id"], batch["bins"], batch["weights"])
-            for key, block, salt, mz, id_, bins, weights in rows:
-                if group != (key, block, salt):
-                    group, leaders = (key, block, salt), []
-                leaders = [x for x in leaders if x[0] >= mz - window]
-                leader = _first_similar(leaders, bins, weights, similarity)
-                if leader is None:
-                    leader = id_
-                    leaders.append((mz, id_, bins, weights))
-                ids.append(id_)
-                found.append(leader)
-            yield pd.DataFrame({"id": ids, "leader": found})
+            if held is not None:
+                batch = pd.concat([held, batch], ignore_index=True)
+            starts = _group_starts(batch[order].to_numpy())
+            held = batch.iloc[starts[-1]:] if len(starts) else None
+            yield from _stars(batch, starts, window, similarity)
+        if held is not None:
+            yield from _stars(held, np.array([0, len(held)]), window, similarity)
 
     id_type = keyed.schema["id"].dataType.simpleString()
-    return groups.mapInPandas(link, f"id {id_type}, leader {id_type}").distinct()
-
-
-def _first_similar(leaders, bins, weights, similarity):
-    for _, id_, other_bins, other_weights in leaders:
-        _, a, b = np.intersect1d(bins, other_bins, assume_unique=True, return_indices=True)
-        if float(np.dot(np.asarray(weights)[a], np.asarray(other_weights)[b])) >= similarity:
-            return id_
-    return None
+    return placed.mapInPandas(link, f"id {id_type}, leader {id_type}").distinct()
+
+
+def _group_starts(keys: np.ndarray) -> np.ndarray:
+    """Places at which the sorted key rows change, the first place included."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+
+
+def _stars(batch: pd.DataFrame, starts: np.ndarray, window: float, similarity: float) -> Iterator[pd.DataFrame]:
+    """Links of the groups that lie between the given places."""
+    ids, mz = batch["id"].to_numpy(), batch["precursor_mz"].to_numpy()
+    bins, weights = batch["bins"].to_numpy(), batch["weights"].to_numpy()
+    leaders = ids.copy()
+    end = starts[-1] if len(starts) else 0
+    for x, y in zip(starts[:-1], starts[1:]):
+        if y - x > 1:
+            leaders[x:y] = ids[x:y][_components(_similar(mz[x:y], bins[x:y], weights[x:y], window, similarity))]
+    if end:
+        yield pd.DataFrame({"id": ids[:end], "leader": leaders[:end]})
+
+
+def _similar(mz: np.ndarray, bins: np.ndarray, weights: np.ndarray, window: float, similarity: float) -> np.ndarray:
+    """Which members of one group are similar and within the window; products are rounded to 1e-9."""
+    n = len(mz)
+    row = np.repeat(np.arange(n), [len(x) for x in bins])
+    used, column = np.unique(np.concatenate(bins), return_inverse=True)
+    dense = np.zeros((n, len(used)))
+    dense[row, column] = np.concatenate(weights)
+    out = np.empty((n, n), bool)
+    for i in range(0, n, 512):
+        near = np.abs(mz[i:i + 512, None] - mz[None, :]) <= window
+        out[i:i + 512] = near & (np.round(dense[i:i + 512] @ dense.T, 9) >= similarity)
+    return out
+
+
+def _components(similar: np.ndarray) -> np.ndarray:
+    """For each member the first member of its component."""
+    leader = np.full(len(similar), -1)
+    for first in range(len(similar)):
+        if leader[first] >= 0:
+            continue
+        front = np.array([first])
+        while len(front):
+            leader[front] = first
+            front = np.flatnonzero(similar[front].any(axis=0) & (leader < 0))
+    return leader
 
 
 def connected_components(links: DataFrame, a: str = "id", b: str = "leader",

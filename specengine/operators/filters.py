@@ -50,7 +50,7 @@ def ms2_only(spectra: DataFrame) -> DataFrame:
     return spectra.filter(F.col("ms_level") != 1)
 
 
-def _checked_small(df: DataFrame) -> DataFrame:
+def checked_small(df: DataFrame) -> DataFrame:
     """Broadcast a list only after its size was checked; larger lists join by the planner's choice."""
     few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return F.broadcast(df) if few else df
@@ -72,7 +72,7 @@ def select_proteins_by_prefix(proteins: DataFrame, ids: DataFrame) -> DataFrame:
     lengths = sorted(r[0] for r in listed.select(F.length("prefix")).distinct().collect())
     longer = listed.withColumn("_part", _prefixes("prefix", lengths)).filter("_part <> prefix")
     covered = longer.join(listed.select(F.col("prefix").alias("_part")), "_part").select("prefix")
-    least = _checked_small(listed.join(covered, "prefix", "left_anti").select(F.col("prefix").alias("_prefix")))
+    least = checked_small(listed.join(covered, "prefix", "left_anti").select(F.col("prefix").alias("_prefix")))
     keyed = proteins.withColumn("_prefix", _prefixes("annotation", lengths))
     return keyed.join(least, "_prefix", "left_semi").drop("_prefix")
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,32 @@ def test_copies_cluster_and_strangers_do_not(spark):
     assert len(set().union(*groups)) == 3
 
 
+def test_split_groups_give_the_clusters_of_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(120):  # half of them hold the same major peak, and many are copies
+        weights = np.ones(6) if i % 3 == 0 else rng.random(6)
+        bins = [200, *sorted(rng.choice(np.arange(201, 215), 5, replace=False).tolist())] if i % 3 else list(range(200, 206))
+        rows.append((i, float(500 + rng.random() * 6), bins, (weights / np.linalg.norm(weights)).tolist()))
+    keyed = spark.createDataFrame(rows, "id long, precursor_mz double, bins array<int>, weights array<double>").withColumn(
+        "key", F.lit(200).cast("long"))
+
+    def found(parts):
+        links = CL.star_links(keyed, 1.0, 0.6, rows_per_task=parts)
+        return {r.id: r.cluster for r in CL.connected_components(links).collect()}
+
+    label = {r[0]: r[0] for r in rows}
+    for a, mz_a, bins_a, w_a in rows:
+        for b, mz_b, bins_b, w_b in rows:
+            other = dict(zip(bins_b, w_b))
+            dot = sum(w * other.get(x, 0.0) for x, w in zip(bins_a, w_a))
+            if a < b and abs(mz_a - mz_b) <= 1.0 and round(dot, 9) >= 0.6 and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    assert 1 < len(set(label.values())) < 120
+    assert found(8) == found(2_000) == label
+
+
 def test_checkpoint_folder_is_the_session_setting(spark):
     from specengine.session import checkpoint_folder, scratch_path
 
