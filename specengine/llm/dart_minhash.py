@@ -15,12 +15,15 @@ probability (1 - 0.8^8)^40 = 0.0006, one of 0.9 never; one of 0.4 meets with 0.0
 2. Bands are counted, and those of one node dropped.  In each band's bucket the node that shares most
    buckets leads: it is the most central text.  Members are paired with their leader, not with each other.
 3. Pairs are verified by the exact similarity of their whole texts; components of the links are classes.
-4. In every bucket the members outside the leader's class stay, elect leaders again (LEADERS of them, and
-   more each turn) and meet all of them, until no bucket has members of two classes left.  No bucket is
-   capped.
+4. A bucket whose members are of several classes stays open with all of them.  Its members outside its
+   largest class meet every member of another class, in blocks of BLOCK by BLOCK: a turn of the best
+   partner in each block, then, in buckets still open, a turn of all.  Pairs are told by their signatures
+   (one byte a coordinate) inside the block, each in the first band that both share, and only those that
+   may be similar enough are verified.  No bucket is capped.
 
-What this can miss: the bands' share above, and a link between two texts of which neither led a bucket
-that held both, unless another path links them.
+What this can miss: the bands' share above, and pairs whose signatures agree DEVIATIONS standard
+deviations less than their similarity lets expect (some 1e-9 of those at 0.8).  Every other pair that
+shares a bucket is verified, or its texts are of one class without it.
 
 Buckets, leaders and links are counted and joined by key; hot keys are partially aggregated or split by
 the adaptive skew join.  Defined cases: null texts and texts without words have no shingles, and each is
@@ -34,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +50,9 @@ SHINGLE = 5
 ROWS, BANDS = 8, 40
 COORDINATES = ROWS * BANDS
 SIMILARITY = 0.8
-#: Leaders of a bucket from the second turn on: so many at first, twice as many each turn, up to the most.
-LEADERS, MOST_LEADERS = 8, 64
+#: Members of a bucket that are compared with as many others in one block.
+BLOCK = 512
+DEVIATIONS = 6
 #: Text and rows that a task signs or compares at a time; a row throws some 2,800 darts, however short it is.
 STEP_BYTES, STEP_ROWS = 500_000, 512
 _GOLDEN = U(0x9E3779B97F4A7C15)
@@ -121,7 +126,8 @@ def node(text: Column) -> Column:
 
 
 def bands(nodes: DataFrame) -> DataFrame:
-    """(node, bands) of rows (node, text), one row per distinct node."""
+    """(node, bands, sig) of rows (node, text), one row per distinct node; sig has a byte per coordinate and
+    then the bands' keys."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=STEP_BYTES, rows=STEP_ROWS):
             own = batch.column(0).to_pylist()
@@ -129,12 +135,16 @@ def bands(nodes: DataFrame) -> DataFrame:
             batch = batch.take(pa.array(once))
             data, at = utf8(batch.column(1))
             element, row = weighted_elements(data, at)
-            keys = band_keys(signatures(element, row, batch.num_rows)).view(np.int64)
+            sig = signatures(element, row, batch.num_rows)
+            keys = band_keys(sig).view(np.int64)
+            # The high byte: the coordinate is made of the low ones.
+            short = [x.tobytes() + k.tobytes() for x, k in zip((sig >> U(56)).astype(np.uint8), keys)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(
-                pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))], ["node", "bands"])
+                pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel())),
+                pa.array(short, pa.binary())], ["node", "bands", "sig"])
 
-    made = nodes.mapInArrow(step, "node binary, bands array<long>")
-    return made.groupBy("node").agg(F.first("bands").alias("bands"))
+    made = nodes.mapInArrow(step, "node binary, bands array<long>, sig binary")
+    return made.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"))
 
 
 def jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -176,32 +186,114 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     members = stored(members.join(small_or_shuffled(stored(shared, "keys").select("key")), "key"), "members")
     some = small_or_shuffled(members.select("node").distinct())
     texts = stored(texts.join(some, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    labels, turn = None, 0
-    while not members.isEmpty():
-        if turn == 0:
-            counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-            central = members.join(counts, "key").groupBy("node").agg(F.sum("n").alias("shares"))
-            leaders = members.join(central, "node").groupBy("key").agg(
-                F.max_by("node", F.struct("shares", "node")).alias("leader"))
-        else:
-            part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(min(MOST_LEADERS, LEADERS << (turn - 1))))
-            leaders = members.groupBy("key", part.alias("part")).agg(F.min("node").alias("leader")).drop("part")
-        led = stored(members.join(small_or_shuffled(stored(leaders, "leaders")), "key"), "led")
-        pairs = led.filter(F.col("node") != F.col("leader")).select("node", "leader").distinct()
-        found = stored(verified(pairs, texts, similarity), "links")
-        labels = _joined(labels, found)
-        # Members outside all their leaders' classes go on; a leader has met everyone.
-        own = led.join(labels, "node", "left").withColumn("own", F.coalesce("cluster", "node")).drop("cluster")
-        theirs = labels.select(F.col("node").alias("leader"), F.col("cluster").alias("theirs"))
-        met = own.join(theirs, "leader", "left").groupBy("key", "node", "own").agg(
-            F.max(F.col("own") == F.coalesce("theirs", "leader")).alias("met"))
-        rest = stored(met.filter("NOT met").select("key", "node", "own"), "rest")
-        # A bucket whose members are of one class has nothing left to find.
-        open_keys = rest.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter(
-            "low <> high").select("key")
-        members = stored(rest.select("key", "node").join(small_or_shuffled(stored(open_keys, "open")), "key"), "members")
-        turn += 1
-    return labels if labels is not None else spark.createDataFrame([], "node binary, cluster binary")
+    if members.isEmpty():
+        return spark.createDataFrame([], "node binary, cluster binary")
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    central = members.join(counts, "key").groupBy("node").agg(F.sum("n").alias("shares"))
+    leaders = members.join(central, "node").groupBy("key").agg(
+        F.max_by("node", F.struct("shares", "node")).alias("leader"))
+    led = members.join(small_or_shuffled(stored(leaders, "leaders")), "key")
+    pairs = led.filter(F.col("node") != F.col("leader")).select("node", "leader").distinct()
+    labels = _joined(None, stored(verified(pairs, texts, similarity), "links"))
+    for best in (True, False):
+        members = stored(still_open(members, labels), "open")
+        if members.isEmpty():
+            break
+        # A node's buckets, BANDS at most, meet its signature as one row.
+        lists = members.groupBy("node", "own").agg(
+            F.collect_list(F.struct("key", "size", "asking", "asks")).alias("buckets"))
+        signed = lists.join(made.select("node", "sig"), "node").select(
+            "node", "own", "sig", F.explode("buckets").alias("b")).select("node", "own", "sig", "b.*")
+        pairs = candidates(signed, similarity, best)
+        labels = _joined(labels, stored(verified(pairs, texts, similarity), "links"))
+    return labels
+
+
+def still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (key, node, own: their class) of the buckets that hold several classes, with the bucket's
+    size, the number outside its largest class (asking) and whether the member is one of these (asks)."""
+    own = members.select("key", "node").join(labels, "node", "left").select(
+        "key", "node", F.coalesce("cluster", "node").alias("own"))
+    own = stored(own, "own")
+    by_class = own.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n"))
+    keys = by_class.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "own")).alias("most")).filter(
+        "size > most.n").select("key", "size", (F.col("size") - F.col("most.n")).alias("asking"),
+                                F.col("most.own").alias("largest"))
+    return own.join(small_or_shuffled(stored(keys, "keys")), "key").select(
+        "key", "node", "own", "size", "asking", (F.col("own") != F.col("largest")).alias("asks"))
+
+
+def candidates(members: DataFrame, similarity: float, best: bool) -> DataFrame:
+    """Distinct pairs (node, leader) of different classes that share a bucket and whose signatures may be
+    those of similar texts; best: of each asking member only the best one in each block.
+
+    One of the two asks in every bucket that holds both, so the first one they share is enough."""
+    least = COORDINATES * similarity - DEVIATIONS * (COORDINATES * similarity * (1 - similarity)) ** 0.5
+    # A block holds a part of a bucket's members and a part of its asking ones; each of both meets each once.
+    blocks, parts = (F.ceil(F.col(c) / BLOCK).cast("long") for c in ("size", "asking"))
+    place = F.xxhash64("node")
+
+    def every(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+    rows = members.select("key", F.pmod(place, blocks).alias("block"), every(parts).alias("part"),
+                          F.lit(False).alias("turn"), "asks", "node", "own", "sig")
+    rows = rows.union(members.filter("asks").select(
+        "key", every(blocks).alias("block"), F.pmod(place, parts).alias("part"),
+        F.lit(True).alias("turn"), "asks", "node", "own", "sig"))
+    group = ["key", "block", "part"]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            # The last block may go on in the next batch.
+            table = pa.Table.from_batches([*rest, batch]).combine_chunks()
+            if not table.num_rows:
+                continue
+            ids = [table.column(c).to_numpy() for c in group]
+            new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
+            last = int(new[-1]) if len(new) else 0
+            rest = table.slice(last).to_batches()
+            if last:
+                yield found(table.slice(0, last), [0, *new.tolist()])
+        if rest:
+            table = pa.Table.from_batches(rest)
+            yield found(table, [0, table.num_rows])
+
+    def found(table: pa.Table, at: list[int]) -> pa.RecordBatch:
+        sig = utf8(table.column("sig"))[0].reshape(-1, COORDINATES + 8 * BANDS)
+        sig, bands = sig[:, :COORDINATES], sig[:, COORDINATES:]
+        bands = np.ascontiguousarray(bands).view(np.int64)
+        key, node = table.column("key").to_numpy(), table.column("node").combine_chunks()
+        rank = pc.rank(node, tiebreaker="dense").to_numpy()
+        own = utf8(table.column("own"))[0].reshape(-1, 16).view(np.uint64)
+        turn, asks = table.column("turn").to_numpy(), table.column("asks").to_numpy()
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for low, high in zip(at, at[1:]):
+            others = low + np.flatnonzero(~turn[low:high])
+            theirs, of = sig[others], own[others]
+            for i in low + np.flatnonzero(turn[low:high]):
+                agree = agreement(theirs, sig[i])
+                near = np.flatnonzero((agree >= least) & (of != own[i]).any(axis=1))
+                shared = (bands[others[near]] == bands[i]).argmax(axis=1)
+                near = near[bands[i][shared] == key[i]]
+                if best and len(near):
+                    near = near[[np.argmax(agree[near])]]
+                elif len(near):  # where both ask, one of them does
+                    near = near[~asks[others[near]] | (rank[others[near]] > rank[i])]
+                left.append(np.full(len(near), i))
+                right.append(others[near])
+        return pa.RecordBatch.from_arrays(
+            [node.take(pa.array(np.concatenate(x))) for x in (left, right)], ["a", "b"])
+
+    pairs = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(step, "a binary, b binary")
+    return pairs.select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("leader")).distinct()
+
+
+def agreement(sigs: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Coordinates on which each of some byte signatures agrees with another one."""
+    lanes = (sigs == sig).view(np.uint64).sum(axis=1)  # eight sums of 40 at most
+    return lanes.view(np.uint8).reshape(-1, 8).sum(axis=1, dtype=np.int64)
 
 
 def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:

@@ -154,6 +154,54 @@ def test_near_duplicates(docs, nothing):
     assert dart_minhash.near_duplicates(nothing[0]).count() == 0
 
 
+def edited(text, places, mark):
+    out = list(text)
+    for p in places:
+        out[p] = f"{mark}at{p}"
+    return out
+
+
+def test_near_duplicates_of_one_member(spark):
+    """Groups of near copies, each with texts that are similar to one member only, and chains of three."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(300)]
+        spots = np.arange(6, 294, 6)
+        for v in range(200 if g == 0 else 50):
+            one = edited(base, [rng.choice(spots[:24])], f"v{v}")
+            rows.append(" ".join(one))
+            if v < 15:
+                rows.append(" ".join(edited(one, rng.choice(spots[24:], 6, False), f"p{v}")))
+    for c in range(20):
+        chain = [f"c{c}w{i}" for i in range(300)]
+        for k in range(3):
+            rows.append(" ".join(chain))
+            chain = edited(chain, range(6 + 96 * k, 6 + 96 * k + 36, 6), f"k{k}")
+    rows = list(enumerate(rows))
+    got = dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == brute_classes(rows)
+
+
+@pytest.mark.parametrize("best", [True, False])
+def test_candidates_meet_across_blocks(spark, monkeypatch, best):
+    monkeypatch.setattr(dart_minhash, "BLOCK", 3)
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 256, 320, np.uint8)
+    sigs = [np.where(rng.random(320) < 0.05 * (i % 5), rng.integers(0, 256, 320, np.uint8), base) for i in range(20)]
+    node = [bytes([i]) * 16 for i in range(20)]
+    own = [node[0] if i < 9 else node[i] for i in range(20)]
+    keys = np.array([[7, *range(100 * i, 100 * i + 39)] for i in range(20)])
+    rows = spark.createDataFrame(
+        [(7, node[i], own[i], 20, 11, i >= 9, sigs[i].tobytes() + keys[i].tobytes()) for i in range(20)],
+        "key long, node binary, own binary, size long, asking long, asks boolean, sig binary")
+    got = {(bytes(r.node)[0], bytes(r.leader)[0]) for r in dart_minhash.candidates(rows, 0.8, best).collect()}
+    want = {(a, b) for a in range(20) for b in range(a + 1, 20)
+            if own[a] != own[b] and (sigs[a] == sigs[b]).sum() >= 256 - 6 * 51.2 ** 0.5}
+    assert got < want if best else got == want
+    assert {i for p in got for i in p} >= set(range(9, 20))
+
+
 def test_signatures_estimate_similarity():
     base = [f"w{i}" for i in range(400)]
     rows = [" ".join(base), " ".join(base[:-40] + [f"x{i}" for i in range(40)]), " ".join(base * 2), "a b"]
