@@ -9,8 +9,12 @@ matched.
 Only regions with a run of three successive template words are aligned: hits of a template closer than
 its length form one region, widened by the template's words before the first and behind the last hit.
 A text that covers MIN_COVERAGE of a template of MIN_WORDS words or more shares such a run unless every
-third word differs, so the regions lose nothing else.  A region is as long as its hits reach, and a
-template may be found several times.
+third word differs, so the regions lose nothing else.  A region is as long as its hits reach.
+
+A template may be found several times, however close: where the hits' place in the template falls back, a
+new copy begins.  Each copy is aligned by itself, and so is the template's length around each beginning
+that a hit implies (a chance hit may have cut a copy); of overlapping finds of a template that with most
+matched words stays, then the shortest.  The region as a whole counts if it matches more than its only copy.
 
 Defined cases: null text and text without words have no license; of overlapping finds that with most
 matched words stays, ties by name; repeated rows are scanned each.
@@ -134,6 +138,18 @@ def _runs(word: np.ndarray) -> np.ndarray:
     return mix(mix(word[:-2] + U(1)) + mix(word[1:-1] + U(2)) + mix(word[2:] + U(3)))
 
 
+def _copies(hits: list[tuple[int, list[int]]]) -> list[list[int]]:
+    """[first place, its offset, last place, its offset] of each ascending stretch of hits (place, offsets)."""
+    out: list[list[int]] = []
+    for at, offsets in hits:
+        on = [o for o in offsets if out and o > out[-1][3]]
+        if on:
+            out[-1][2:] = [at, min(on)]
+        else:
+            out.append([at, min(offsets), at, min(offsets)])
+    return out
+
+
 class Scanner:
     def __init__(self, templates: Mapping[str, str], min_coverage: float):
         self.names = sorted(templates)
@@ -156,31 +172,60 @@ class Scanner:
         low, high = np.searchsorted(self.keys, run), np.searchsorted(self.keys, run, "right")
         first = np.searchsorted(row, np.arange(len(column)))
         stop = np.append(first[1:], len(word))
-        regions: dict[tuple[int, int], list[list[int]]] = {}
+        regions: dict[tuple[int, int], list[list[tuple[int, list[int]]]]] = {}
         for at in np.flatnonzero((high > low) & (row[:-2] == row[2:])):
-            for k in range(low[at], high[at]):
-                t, offset = self.of[k]
-                size, r = len(self.words[t]), int(row[at])
-                own = regions.setdefault((r, t), [])
-                begin, end = int(at) - offset - size // 4, int(at) + size - offset + size // 4
-                if own and int(at) - own[-1][2] <= size:
-                    own[-1] = [min(own[-1][0], begin), max(own[-1][1], end), int(at)]
+            hits: dict[int, list[int]] = {}
+            for t, offset in self.of[low[at]:high[at]]:
+                hits.setdefault(t, []).append(offset)
+            for t, offsets in hits.items():
+                own = regions.setdefault((int(row[at]), t), [])
+                if own and int(at) - own[-1][-1][0] <= len(self.words[t]):
+                    own[-1].append((int(at), offsets))
                 else:
-                    own.append([begin, end, int(at)])
+                    own.append([(int(at), offsets)])
         for (r, t), found in regions.items():
-            template = self.words[t].tolist()
-            for begin, end, _ in found:
-                begin, end = max(begin, int(first[r])), min(end, int(stop[r]))
-                pairs = align(word[begin:end].tolist(), template)
-                if len(pairs) >= self.min_coverage * len(template):
-                    out[r].append((self.names[t], len(pairs) / len(template), len(pairs),
-                                   begin + pairs[0][0] - int(first[r]), begin + pairs[-1][0] - int(first[r])))
+            for hits in found:
+                out[r] += self._finds(word, int(first[r]), int(stop[r]), t, hits)
         return [self._apart(finds) for finds in out]
 
+    def _finds(self, word: np.ndarray, first: int, stop: int, t: int, hits: list[tuple[int, list[int]]]) -> list[tuple]:
+        """Finds of a template in a region, from its hits (place, offsets in the template) in order."""
+        template = self.words[t].tolist()
+        size = len(template)
+        margin = size // 4
+
+        def find(begin: int, end: int) -> list[tuple]:
+            begin, end = max(begin, first), min(end, stop)
+            pairs = align(word[begin:end].tolist(), template)
+            if len(pairs) < self.min_coverage * size:
+                return []
+            return [(self.names[t], len(pairs) / size, len(pairs),
+                     begin + pairs[0][0] - first, begin + pairs[-1][0] - first)]
+
+        begins = [at - offset for at, offsets in hits for offset in offsets]
+        whole = min(begins) - margin, max(begins) + size + margin
+        copies = _copies(hits)
+        if len(copies) == 1:
+            return find(*whole)
+        finds: list[tuple] = []
+        for k, (at, offset, last, reached) in enumerate(copies):
+            begin, end = at - offset - margin, last + size - reached + margin
+            if k:
+                begin = max(begin, min(copies[k - 1][2] + RUN, at))
+            if k + 1 < len(copies):
+                end = min(end, max(copies[k + 1][0] - copies[k + 1][1], last + RUN))
+            finds += find(begin, end)
+        for begin in sorted(set(begins)):
+            finds += find(begin, begin + size) + find(begin - margin, begin + size + margin)
+        finds = self._apart(sorted(set(finds), key=lambda f: (-f[2], f[4] - f[3], f[3])), True)
+        if len(finds) < 2:
+            return max(finds, find(*whole), key=lambda f: f[0][2] if f else 0)
+        return finds
+
     @staticmethod
-    def _apart(finds: list[tuple]) -> list[tuple]:
+    def _apart(finds: list[tuple], ordered: bool = False) -> list[tuple]:
         kept: list[tuple] = []
-        for find in sorted(finds, key=lambda f: (-f[2], f[0], f[3])):
+        for find in finds if ordered else sorted(finds, key=lambda f: (-f[2], f[0], f[3])):
             if all(find[4] < k[3] or find[3] > k[4] for k in kept):
                 kept.append(find)
         return kept

@@ -385,6 +385,27 @@ def test_license_scan(spark, docs, nothing):
     assert license_align.scan(nothing[0]).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(license_align.TEMPLATES))
+def test_license_copies_close_together(name):
+    notice = license_align.TEMPLATES[name]
+    scanner = license_align.Scanner(license_align.TEMPLATES, license_align.MIN_COVERAGE)
+    n = len(license_align.word_hashes(pa.array([notice]))[0])
+    words = notice.split()
+    changed = " ".join("other" if i == len(words) // 2 and len(words) > 10 else w for i, w in enumerate(words))
+    numbered = " ".join(f"{i} {w}" if len(words) > 40 and i % 3 == 2 else w for i, w in enumerate(words))
+    for copies in ([notice] * 2, [notice] * 3, [notice, changed, notice], [changed] * 2, [numbered] * 2):
+        for between in ("", "and", "some words that stand between them"):
+            text = "foo " + f" {between} ".join(copies) + " bar"
+            found = sorted(f for f in scanner.scan(pa.array([text]))[0] if f[0] == name)
+            assert len(found) == len(copies), (copies, between)
+            total = len(license_align.word_hashes(pa.array([text]))[0])
+            gap = len(between.split())
+            size = (total - 2 - gap * (len(copies) - 1)) // len(copies)
+            places = [1 + k * (size + gap) for k in range(len(copies))]
+            assert [(f[3], f[4]) for f in sorted(found, key=lambda f: f[3])] == [(p, p + size - 1) for p in places]
+            assert all(f[2] >= n - 1 for f in found)
+
+
 def test_fingerprints(spark, docs, nothing):
     rows = sorted(((i, t) for i, t in texts(docs)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     want = Counter()
