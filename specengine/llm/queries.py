@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specengine.llm import (
-    dart_minhash, language_id, license_align, mixing, packing, quality_lm, quality_rules, scaled_sketch, toxicity,
-    warc_dict,
+    dart_minhash, language_id, learned_partitions, license_align, mixing, packing, prefix_trie, quality_lm,
+    quality_rules, scaled_sketch, toxicity, warc_dict, whitening,
 )
 from specengine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op1_mixing": mixing.MIX_SQL}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.MIX_SQL, "op12_prefix_trie": prefix_trie.TRIE_SQL}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -82,3 +82,18 @@ def op9_license_align(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_scaled_sketch(spark: SparkSession, folder: str) -> DataFrame:
     return scaled_sketch.fingerprints(table(spark, folder, "documents"))
+
+
+@query
+def op11_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    return learned_partitions.search(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
+
+
+@query
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
