@@ -421,30 +421,75 @@ def peak_keys(spark, folder):
         F.count(F.lit(1)).alias("n"))
 
 
-@query("cluster_by_peak")
+def _pass_sql(step: str, window: float, majors: str) -> str:
+    """One pass over rows_<step> (id, pmz, bin, w): links by similarity, components c_<step> (id, cluster)."""
+    return f""",
+unit_{step} AS (
+  SELECT id, pmz, bin, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w,
+         row_number() OVER (PARTITION BY id ORDER BY w DESC, bin) <= {majors} AS major FROM rows_{step}),
+link_{step} AS (
+  SELECT a.id AS x, b.id AS y FROM unit_{step} a JOIN unit_{step} b
+  ON a.bin = b.bin AND a.id < b.id AND abs(a.pmz - b.pmz) <= {window}
+  GROUP BY a.id, b.id HAVING round(sum(a.w * b.w), 9) >= {CL.SIMILARITY} AND bool_or(a.major AND b.major)),
+both_{step} AS (SELECT x, y FROM link_{step} UNION ALL SELECT y, x FROM link_{step}),
+c_{step}(id, cluster) USING KEY (id) AS (
+  SELECT DISTINCT id, id AS cluster FROM rows_{step}
+  UNION (SELECT e.y, min(c.cluster) FROM c_{step} c JOIN both_{step} e ON e.x = c.id
+         JOIN recurring.c_{step} r ON r.id = e.y WHERE c.cluster < r.cluster GROUP BY e.y))"""
+
+
+def _merge_sql(step: str, before: str, window: float) -> str:
+    """Merge the clusters m_<before> (id, cluster) by their consensus into m_<step>, which keeps the centres' m/z."""
+    return f""",
+rows_{step} AS (
+  SELECT m.cluster AS id, any_value(f.pmz) AS pmz, CAST(floor(p.mz) AS INTEGER) AS bin, sqrt(sum(p.intensity)) AS w
+  FROM peaks p JOIN m_{before} m ON m.id = p.id
+  JOIN (SELECT cluster, avg(s.pmz) AS pmz FROM m_{before} m JOIN precursors s ON s.id = m.id GROUP BY cluster) f
+  ON f.cluster = m.cluster GROUP BY 1, 3)""" + _pass_sql(step, window, "1e9") + f""",
+m_{step} AS (SELECT m.id, c.cluster FROM m_{before} m JOIN c_{step} c ON c.id = m.cluster)"""
+
+
+BY_PEAK_SQL = ctes("peak_rows", "precursors").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""",
+rows_1 AS (
+  SELECT p.id, any_value(s.pmz) AS pmz, CAST(floor(mz) AS INTEGER) AS bin, sqrt(sum(intensity)) AS w
+  FROM peaks p JOIN precursors s ON s.id = p.id WHERE s.pmz < {CL.MZ_LIMIT} GROUP BY p.id, 3)""" + _pass_sql(
+    "1", CL.MZ_WINDOW, str(CL.MAJOR_PEAKS)) + """,
+m_1 AS (SELECT id, cluster FROM c_1)"""
+MERGE_SQL = BY_PEAK_SQL + _merge_sql("2", "1", CL.MZ_WINDOW / 4)
+
+
+@query("cluster_by_peak", BY_PEAK_SQL + " SELECT id, cluster FROM m_1")
 def cluster_by_peak(spark, folder):
     return CL.cluster_by_peak(spectra(spark, folder))
 
 
-@query("merge_bins")
+@query("merge_bins", MERGE_SQL + " SELECT id, cluster FROM m_2")
 def merge_bins(spark, folder):
     scans = spectra(spark, folder)
     return CL.merge_bins(scans, CL.cluster_by_peak(scans), CL.MZ_WINDOW / 4)
 
 
-@query("cluster_spectra")
+@query("cluster_spectra", MERGE_SQL + _merge_sql("3", "2", CL.MZ_WINDOW) + """
+SELECT cluster, count(*) AS n_members FROM m_3 GROUP BY cluster""")
 def cluster_spectra(spark, folder):
     return CL.cluster_spectra(spectra(spark, folder)).groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n_members"))
 
 
-@query("write_clusters_by_mz", SPECTRA_SQL + "SELECT CAST(count(*) AS BIGINT) AS n_members FROM spectra")
+@query("write_clusters_by_mz", BY_PEAK_SQL + f"""
+SELECT cluster, count(*) AS n_members, round(avg(pmz), 6) AS precursor_mz, CAST(floor(avg(pmz)) AS INTEGER) AS mz_int,
+       CAST(floor(floor(avg(pmz)) / {S.MZ_BAND}) AS INTEGER) AS mz_band, any_value(n) AS n_bins
+FROM m_1 JOIN precursors s ON s.id = m_1.id JOIN (
+  SELECT cluster AS c, count(DISTINCT floor(mz)) AS n FROM m_1 JOIN peaks p ON p.id = m_1.id GROUP BY cluster)
+ON c = cluster GROUP BY cluster""")
 def write_clusters_by_mz(spark, folder):
-    """Every spectrum is in exactly one of the written clusters."""
+    """Every cluster as it is read back, with the band of m/z that its folder names."""
     path = scratch_path(spark, "clusters")
     scans = spectra(spark, folder)
     S.write_clusters_by_mz(CL.consolidate(scans, CL.cluster_by_peak(scans)), path)
-    return spark.read.parquet(path).agg(F.sum("n_members").alias("n_members"))
+    return spark.read.parquet(path).select(
+        "cluster", "n_members", F.round("precursor_mz", 6).alias("precursor_mz"), "mz_int", "mz_band",
+        F.size("bins").cast("long").alias("n_bins"))
 
 
 @query("pre_flight", SPECTRA_SQL + "SELECT count(*) AS n FROM spectra WHERE z BETWEEN 1 AND 3")

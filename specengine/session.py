@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Where a local session without `spark.checkpoint.dir` keeps the folder it made.
+OWN_FOLDER = "specengine.checkpoint.dir"
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     return (
@@ -51,13 +56,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
     It is the one the cluster names in `spark.checkpoint.dir`.  Only a local
     session without that setting gets a temporary folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_FOLDER, None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="specengine-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    spark.conf.set(OWN_FOLDER, folder)  # Spark's own setting can't be changed in a running session
     return folder
 
 
@@ -75,6 +80,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame into the shared folder and read it back.
+
+    Unlike a checkpoint, the result has the sizes of its files: estimates of a
+    loop over stored frames don't multiply from round to round.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores when the input has fewer splits than that (one file, one row group).
 

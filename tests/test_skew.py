@@ -1,5 +1,6 @@
 """Numbering and joins that split hot keys must give what the plain forms give."""
 
+import os
 import random
 
 import numpy as np
@@ -86,8 +87,10 @@ def test_components_equal_union_find(spark):
     for a, b in links:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
-    got = CL.connected_components(spark.createDataFrame(links, "id long, leader long")).collect()
-    assert {r.id: r.cluster for r in got} == {x: find(x) for x in list(root)}
+    df = spark.createDataFrame(links, "id long, leader long")
+    for most in (0, 100, 10_000):  # rounds to the end, rounds and one task, one task
+        got = CL.connected_components(df, links_per_task=most).collect()
+        assert {r.id: r.cluster for r in got} == {x: find(x) for x in list(root)}
 
 
 def test_copies_cluster_and_strangers_do_not(spark):
@@ -100,38 +103,92 @@ def test_copies_cluster_and_strangers_do_not(spark):
     rows += [spectrum(200 + i, 900.0, one) for i in range(5)]
     df = spark.createDataFrame(rows, "id long, precursor struct<mz:double,charge:int,intensity:double>,"
                                      " peaks array<struct<mz:double,intensity:double>>")
-    links = CL.star_links(CL.peak_keys(CL.binned_vectors(df)), rows_per_task=8)
-    assert links.count() < 55 * 8
+    nodes, copies = CL.alike(CL.ranked_vectors(CL.bin_rows(df)), CL.MZ_WINDOW)
+    assert nodes.count() == 3 and copies.count() == 55
     got = {r.id: r.cluster for r in CL.cluster_spectra(df).collect()}
     groups = [{got[r[0]] for r in rows if lo <= r[0] < lo + 100} for lo in (0, 100, 200)]
     assert [len(g) for g in groups] == [1, 1, 1]
     assert len(set().union(*groups)) == 3
 
 
-def test_split_groups_give_the_clusters_of_brute_force(spark):
-    rng = np.random.default_rng(3)
-    rows = []
-    for i in range(120):  # half of them hold the same major peak, and many are copies
-        weights = np.ones(6) if i % 3 == 0 else rng.random(6)
-        bins = [200, *sorted(rng.choice(np.arange(201, 215), 5, replace=False).tolist())] if i % 3 else list(range(200, 206))
-        rows.append((i, float(500 + rng.random() * 6), bins, (weights / np.linalg.norm(weights)).tolist()))
-    keyed = spark.createDataFrame(rows, "id long, precursor_mz double, bins array<int>, weights array<double>").withColumn(
-        "key", F.lit(200).cast("long"))
+def cluster_rows(kind, n, rng):
+    """(id, m/z, {bin: intensity}) of spectra that crowd one group in different ways."""
+    for i in range(n):
+        mz = float(500 + rng.random() * 6)
+        if kind == "shared peak":  # all hold one peak, and many are copies
+            bins = [200, *rng.choice(np.arange(201, 215), 5, replace=False)] if i % 3 else range(200, 206)
+            peaks = {int(x): float(rng.integers(1, 9)) if i % 3 else 1.0 for x in bins}
+        elif kind == "near copies":
+            peaks = {300 + x: 5.0 + float(rng.integers(0, 2)) for x in range(8)}
+        elif kind == "chain":  # every spectrum is like its neighbours only
+            mz, peaks = 700.0 + i * 0.7, {400 + i + x: 1.0 for x in range(4)}
+        else:  # a peak that all have, below any use for the similarity
+            peaks = {500: 6.0, **{1000 + 7 * i + x: 1.0 for x in range(6)}}
+        yield i, mz, peaks
 
-    def found(parts):
-        links = CL.star_links(keyed, 1.0, 0.6, rows_per_task=parts)
-        return {r.id: r.cluster for r in CL.connected_components(links).collect()}
 
+def brute_clusters(rows, majors):
     label = {r[0]: r[0] for r in rows}
-    for a, mz_a, bins_a, w_a in rows:
-        for b, mz_b, bins_b, w_b in rows:
-            other = dict(zip(bins_b, w_b))
-            dot = sum(w * other.get(x, 0.0) for x, w in zip(bins_a, w_a))
-            if a < b and abs(mz_a - mz_b) <= 1.0 and round(dot, 9) >= 0.6 and label[a] != label[b]:
-                low, high = sorted((label[a], label[b]))
-                label = {k: low if v == high else v for k, v in label.items()}
-    assert 1 < len(set(label.values())) < 120
-    assert found(8) == found(2_000) == label
+    unit = {}
+    for i, _, peaks in rows:
+        w = {b: v**0.5 for b, v in peaks.items()}
+        norm = sum(v * v for v in w.values()) ** 0.5
+        largest = set(sorted(w, key=lambda b: (-w[b], b))[:majors])
+        unit[i] = {b: v / norm for b, v in w.items()}, largest
+    for a, mz_a, _ in rows:
+        for b, mz_b, _ in rows:
+            if a < b and abs(mz_a - mz_b) <= 1.0 and label[a] != label[b]:
+                (x, major_x), (y, major_y) = unit[a], unit[b]
+                dot = sum(w * y.get(k, 0.0) for k, w in x.items())
+                if round(dot, 9) >= 0.6 and major_x & major_y:
+                    low, high = sorted((label[a], label[b]))
+                    label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("kind", ["shared peak", "near copies", "chain"])
+def test_clusters_are_those_of_brute_force(spark, kind, monkeypatch):
+    rows = list(cluster_rows(kind, 120, np.random.default_rng(3)))
+    df = spark.createDataFrame(
+        [(i, (mz, 2, None), [(float(b), v) for b, v in p.items()]) for i, mz, p in rows],
+        "id long, precursor struct<mz:double,charge:int,intensity:double>, peaks array<struct<mz:double,intensity:double>>")
+    want = brute_clusters(rows, CL.MAJOR_PEAKS)
+    assert 1 <= len(set(want.values())) < 150
+    for parts in (8, 2_000):  # groups split into parts, and compared at once
+        got = {r.id: r.cluster for r in CL.cluster_by_peak(df, rows_per_task=parts).collect()}
+        assert got == want
+
+
+def test_a_peak_that_all_have_makes_no_group(spark):
+    rows = list(cluster_rows("common peak", 3000, np.random.default_rng(5)))
+    df = spark.createDataFrame(
+        [(i, (500.0, 2, None), [(float(b), v) for b, v in p.items()]) for i, _, p in rows],
+        "id long, precursor struct<mz:double,charge:int,intensity:double>, peaks array<struct<mz:double,intensity:double>>")
+    vectors = CL.ranked_vectors(CL.bin_rows(df))
+    prefix = vectors.select(F.explode("prefix").alias("p")).select("p.key", "p.rest")
+    # The common peak ends every prefix, with a norm whose square is below the similarity or just above it.
+    shared = prefix.filter("key = 500").agg(F.max("rest")).first()[0]
+    assert prefix.filter("key = 500").count() == 3000 and shared**2 == pytest.approx(0.5)
+    nodes, _ = CL.alike(vectors, 1.0)
+    assert CL.star_links(nodes, rows_per_task=500).count() == 0
+
+
+def test_large_groups_equal_small_ones():
+    rng = np.random.default_rng(8)
+    n = 90
+    rows = []
+    for i in range(n):
+        bins = np.sort(rng.choice(12, 5, replace=False))
+        w = rng.random(5) + 0.1
+        rows.append((bins, w / np.linalg.norm(w), rng.random(5) < 0.6, 500 + 3 * rng.random()))
+    rows.sort(key=lambda r: r[3])
+    bins, weights, major = (np.concatenate([r[k] for r in rows]) for k in range(3))
+    lo = np.array([r[3] for r in rows])
+    at, rest = np.arange(0, 5 * n + 1, 5), np.ones(n)
+    many, few = np.arange(n), np.arange(n)
+    CL._link_many(many, 0, n, lo, lo, rest, bins, weights, major, at, 1.0, 0.6)
+    CL._link_few(few, np.arange(n), np.zeros(n, int), lo, lo, rest, bins, weights, major, at, 1.0, 0.6)
+    assert (many == few).all() and 1 < len(set(many)) < n
 
 
 def test_checkpoint_folder_is_the_session_setting(spark):
@@ -140,6 +197,30 @@ def test_checkpoint_folder_is_the_session_setting(spark):
     assert scratch_path(spark, "x").startswith(checkpoint_folder(spark).rstrip("/"))
 
 
+class Unset:
+    """A session as it is without `spark.checkpoint.dir`."""
+
+    def __init__(self, spark, master):
+        self.spark, self.conf, self.sparkContext, self.master = spark, self, self, master
+
+    def get(self, key, default=None):
+        return default if key == "spark.checkpoint.dir" else self.spark.conf.get(key, default)
+
+    def set(self, key, value):
+        self.spark.conf.set(key, value)
+
+
+def test_checkpoint_folder_of_a_session_without_the_setting(spark):
+    from specengine.session import OWN_FOLDER, checkpoint_folder
+
+    folder = checkpoint_folder(Unset(spark, "local[4]"))
+    assert os.path.isdir(folder) and checkpoint_folder(Unset(spark, "local[4]")) == folder
+    spark.conf.unset(OWN_FOLDER)
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            checkpoint_folder(Unset(spark, master))
+
+
 def test_select_proteins_containing(spark):
     proteins = spark.createDataFrame([("A", "MKWVTFISLL"), ("B", "GGGGGG"), ("C", "TFIS")], "protein string, sequence string")
     listed = spark.createDataFrame([("TFIS",), ("VTFISL",)], "sequence string")
