@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +35,18 @@ def within_limits(scan: Column, peptide: Column, charge: Column,
 SizedBy = tuple[DataFrame, DataFrame] | None
 
 
+class Window(NamedTuple):
+    """Which peptides a spectrum meets: the reach around its mass, its charges, and the exact rule.
+
+    `keeps` takes the scan's mass, its charge and the peptides' masses, and tells which are kept.
+    """
+
+    below: float
+    above: float
+    charges: tuple[int, ...] | None
+    keeps: Callable[[float, int, np.ndarray], np.ndarray]
+
+
 def bin_charge_join(spectra: DataFrame, library: DataFrame, window: float = BIN_HALF_WINDOW,
                     sized_by: SizedBy = None) -> DataFrame:
     """Spectra of charge 1..3 with the peptides whose M+H lies within the window.
@@ -81,13 +97,15 @@ def unknown_charge(spectra: DataFrame) -> DataFrame:
 
 def unknown_charge_join(spectra: DataFrame, library: DataFrame, plus: float = PLUS_LIMIT,
                         minus: float = MINUS_LIMIT) -> DataFrame:
-    """Window join after trying charges; the window is per charge, so it widens with it."""
+    """Window join after trying charges; the window is per charge, so it widens with it.
+
+    A row's band follows its own charge; the bins are as wide as that of charge 1.
+    """
     scans = unknown_charge(spectra).withColumn(
         "precursor_mass", precursor_mass(F.col("precursor.mz"), F.col("tried_charge")))
     z = F.col("tried_charge")
-    widest = max(CHARGES)
     return range_join(
-        scans, library, "precursor_mass", "matching_mass", plus * widest, minus * widest,
+        scans, library, "precursor_mass", "matching_mass", plus * z, minus * z, width=plus + minus,
         predicate=lambda: within_limits(
             F.col("precursor_mass"), F.col("matching_mass"), z, plus, minus))
 
@@ -103,6 +121,30 @@ def da_tolerance_join(spectra: DataFrame, library: DataFrame, tolerance: float =
                       sized_by=_with_mass(sized_by))
 
 
+def _k_index(value: np.ndarray) -> np.ndarray:
+    whole = np.trunc(value)
+    return np.where(np.abs(value - whole) < 0.00001, whole, np.trunc(value / 1.0005 + 0.5))
+
+
+def _in_limits(mass: float, charge: int, peptides: np.ndarray) -> np.ndarray:
+    """Looked up under its whole masses, and within the limits per charge."""
+    low, high = _k_index(np.array([mass - PLUS_LIMIT - 0.5, mass + MINUS_LIMIT + 0.4]))
+    delta = (mass - peptides) / max(charge, 1)
+    whole = _k_index(peptides)
+    return (whole >= low) & (whole < high) & np.where(delta > 0, delta <= PLUS_LIMIT, -delta <= MINUS_LIMIT)
+
+
+# The windows of the joins above, for scoring in blocks.
+BINS = Window(BIN_HALF_WINDOW, BIN_HALF_WINDOW, CHARGES, lambda m, z, p: np.abs(p - m) <= BIN_HALF_WINDOW)
+LIMITS = Window(PLUS_LIMIT + 2, MINUS_LIMIT + 2, None, _in_limits)
+
+
+def dalton_window(tolerance: float = 1.0, units: str = "Daltons") -> Window:
+    """|peptide - precursor| < tolerance; with ppm units no candidate beyond 0.5 Da is met."""
+    reach = min(tolerance, 0.5) if units.lower() == "ppm" else tolerance
+    return Window(reach, reach, None, lambda m, z, p: np.abs(p - m) < reach)
+
+
 def peak_match_join(ions: DataFrame, peaks: DataFrame, error: float, keys: list[str]) -> DataFrame:
     """Theoretical ions with the measured peaks within +-error (columns ion_mz, mz)."""
     return range_join(ions, peaks, "ion_mz", "mz", error, error, keys,

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +20,11 @@ FIT_MIN_COUNT, FIT_MIN_SURVIVORS = 200, 10
 DEFAULT_SLOPE, DEFAULT_INTERCEPT = -0.18, 3.5
 
 
+# A spectrum's state: its best matches, best first, and the number of scores per bin in unordered pieces.
+STATES = ("algorithm string, id {id}, top array<struct<hyperscore:double,peptide:string,charge:int,raw_score:double,score:double>>, "
+          "counts array<struct<bin:int,n:bigint>>")
+
+
 def _keys(psm: DataFrame) -> list[str]:
     return [k for k in ("algorithm", "id") if k in psm.columns]
 
@@ -71,29 +81,103 @@ def combine_scored_scans(parts: list[DataFrame]) -> DataFrame:
     return out.groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
-def survival_counts(histogram: DataFrame) -> DataFrame:
+def partial_states(rows: pa.Table, carried: int) -> pa.Table:
+    """States of the spectra of some scored pairs (algorithm, id, charge, peptide, scores)."""
+    if not rows.num_rows:
+        return pa.table({"algorithm": pa.array([], pa.string()), "id": rows.column("id"), "top": pa.array([], _TOP),
+                         "counts": pa.array([], _COUNTS)})
+    order = pa.compute.sort_indices(rows, [
+        ("algorithm", "ascending"), ("id", "ascending"), ("hyperscore", "descending"), ("peptide", "ascending")])
+    rows = rows.take(order)
+    keys = [rows.column(k).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            for k in ("algorithm", "id")]
+    new = np.ones(rows.num_rows, bool)
+    new[1:] = (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, rows.num_rows))
+    spectrum = np.repeat(np.arange(len(begin)), size)
+    kept = np.flatnonzero(np.arange(rows.num_rows) - begin[spectrum] < carried)
+    best = rows.take(pa.array(kept))
+    top = pa.StructArray.from_arrays(
+        [best.column(f.name).combine_chunks().cast(f.type) for f in _TOP.value_type], fields=list(_TOP.value_type))
+    bins = np.minimum(np.trunc(rows.column("hyperscore").to_numpy() * BIN_FACTOR + 0.5), 2**31 - 1).astype(np.int64)
+    cell, n = np.unique(np.stack((spectrum, bins)), axis=1, return_counts=True)
+    counts = pa.StructArray.from_arrays([pa.array(cell[1], pa.int32()), pa.array(n, pa.int64())], fields=list(_COUNTS.value_type))
+    ends = lambda of: pa.array(np.searchsorted(of, np.arange(len(begin) + 1)), pa.int32())
+    first = rows.take(pa.array(begin))
+    return pa.table({
+        "algorithm": first.column("algorithm"), "id": first.column("id"),
+        "top": pa.ListArray.from_arrays(ends(spectrum[kept]), top, type=_TOP),
+        "counts": pa.ListArray.from_arrays(ends(cell[0]), counts, type=_COUNTS)})
+
+
+_TOP = pa.list_(pa.struct([("hyperscore", pa.float64()), ("peptide", pa.string()), ("charge", pa.int32()),
+                           ("raw_score", pa.float64()), ("score", pa.float64())]))
+_COUNTS = pa.list_(pa.struct([("bin", pa.int32()), ("n", pa.int64())]))
+
+
+def merged_states(partial: DataFrame, carried: int = CARRIED_MATCHES) -> DataFrame:
+    """One row per spectrum: the only aggregation between scored pairs and their results."""
+    ranked = F.array_sort(
+        F.flatten(F.collect_list("top")),
+        lambda x, y: F.when(x.hyperscore > y.hyperscore, -1).when(x.hyperscore < y.hyperscore, 1)
+        .when(x.peptide < y.peptide, -1).when(x.peptide > y.peptide, 1).otherwise(0))
+    return partial.groupBy("algorithm", "id").agg(
+        F.slice(ranked, 1, carried).alias("top"), F.flatten(F.collect_list("counts")).alias("counts"))
+
+
+def spectrum_states(psm: DataFrame, carried: int = CARRIED_MATCHES) -> DataFrame:
+    """States of scored pairs; tasks combine their batches before the one shuffle by spectrum."""
+    none = lambda name, kind: psm[name] if name in psm.columns else F.lit(None).cast(kind).alias(name)
+    rows = psm.select(
+        none("algorithm", "string"), "id", none("charge", "int").cast("int").alias("charge"), "peptide",
+        none("raw_score", "double"), none("score", "double"), F.col("hyperscore").cast("double").alias("hyperscore"))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from partial_states(pa.Table.from_batches([batch]), carried).to_batches()
+
+    return merged_states(rows.mapInArrow(part, STATES.format(id=psm.schema["id"].dataType.simpleString())), carried)
+
+
+def matches_of(states: DataFrame) -> DataFrame:
+    """The best matches of the states as rows with their rank."""
+    return states.select("algorithm", "id", F.posexplode("top").alias("_i", "t")).select(
+        "algorithm", "id", "t.charge", "t.peptide", "t.raw_score", "t.score", "t.hyperscore",
+        (F.col("_i") + 1).cast("int").alias("rank"))
+
+
+def histogram_of(states: DataFrame) -> DataFrame:
+    """(algorithm, id, bin, n); the rows stay where their spectrum is."""
+    return states.select("algorithm", "id", F.explode("counts").alias("c")).groupBy(
+        "algorithm", "id", F.col("c.bin").alias("bin")).agg(F.sum("c.n").alias("n"))
+
+
+def survival_counts(histogram: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Scores at or above each bin, less the last bin; the last bin keeps its own count.
 
-    All bins from 0 on take part, also those without a score.
+    All bins from 0 on take part, also those without a score.  The histogram is
+    read once: the gaps are filled in the spectrum's row.  Columns to carry have
+    one value per spectrum.
     """
-    keys = [c for c in histogram.columns if c not in ("bin", "n")]
-    last = histogram.groupBy(*keys).agg(F.max("bin").alias("last"))
-    grid = last.select(*keys, "last", F.explode(F.sequence(F.lit(0), "last")).alias("bin"))
-    full = grid.join(histogram, [*keys, "bin"], "left")
-    above = W.partitionBy(*keys).orderBy(F.desc("bin"))
-    df = full.withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).withColumn(
-        "_above", F.sum("n").over(above)).withColumn(
-        "_tail", F.max(F.when(F.col("bin") == F.col("last"), F.col("n"))).over(
-            W.partitionBy(*keys)))
-    return df.withColumn("survivors", F.when(
-        F.col("bin") == F.col("last"), F.col("n")).otherwise(F.col("_above") - F.col("_tail"))
-    ).select(*keys, "bin", "n", "survivors")
-
-
-def expectation_fit(histogram: DataFrame) -> DataFrame:
+    keys = [c for c in histogram.columns if c not in ("bin", "n", *carry)]
+    listed = histogram.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("_l"), *[F.first(c).alias(c) for c in carry])
+    gap = lambda p, i: p.bin - F.coalesce(F.get("_l", i - 1).bin, F.lit(-1)) - 1
+    every = F.flatten(F.transform("_l", lambda p, i: F.concat(
+        F.array_repeat(F.lit(0).cast("long"), gap(p, i)), F.array(p.n))))
+    rows = listed.select(
+        *keys, *carry, F.element_at("_l", -1).bin.alias("_last"), F.element_at("_l", -1).n.alias("_tail"),
+        F.posexplode(every).alias("bin", "n"))
+    above = F.sum("n").over(W.partitionBy(*keys).orderBy(F.desc("bin")))
+    return rows.withColumn("survivors", F.when(F.col("bin") == F.col("_last"), F.col("n")).otherwise(
+        above - F.col("_tail"))).select(*keys, *carry, "bin", "n", "survivors")
+
+
+def expectation_fit(histogram: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per spectrum: slope and intercept of log10(survivors) against the bin."""
-    keys = [c for c in histogram.columns if c not in ("bin", "n")]
-    survivors = survival_counts(histogram).withColumn("_top", F.max(
+    keys = [c for c in histogram.columns if c not in ("bin", "n", *carry)]
+    survivors = survival_counts(histogram, carry).withColumn("_top", F.max(
         F.when(F.col("bin") == 0, F.col("survivors"))).over(W.partitionBy(*keys)))
     used = F.col("survivors").between(
         FIT_MIN_SURVIVORS, (0.5 + F.col("_top") / 2.0).cast("int"))
@@ -101,18 +185,27 @@ def expectation_fit(histogram: DataFrame) -> DataFrame:
     x = F.when(used, F.col("bin").cast("double"))
     fit = survivors.groupBy(*keys).agg(
         F.sum("n").alias("n_scores"),
-        F.regr_slope(y, x).alias("_slope"), F.regr_intercept(y, x).alias("_intercept"))
+        F.regr_slope(y, x).alias("_slope"), F.regr_intercept(y, x).alias("_intercept"),
+        *[F.first(c).alias(c) for c in carry])
     few = F.col("n_scores") < FIT_MIN_COUNT
     finite = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0))
     return fit.select(
-        *keys, "n_scores",
+        *keys, *carry, "n_scores",
         F.when(few, DEFAULT_SLOPE).otherwise(finite("_slope")).alias("slope"),
         F.when(few, DEFAULT_INTERCEPT).otherwise(finite("_intercept")).alias("intercept"))
 
 
 def expectation(psm: DataFrame) -> DataFrame:
-    """Best and next match per spectrum with the expectation value of the best."""
-    keys = _keys(psm)
-    return best_and_next(psm).join(expectation_fit(hyperscore_histogram(psm)), keys).withColumn(
-        "expect", F.pow(F.lit(10.0), F.col("intercept")
-                        + F.col("slope") * BIN_FACTOR * F.col("best_hyperscore")))
+    """Best and next match per spectrum with the expectation value of the best.
+
+    Takes scored pairs or states; either is read once, as the matches go with the counts until the line is fitted.
+    """
+    states = psm if "counts" in psm.columns else spectrum_states(psm, 2)
+    counts = states.select("algorithm", "id", "top", F.explode("counts").alias("c")).groupBy(
+        "algorithm", "id", F.col("c.bin").alias("bin")).agg(F.sum("c.n").alias("n"), F.first("top").alias("top"))
+    pick = lambda i, c: F.get("top", F.lit(i))[c].alias(f"{('best', 'next')[i]}_{c}")
+    out = expectation_fit(counts, ("top",)).select(
+        "algorithm", "id", *[pick(i, c) for i in (0, 1) for c in ("peptide", "hyperscore")],
+        "n_scores", "slope", "intercept").withColumn("expect", F.pow(
+            F.lit(10.0), F.col("intercept") + F.col("slope") * BIN_FACTOR * F.col("best_hyperscore")))
+    return out if "algorithm" in psm.columns else out.drop("algorithm")

@@ -15,7 +15,7 @@ def bin_of(value: Column, width: float) -> Column:
 
 
 def range_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str,
-               below: float, above: float, keys: Sequence[str] = (), width: float | None = None,
+               below: float | Column, above: float | Column, keys: Sequence[str] = (), width: float | None = None,
                predicate: Callable[[], Column] | None = None,
                rows_per_task: int = ROWS_PER_TASK,
                sized_by: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -23,7 +23,8 @@ def range_join(left: DataFrame, right: DataFrame, left_value: str, right_value:
 
     The right row has one bin; the left row goes to each bin its window
     touches, so every pair is met once.  With the default width (the window)
-    that is two bins.  Hot bins are split on both sides.
+    that is two bins.  Bins with many rows or pairs are cut on both sides.  The
+    reach may be a column of the left side; the width is needed then.
     """
     width = width or max(below + above, 1e-9)
     low, high = F.col(left_value) - below, F.col(left_value) + above

@@ -1,261 +1,99 @@
-"""Scoring algorithms on joined (spectrum, peptide) rows.
-
-Each algorithm prepares the measured side once per spectrum and the
-theoretical side once per peptide.  A pair is then scored inside its row, so
-pairs are never shuffled: only the few best of each spectrum are.
+"""Scoring of spectra against the peptides of their mass window.
+
+Each algorithm prepares the measured side once per spectrum: a sorted axis, the
+values on it and a few numbers.  Spectra and peptides meet in blocks of the
+mass axis that hold a bounded number of pairs.  A block makes the theory once
+per peptide and scores a spectrum against a run of peptides at a time, so pairs
+are never shuffled: a block hands on the scored pairs, or per spectrum its best
+matches and score histogram only.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specengine.functions.arrays import let, once
+from specengine.functions.arrays import let
 from specengine.functions.masses import k_mass_index
-from specengine.functions.spectrum import factorial
 from specengine.operators import condition as C
-from specengine.operators.ions import ALL_FIELDS, scored_ions, with_ions
-
-# Index width of the tandem score (a 32-bit 0.4), score scale of comet,
-# tolerances of morpheus and probid.
-TANDEM_WIDTH = 0.4000000059604645
-COMET_SCALE = 0.005
-MORPHEUS_TOLERANCE = 0.025
-PROBID_ERROR = 1.0
-HYDROGEN_MASS = 1.007825035
+from specengine.operators import kernels as K
+from specengine.operators import psm as P
+from specengine.operators.blocks import mass_blocks, place
+from specengine.operators.ions import scored_ions, with_ions
+from specengine.operators.joins import Window, add_precursor_mass
+from specengine.operators.mods import residue_masses
+from specengine.operators.skew import salted_join
+
 # Scores are rounded, so that equal ones tie whatever the order of their sums.
 SCORE_DIGITS = 6
+ROWS = ("algorithm string, id {id}, charge int, peptide string, raw_score double, score double, hyperscore double")
 
 
 class Algorithm(NamedTuple):
-    measure: Callable[[DataFrame], DataFrame]
-    theory: Callable[[DataFrame], DataFrame]
-    score: Callable[[DataFrame], DataFrame]
-
-
-def _carry(spectra: DataFrame) -> DataFrame:
-    return spectra.select("id", "precursor")
-
-
-def _two_caps(library: DataFrame, build: Callable[[Column], Column],
-              fields: tuple[str, ...] = ("z", "mz")) -> DataFrame:
-    """Theory for precursors of charge 1 (`t1`) and above (`t2`)."""
-    df = with_ions(library.select("mod_sequence", "sequence", "matching_mass", *_mods(library)),
-                   2, fields)
-    return once(df, "t", F.struct(
-        build(scored_ions(F.col("ions"), 1)).alias("t1"),
-        build(F.col("ions")).alias("t2"))).drop("ions").select("*", "t.t1", "t.t2").drop("t")
-
-
-def _mods(library: DataFrame) -> list[str]:
-    return ["mods"] if "mods" in library.columns else []
-
-
-def _theory_of_pair() -> Column:
-    return F.when(F.col("precursor.charge") == 1, F.col("t1")).otherwise(F.col("t2"))
-
-
-# ---- K-score --------------------------------------------------------------
-
-def k_credit_sets(ions: Column) -> Column:
-    """Indexes paid in full (hit by an ion) and in half (next to one).
-
-    A measured index pays out at most once: in full when an ion falls on it,
-    else half when one falls next to it.  Both sets depend on the peptide
-    only, so they are made once per peptide.
-    """
-    def sets(hit: Column) -> Column:
-        beside = F.concat(F.transform(hit, lambda k: k + 1), F.transform(hit, lambda k: k - 1))
-        return F.struct(hit.alias("full"), F.array_except(beside, hit).alias("half"))
+    """How spectra are measured, as (id, axis, value, extra), and the kernel that scores them."""
 
-    return let(F.array_distinct(F.transform(ions, lambda x: k_mass_index(x.mz))), sets)
-
-
-def _at(vector: Column, k: Column) -> Column:
-    return F.coalesce(F.get(vector, k), F.lit(0.0))
+    measure: Callable[[DataFrame], DataFrame]
+    kernel: Callable[..., tuple[np.ndarray, ...]]
 
 
-def kscore_dot(vector: Column, theory: Column) -> Column:
-    total = lambda ks: F.aggregate(ks, F.lit(0.0), lambda t, k: t + _at(vector, k))
-    return total(theory.full) + 0.5 * total(theory.half)
+def _sparse(rows: DataFrame, index: str, value: str) -> DataFrame:
+    """(id, axis, value, extra) from one row per id and index."""
+    listed = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(
+        F.col(index).cast("double").alias("x"), F.col(value).alias("v")))).alias("_l"))
+    return listed.select(
+        "id", F.transform("_l", lambda p: p.x).alias("axis"), F.transform("_l", lambda p: p.v).alias("value"),
+        F.array().cast("array<double>").alias("extra"))
 
 
-def kscore_condition(raw: Column, length: Column) -> Column:
-    """Scale that takes the peptide length out of the score."""
-    n = length.cast("double")
-    return raw * (F.log(n) / (3.0 * F.sqrt(n)) * 1000.0)
+def _peaks(df: DataFrame, *extra: Column) -> DataFrame:
+    return df.select(
+        "id", F.transform("measured", lambda p: p.mz).alias("axis"),
+        F.transform("measured", lambda p: p.intensity).alias("value"), F.array(*extra).alias("extra"))
 
 
 def _kscore_measure(spectra: DataFrame) -> DataFrame:
     good = C.condition_spectra(spectra, C.Settings(isotope_mz=150.0))
-    return _carry(spectra).join(C.k_vectors(good), "id")
-
-
-def _kscore_score(pairs: DataFrame) -> DataFrame:
-    return once(pairs, "raw_score", kscore_dot(F.col("vector"), _theory_of_pair())).withColumn(
-        "score", kscore_condition(F.col("raw_score"), F.length("sequence"))
-    ).withColumn("hyperscore", F.col("score"))
-
-
-# ---- Tandem ---------------------------------------------------------------
-
-def tandem_index(mz: Column) -> Column:
-    return (mz / F.lit(TANDEM_WIDTH) + 0.5).cast("int")
+    return _sparse(C.sliding_mean_subtract(C.k_sqrt_window_normalize(good)), "k", "intensity")
 
 
 def _tandem_measure(spectra: DataFrame) -> DataFrame:
     good = C.condition_spectra(spectra)
-    rows = C.explode_peaks(good).groupBy("id", tandem_index(F.col("mz")).alias("k")).agg(
-        F.sum("intensity").alias("intensity"))
-    return _carry(spectra).join(C.dense_vector(rows), "id")
-
-
-def _tandem_theory(library: DataFrame) -> DataFrame:
-    """Per charge and index: summed weight and the type of the last ion there.
-
-    Single residues (the first b, the last y) are no fragments here.
-    """
-    length = F.length("sequence")
-
-    def build(ions: Column) -> Column:
-        long_ones = F.filter(ions, lambda x: F.when(
-            x.type == "b", x.pos > 1).otherwise(length - x.pos > 1))
-        keyed = F.transform(long_ones, lambda x: F.struct(
-            (x.z * 100_000 + tandem_index(x.mz)).alias("k"), x.type.alias("type"),
-            x.weight.alias("weight")))
+    index = (F.col("mz") / F.lit(K.TANDEM_WIDTH) + 0.5).cast("int")
+    return _sparse(C.explode_peaks(good).groupBy("id", index.alias("k")).agg(
+        F.sum("intensity").alias("intensity")), "k", "intensity")
 
-        def one(here: Column, k: Column) -> Column:
-            return F.struct(
-                (k % 100_000).cast("int").alias("k"),
-                F.element_at(here, -1).type.alias("type"),
-                F.aggregate(here, F.lit(0.0), lambda t, x: t + x.weight).alias("weight"))
-
-        def merged(all_: Column) -> Column:
-            keys = F.array_distinct(F.transform(all_, lambda x: x.k))
-            return F.transform(keys, lambda k: let(
-                F.filter(all_, lambda x: x.k == k), lambda here: one(here, k)))
-
-        return let(keyed, merged)
-
-    return _two_caps(library, build, ALL_FIELDS)
-
-
-def _tandem_score(pairs: DataFrame) -> DataFrame:
-    hits = F.filter(F.transform(_theory_of_pair(), lambda x: F.struct(
-        x.type.alias("type"), (x.weight * _at(F.col("vector"), x.k)).alias("s"))),
-        lambda h: h.s > 0)
-    df = once(pairs, "_h", hits)
-    count = lambda kind: F.size(F.filter("_h", lambda h: h.type == kind))
-    return df.withColumn(
-        "raw_score", F.aggregate("_h", F.lit(0.0), lambda t, h: t + h.s)
-    ).withColumn("score", F.col("raw_score")).withColumn(
-        "hyperscore", F.col("score") * factorial(count("b")) * factorial(count("y"))
-    ).drop("_h")
-
-
-# ---- Comet ----------------------------------------------------------------
 
 def _comet_measure(spectra: DataFrame) -> DataFrame:
     good = spectra.filter(F.size("peaks") >= 5)
-    rows = C.comet_bin_weights(C.explode_peaks(
-        good.withColumn("peaks", C.comet_normalize(F.col("peaks")))))
-    listed = rows.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("bin", "weight"))).alias("_l"))
-    return _carry(spectra).join(listed.select(
-        "id", F.transform("_l", lambda x: x.bin).alias("bins"),
-        F.transform("_l", lambda x: x.weight).alias("weights")), "id")
-
-
-def _comet_theory(library: DataFrame) -> DataFrame:
-    return _two_caps(library, lambda ions: F.transform(ions, lambda x: C.comet_bin(x.mz)))
-
-
-def _comet_score(pairs: DataFrame) -> DataFrame:
-    total = F.aggregate(_theory_of_pair(), F.lit(0.0), lambda t, b: t + F.coalesce(
-        F.get("weights", (F.array_position("bins", b) - 1).cast("int")), F.lit(0.0)))
-    return once(pairs, "raw_score", total * COMET_SCALE).withColumn(
-        "score", F.col("raw_score")).withColumn("hyperscore", F.col("score"))
-
-
-# ---- Morpheus -------------------------------------------------------------
-
-def first_within(peaks: Column, mz: Column, error: float) -> Column:
-    """The lowest peak within +-error of an m/z, or NULL."""
-    return F.get(F.filter(peaks, lambda p: F.abs(p.mz - mz) <= error), F.lit(0))
+    return _sparse(C.comet_bin_weights(C.explode_peaks(
+        good.withColumn("peaks", C.comet_normalize(F.col("peaks"))))), "bin", "weight")
 
 
 def _morpheus_measure(spectra: DataFrame) -> DataFrame:
-    return spectra.filter(F.size("peaks") > 0).select(
-        "id", "precursor",
-        C.morpheus_shift(F.col("peaks"), F.col("precursor.charge")).alias("measured"),
-        C.spectrum_stats(F.col("peaks"))["sum_intensity"].alias("total"))
-
-
-def _morpheus_theory(library: DataFrame) -> DataFrame:
-    return _two_caps(library, lambda ions: F.transform(
-        ions, lambda x: x.mz - HYDROGEN_MASS * x.z))
-
-
-def _morpheus_score(pairs: DataFrame) -> DataFrame:
-    hits = F.filter(F.transform(_theory_of_pair(), lambda mz: first_within(
-        F.col("measured"), mz, MORPHEUS_TOLERANCE)), lambda p: p.isNotNull())
-    df = once(pairs, "_h", hits)
-    matched = F.aggregate("_h", F.lit(0.0), lambda t, p: t + p.intensity)
-    return df.withColumn("raw_score", F.size("_h") + matched / F.col("total")).withColumn(
-        "score", F.col("raw_score")).withColumn("hyperscore", F.col("score")).drop("_h")
-
-
-# ---- ProbId and Sequest ---------------------------------------------------
-
-def match_log_probability(intensity: Column, difference: Column,
-                          error: float = PROBID_ERROR) -> Column:
-    theta = error * 0.5
-    constant = math.log(math.sqrt(2 * math.pi)) - math.log(theta)
-    return F.log(intensity) - constant - difference * difference / (2 * theta * theta)
+    return _peaks(spectra.filter(F.size("peaks") > 0).withColumn(
+        "measured", C.morpheus_shift(F.col("peaks"), F.col("precursor.charge"))),
+        C.spectrum_stats(F.col("peaks"))["sum_intensity"])
 
 
 def _probid_measure(spectra: DataFrame) -> DataFrame:
-    return spectra.filter(F.size("peaks") > 0).withColumn(
-        "measured", C.probid_normalize(C.probid_truncate(F.col("peaks")))
-    ).select(
-        "id", "precursor", "measured",
-        F.aggregate("measured", F.lit(0.0), lambda t, p: t + F.log(p.intensity)).alias("log_sum"),
-        (F.element_at("measured", -1).mz - F.get("measured", F.lit(0)).mz).alias("span"))
-
-
-def _probid_theory(library: DataFrame) -> DataFrame:
-    return with_ions(library, 1, ("z", "mz")).withColumn(
-        "t1", F.transform("ions", lambda x: x.mz)).drop("ions")
-
-
-def _probid_score(pairs: DataFrame) -> DataFrame:
-    """Matches, n ln n, immonium term and the cost of ions that were not seen."""
-    df = once(pairs, "_h", F.filter(F.transform("t1", lambda mz: F.struct(
-        mz.alias("mz"), first_within(F.col("measured"), mz, PROBID_ERROR).alias("p"))),
-        lambda h: h.p.isNotNull()))
-    n = F.size("_h")
-    matches = F.aggregate("_h", F.lit(0.0), lambda t, h: t + match_log_probability(
-        h.p.intensity, h.mz - h.p.mz))
-    tryptophans = F.length("sequence") - F.length(F.replace("sequence", F.lit("W"), F.lit("")))
-    span = F.when(F.col("span") == 0, 1.0).otherwise(F.col("span"))
-    missed = (F.length("sequence") * 2 - n) * -F.log(span)
-    raw = matches + F.when(n > 0, n * F.log(n.cast("double"))).otherwise(0.0)
-    return df.withColumn("raw_score", raw).withColumn(
-        "score", raw + F.col("log_sum") * (tryptophans + 1) + missed
-    ).withColumn("hyperscore", F.col("score")).drop("_h")
+    return _peaks(
+        spectra.filter(F.size("peaks") > 0).withColumn("measured", C.probid_normalize(C.probid_truncate(F.col("peaks")))),
+        F.aggregate("measured", F.lit(0.0), lambda t, p: t + F.log(p.intensity)),
+        F.element_at("measured", -1).mz - F.get("measured", F.lit(0)).mz)
 
 
 ALGORITHMS: dict[str, Algorithm] = {
-    "kscore": Algorithm(_kscore_measure, lambda lib: _two_caps(lib, k_credit_sets), _kscore_score),
-    "tandem": Algorithm(_tandem_measure, _tandem_theory, _tandem_score),
-    "comet": Algorithm(_comet_measure, _comet_theory, _comet_score),
-    "morpheus": Algorithm(_morpheus_measure, _morpheus_theory, _morpheus_score),
-    "probid": Algorithm(_probid_measure, _probid_theory, _probid_score),
-    "sequest": Algorithm(_probid_measure, _probid_theory, _probid_score),
+    "kscore": Algorithm(_kscore_measure, K.kscore),
+    "tandem": Algorithm(_tandem_measure, K.tandem),
+    "comet": Algorithm(_comet_measure, K.comet),
+    "morpheus": Algorithm(_morpheus_measure, K.morpheus),
+    "probid": Algorithm(_probid_measure, K.probid),
+    "sequest": Algorithm(_probid_measure, K.probid),
 }
 DEFAULT_ALGORITHM = "kscore"
 
@@ -267,31 +105,112 @@ def choose_algorithm(name: str | None = None) -> Algorithm:
         raise ValueError(f"unknown scoring algorithm {name!r}; one of {sorted(ALGORITHMS)}")
 
 
-def score_spectra(spectra: DataFrame, library: DataFrame,
-                  join: Callable[..., DataFrame],
-                  algorithm: str = DEFAULT_ALGORITHM, positive: bool = True) -> DataFrame:
-    """Join, score in the row, keep id, charge, peptide and the three scores."""
-    alg = choose_algorithm(algorithm)
-    pairs = join(alg.measure(spectra), alg.theory(library),
-                 sized_by=(spectra.select("id", "precursor"),
-                           library.select("mod_sequence", "matching_mass")))
-    scored = alg.score(pairs).select(
-        F.lit(algorithm).alias("algorithm"), "id",
-        F.col("precursor.charge").alias("charge"),
-        F.col("mod_sequence").alias("peptide"),
-        *[F.round(c, SCORE_DIGITS).alias(c) for c in ("raw_score", "score", "hyperscore")])
-    return scored.filter(F.col("score") > 0) if positive else scored
-
-
-def multi_score(spectra: DataFrame, library: DataFrame, join, algorithms: list[str]) -> DataFrame:
-    """One result set per algorithm, told apart by the `algorithm` column."""
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    column = column.combine_chunks()
+    at = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False)[at[0]:at[-1]], at - at[0]
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Half away from zero."""
+    return np.copysign(np.floor(np.abs(x) * 10.0**SCORE_DIGITS + 0.5) / 10.0**SCORE_DIGITS, x)
+
+
+def _scored(name: str, window: Window, positive: bool, carried: int | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """What a block does: all scored pairs, or with `carried` one state per spectrum."""
+    kernel = choose_algorithm(name).kernel
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pa.array(np.argsort(right.column("matching_mass").to_numpy(), kind="stable")))
+        masses = right.column("matching_mass").to_numpy()
+        residues, at = _flat(right.column("residues"))
+        letters = np.frombuffer("".join(right.column("sequence").to_pylist()).encode(), np.uint8)
+        peptides = K.Peptides(residues, at, letters)
+        axes, axis_at = _flat(left.column("axis"))
+        values, _ = _flat(left.column("value"))
+        extras = left.column("extra").to_pylist()
+        scan, charge = left.column("precursor_mass").to_numpy(), left.column("charge").to_numpy()
+        indexed = kernel not in (K.morpheus, K.probid)
+        if indexed:
+            axes = axes.astype(np.int64)
+        first = np.searchsorted(masses, scan - window.below * (1 + 1e-9))
+        last = np.searchsorted(masses, scan + window.above * (1 + 1e-9), "right")
+        memory, found = K.Axis(), []
+        for i in np.flatnonzero(last > first).tolist():
+            own = slice(axis_at[i], axis_at[i + 1])
+            spectrum = K.Measured(int(charge[i]), axes[own], values[own], tuple(extras[i]))
+            raw, scores, hyper = kernel(spectrum, peptides, first[i], last[i], memory)
+            raw, scores, hyper = _rounded(raw), _rounded(scores), _rounded(hyper)
+            keep = window.keeps(scan[i], int(charge[i]), masses[first[i]:last[i]])
+            if positive:
+                keep &= scores > 0
+            at_ = np.flatnonzero(keep)
+            if len(at_):
+                found.append((np.full(len(at_), i), first[i] + at_, raw[at_], scores[at_], hyper[at_]))
+        if not found:
+            found = [tuple(np.zeros(0, t) for t in (int, int, float, float, float))]
+        spectra, peptide, raw, scores, hyper = (np.concatenate(c) for c in zip(*found))
+        rows = pa.table({
+            "algorithm": pa.array([name] * len(raw), pa.string()), "id": left.column("id").take(pa.array(spectra)),
+            "charge": pa.array(charge[spectra], pa.int32()), "peptide": right.column("mod_sequence").take(pa.array(peptide)),
+            "raw_score": raw, "score": scores, "hyperscore": hyper})
+        return P.partial_states(rows, carried) if carried else rows
+
+    return score
+
+
+def _meet(spectra: DataFrame, library: DataFrame, window: Window, algorithm: str, positive: bool,
+          carried: int | None, target: float | None) -> DataFrame:
+    headers = add_precursor_mass(spectra).select(
+        "id", F.col("precursor.charge").cast("int").alias("charge"), F.col("precursor_mass").cast("double").alias("precursor_mass"))
+    headers = headers.filter(F.col("precursor_mass").isNotNull() & F.col("charge").isNotNull())
+    if window.charges:
+        headers = headers.filter(F.col("charge").isin(*window.charges))
+    mods = F.col("mods") if "mods" in library.columns else None
+    blocks = mass_blocks(headers, library, "precursor_mass", "matching_mass", window.below, window.above, target)
+    left = headers.join(choose_algorithm(algorithm).measure(spectra), "id")
+    right = library.filter(F.col("matching_mass").isNotNull() & (F.length("sequence") > 0)).select(
+        "mod_sequence", "sequence", F.col("matching_mass").cast("double").alias("matching_mass"),
+        residue_masses(F.col("sequence"), mods).alias("residues"))
+    mass = F.col("precursor_mass")
+    left = place(left, blocks, mass - window.below, mass + window.above, True, "id")
+    right = place(right, blocks, F.col("matching_mass"), F.col("matching_mass"), False, "mod_sequence")
+    keys = ["block", "a", "b"]
+    id_type = spectra.schema["id"].dataType.simpleString()
+    schema = P.STATES.format(id=id_type) if carried else ROWS.format(id=id_type)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+        _scored(algorithm, window, positive, carried), schema)
+
+
+def score_spectra(spectra: DataFrame, library: DataFrame, window: Window, algorithm: str = DEFAULT_ALGORITHM,
+                  positive: bool = True, target: float | None = None) -> DataFrame:
+    """All scored pairs: algorithm, id, charge, peptide and the three scores.
+
+    `target` fixes the pairs of a block; by default they follow the number of partitions, within limits.
+    """
+    return _meet(spectra, library, window, algorithm, positive, None, target)
+
+
+def match_states(spectra: DataFrame, library: DataFrame, window: Window, algorithm: str = DEFAULT_ALGORITHM,
+                 carried: int = P.CARRIED_MATCHES, target: float | None = None) -> DataFrame:
+    """One row per spectrum with a positive score: its best matches and score histogram."""
+    return P.merged_states(_meet(spectra, library, window, algorithm, True, carried, target), carried)
+
+
+def multi_score(spectra: DataFrame, library: DataFrame, window: Window, algorithms: list[str],
+                carried: int = P.CARRIED_MATCHES) -> DataFrame:
+    """States of several algorithms, told apart by the `algorithm` column."""
     out = None
     for name in algorithms:
-        part = score_spectra(spectra, library, join, name)
+        part = match_states(spectra, library, window, name, carried)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _at(vector: Column, k: Column) -> Column:
+    return F.coalesce(F.get(vector, k), F.lit(0.0))
+
+
 # ---- ion use of the matches that are kept ----------------------------------
 
 def ion_credits(ions: Column) -> Column:
@@ -337,9 +256,12 @@ def ion_use(matches: DataFrame, vectors: DataFrame, library: DataFrame) -> DataF
     Runs after the best matches are chosen, so it joins a few rows per
     spectrum, not all pairs.
     """
-    theory = with_ions(library, 2).select(F.col("mod_sequence").alias("peptide"), "ions")
+    kept = library.join(matches.select(F.col("peptide").alias("mod_sequence")).distinct(), "mod_sequence", "left_semi")
+    theory = with_ions(kept, 2).select(F.col("mod_sequence").alias("peptide"), "ions")
     ions = F.when(F.col("charge") == 1, scored_ions(F.col("ions"), 1)).otherwise(F.col("ions"))
-    df = matches.join(vectors.select("id", "vector"), "id").join(theory, "peptide").withColumn(
+    # A peptide that many spectra match is cut into parts.
+    df = salted_join(matches.join(vectors.select("id", "vector"), "id"), theory, ["peptide"], sized_by=(
+        matches.select("peptide"), kept.select(F.col("mod_sequence").alias("peptide")))).withColumn(
         "_c", F.transform(ion_credits(ions), lambda c: F.struct(
             c.b.alias("b"), c.y.alias("y"), c.nb.alias("nb"), c.ny.alias("ny"),
             _at(F.col("vector"), c.k).alias("v")))).drop("ions", "vector")

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from specengine.session import checkpoint
 
 ROWS_PER_TASK = 30_000
+#: Pairs of a key that one task makes at most.
+PAIRS_PER_TASK = 5_000_000
 MAX_HOT_KEYS = 100_000
 
 
@@ -37,29 +39,53 @@ def _row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*plain)
 
 
+def key_parts(left: DataFrame, right: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK,
+              pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+    """Keys of both sides that must be cut, with the parts of the left (_a) and the right side (_b).
+
+    A part of a side has at most `rows_per_task` rows, and two parts that meet
+    make at most `pairs_per_task` pairs: the side with the larger parts is cut
+    further until they do.
+    """
+    n_left = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_l"))
+    n_right = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_r"))
+    a, b = (F.ceil(F.col(n) / rows_per_task).cast("long") for n in ("_l", "_r"))
+    cut = n_left.join(n_right, list(keys)).filter(
+        (F.col("_l") > rows_per_task) | (F.col("_r") > rows_per_task)
+        | (F.col("_l").cast("double") * F.col("_r") > pairs_per_task)).withColumn("_a", a).withColumn("_b", b)
+    rows_left, rows_right = F.ceil(F.col("_l") / F.col("_a")), F.ceil(F.col("_r") / F.col("_b"))
+    left_is_larger = rows_left >= rows_right
+    allowed = F.greatest(F.lit(1), F.floor(F.lit(pairs_per_task) / F.least(rows_left, rows_right)))
+    more = F.ceil(F.greatest(rows_left, rows_right) / allowed).cast("long")
+    return cut.withColumn("_m", more).withColumn("_is_left", left_is_larger).select(
+        *keys, F.when(F.col("_is_left"), F.col("_a") * F.col("_m")).otherwise(F.col("_a")).cast("int").alias("_a"),
+        F.when(F.col("_is_left"), F.col("_b")).otherwise(F.col("_b") * F.col("_m")).cast("int").alias("_b"))
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
                 rows_per_task: int = ROWS_PER_TASK,
-                sized_by: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Inner equi-join in which hot keys are cut into blocks on both sides.
+                sized_by: tuple[DataFrame, DataFrame] | None = None,
+                pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+    """Inner equi-join in which keys with many rows or pairs are cut into blocks on both sides.
 
     A key with `a` blocks of left rows and `b` blocks of right rows becomes
     a * b independent join keys: each left row goes to one left block and is
     copied to the b right blocks, and the other way round.  Every pair of
     matching rows meets exactly once.  Rows are placed by their hash, so a
-    retried task places them in the same block.  `sized_by` gives narrower
-    frames with (at least) the same keys, on which the hot keys are counted.
+    retried task places them in the same block.  The list of cut keys is
+    counted: it is broadcast up to 100,000 keys, and joined by a shuffle beyond.
+    `sized_by` gives narrower frames with (at least) the same keys, on which
+    they are counted.
     """
     keys = list(keys)
-    count_left, count_right = sized_by or (left, right)
-    hot = hot_keys(count_left, keys, rows_per_task, "_a").join(
-        hot_keys(count_right, keys, rows_per_task, "_b"), keys, "full"
-    ).select(*keys, F.coalesce("_a", F.lit(1)).alias("_a"), F.coalesce("_b", F.lit(1)).alias("_b"))
+    cut = key_parts(*(sized_by or (left, right)), keys, rows_per_task, pairs_per_task)
+    hot = F.broadcast(cut) if cut.limit(MAX_HOT_KEYS + 1).count() <= MAX_HOT_KEYS else cut
 
     def place(df: DataFrame, own: str, other: str) -> DataFrame:
         block = _row_hash(df)
         return (
             df.withColumn("_block", block)
-            .join(F.broadcast(hot), keys, "left")
+            .join(hot, keys, "left")
             .withColumn(f"_s{own}", F.pmod("_block", F.coalesce(F.col(own), F.lit(1)).cast("long")))
             .withColumn(f"_s{other}", F.explode(F.sequence(
                 F.lit(0).cast("long"), F.coalesce(F.col(other), F.lit(1)).cast("long") - 1)))

@@ -233,6 +233,10 @@ def psm(spark, folder):
     return Q.search(spectra(spark, folder), full_library(spark, folder))
 
 
+def states(spark, folder, carried=P.CARRIED_MATCHES, algorithm="kscore", join="bins"):
+    return Q.search_states(spectra(spark, folder), full_library(spark, folder), algorithm, join, carried)
+
+
 @query("score_pairs", KSCORE_SQL + """
 SELECT id, charge, peptide, raw_score, score, hyperscore FROM psm WHERE score > 0 AND hyperscore > 50""")
 def score_pairs(spark, folder):
@@ -249,8 +253,8 @@ def kscore_dot(spark, folder):
 @query("search_kscore", KSCORE_SQL + """
 SELECT id, charge, peptide, raw_score, score, hyperscore FROM psm_ranked WHERE rank = 1""")
 def search_kscore(spark, folder):
-    """Flagship: digest, dedupe, condition, join, score, keep the best match per spectrum."""
-    return P.best_match(psm(spark, folder)).drop("algorithm")
+    """Flagship: digest, dedupe, condition, meet, score, keep the best match per spectrum."""
+    return P.matches_of(states(spark, folder, 1)).drop("algorithm", "rank")
 
 
 @query("best_match", KSCORE_SQL + """
@@ -270,7 +274,7 @@ def best_and_next(spark, folder):
 @query("drop_no_match", KSCORE_SQL + """
 SELECT p.id, p.z AS charge FROM precursors p WHERE EXISTS (SELECT 1 FROM psm_ranked r WHERE r.id = p.id)""")
 def drop_no_match(spark, folder):
-    best = P.best_and_next(psm(spark, folder))
+    best = P.matches_of(states(spark, folder, 1)).withColumnRenamed("peptide", "best_peptide").drop("charge")
     scans = precursors(spark, folder).select("id", F.col("precursor.charge").alias("charge"))
     return P.drop_no_match(scans.join(best, "id", "left")).select("id", "charge")
 
@@ -278,7 +282,7 @@ def drop_no_match(spark, folder):
 @query("top_matches", KSCORE_SQL + """
 SELECT id, CAST(rank AS INTEGER) AS rank, peptide, hyperscore FROM psm_ranked WHERE rank <= 8""")
 def top_matches(spark, folder):
-    return P.top_matches(psm(spark, folder)).select("id", "rank", "peptide", "hyperscore")
+    return P.matches_of(states(spark, folder)).select("id", "rank", "peptide", "hyperscore")
 
 
 HISTOGRAM_SQL = KSCORE_SQL + """,
@@ -293,7 +297,7 @@ surv AS (SELECT id, bin, n, CASE WHEN bin = last THEN n ELSE
 
 @query("hyperscore_histogram", HISTOGRAM_SQL + "\nSELECT id, bin, n FROM hist")
 def hyperscore_histogram(spark, folder):
-    return P.hyperscore_histogram(psm(spark, folder)).drop("algorithm")
+    return P.histogram_of(states(spark, folder, 1)).drop("algorithm")
 
 
 @query("combine_scored_scans", HISTOGRAM_SQL + "\nSELECT id, bin, 2 * n AS n FROM hist")
@@ -304,7 +308,7 @@ def combine_scored_scans(spark, folder):
 
 @query("survival_counts", HISTOGRAM_SQL + "\nSELECT id, bin, n, survivors FROM surv")
 def survival_counts(spark, folder):
-    return P.survival_counts(P.hyperscore_histogram(psm(spark, folder))).drop("algorithm")
+    return P.survival_counts(P.histogram_of(states(spark, folder, 1))).drop("algorithm")
 
 
 @query("expectation", HISTOGRAM_SQL + """,
@@ -318,7 +322,7 @@ SELECT l.id, n_scores, round(slope, 6) AS slope, round(intercept, 6) AS intercep
   round(intercept + slope * 0.05e0 * hyperscore, 6) AS log_expect
 FROM line l JOIN psm_ranked r ON r.id = l.id AND r.rank = 1""")
 def expectation(spark, folder):
-    return P.expectation(psm(spark, folder)).select(
+    return P.expectation(states(spark, folder, 2)).select(
         "id", "n_scores", F.round("slope", 6).alias("slope"),
         F.round("intercept", 6).alias("intercept"), "best_peptide",
         F.round(F.log10("expect"), 6).alias("log_expect"))
@@ -350,7 +354,7 @@ FROM paid GROUP BY id, peptide"""
 def ion_use(spark, folder):
     scans, library = spectra(spark, folder), full_library(spark, folder)
     good = C.condition_spectra(scans, C.Settings(isotope_mz=150.0))
-    best = P.best_match(Q.search(scans, library))
+    best = P.matches_of(Q.search_states(scans, library, carried=1))
     return S.ion_use(best, C.k_vectors(good), library).select(
         "id", "peptide", "b_count", "y_count", F.round("b_score", 6).alias("b_score"),
         F.round("y_score", 6).alias("y_score"))
@@ -383,7 +387,7 @@ h AS (SELECT id, peptide, round(s * CAST(factorial(nb::INTEGER) AS DOUBLE) * CAS
 SELECT id, peptide, hyperscore FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY hyperscore DESC, peptide) AS rank FROM h) WHERE rank = 1""")
 def hyperscore(spark, folder):
-    return P.best_match(Q.search(spectra(spark, folder), full_library(spark, folder), "tandem")).select(
+    return P.matches_of(states(spark, folder, 1, "tandem")).select(
         "id", "peptide", "hyperscore")
 
 
@@ -468,15 +472,26 @@ def sequest_score(spark, folder):
 SELECT 'kscore' AS algorithm, count(*) AS n FROM psm WHERE score > 0""")
 def choose_algorithm(spark, folder):
     """The default algorithm, chosen by leaving the name out."""
-    scored = S.score_spectra(spectra(spark, folder), full_library(spark, folder), J.bin_charge_join)
+    scored = S.score_spectra(spectra(spark, folder), full_library(spark, folder), J.BINS)
     return scored.groupBy("algorithm").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("multi_score")
+MULTI_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS algorithm, count(*) AS n_scans FROM ({sql} SELECT DISTINCT id FROM raw WHERE {rule})"
+    for name, sql, rule in (
+        ("kscore", KSCORE_SQL, "round(raw_score * (ln(length(peptide)) / (3.0e0 * sqrt(length(peptide))) * 1000.0e0), 6) > 0"),
+        ("tandem", TANDEM_SQL, "round(s, 6) > 0"),
+        ("comet", COMET_SQL.replace("mass - 1.01e0 AND g.mass + 1.01e0 WHERE abs(l.matching_mass - g.mass) < 1.0e0",
+                                    "mass - 0.61e0 AND g.mass + 0.61e0 WHERE abs(l.matching_mass - g.mass) <= 0.6e0"),
+         "round(s, 6) > 0"),
+        ("morpheus", MORPHEUS_SQL, "round(s, 6) > 0")))
+
+
+@query("multi_score", MULTI_SQL)
 def multi_score(spark, folder):
-    found = S.multi_score(spectra(spark, folder), full_library(spark, folder), J.bin_charge_join,
-                          ["kscore", "tandem", "comet", "morpheus"])
-    return P.best_match(found).groupBy("algorithm").agg(F.count(F.lit(1)).alias("n_scans"))
+    found = S.multi_score(spectra(spark, folder), full_library(spark, folder), J.BINS,
+                          ["kscore", "tandem", "comet", "morpheus"], 1)
+    return P.matches_of(found).groupBy("algorithm").agg(F.count(F.lit(1)).alias("n_scans"))
 
 
 @query("score_charges", KSCORE_SQL + """

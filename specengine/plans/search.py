@@ -13,6 +13,7 @@ from specengine.operators import joins as J
 from specengine.operators import psm as P
 from specengine.operators import scoring as S
 from specengine.operators.library import build_library
+from specengine.session import store
 
 
 def limits_join(spectra: DataFrame, library: DataFrame, sized_by: J.SizedBy = None) -> DataFrame:
@@ -22,30 +23,32 @@ def limits_join(spectra: DataFrame, library: DataFrame, sized_by: J.SizedBy = No
         F.col("precursor_mass"), F.col("matching_mass"), F.col("precursor.charge")))
 
 
-JOINS = {
-    "bins": J.bin_charge_join,
-    "limits": limits_join,
-    "dalton": J.da_tolerance_join,
-}
+WINDOWS = {"bins": J.BINS, "limits": J.LIMITS, "dalton": J.dalton_window()}
 
 
 def search(spectra: DataFrame, library: DataFrame, algorithm: str = S.DEFAULT_ALGORITHM,
            join: str = "bins") -> DataFrame:
     """All scored matches (positive scores): algorithm, id, charge, peptide, three scores."""
-    return S.score_spectra(spectra, library, JOINS[join], algorithm)
+    return S.score_spectra(spectra, library, WINDOWS[join], algorithm)
+
+
+def search_states(spectra: DataFrame, library: DataFrame, algorithm: str = S.DEFAULT_ALGORITHM,
+                  join: str = "bins", carried: int = P.CARRIED_MATCHES) -> DataFrame:
+    """Per spectrum the best matches and the score histogram; pairs are scored once and not handed on."""
+    return S.match_states(spectra, library, WINDOWS[join], algorithm, carried)
 
 
 def search_report(spectra: DataFrame, library: DataFrame, join: str = "bins",
                   carried: int = P.CARRIED_MATCHES) -> DataFrame:
     """Ranked K-score matches with ion use, next score, expectation and masses.
 
-    Only the carried matches of each spectrum are joined back to the library
-    and the spectra.
+    The states are stored once; only their carried matches are joined back to
+    the library and the spectra.
     """
     good = C.condition_spectra(spectra, C.Settings(isotope_mz=150.0))
-    psm = search(spectra, library, "kscore", join)
-    ranked = P.top_matches(psm, carried)
-    fits = P.expectation_fit(P.hyperscore_histogram(psm))
+    states = store(search_states(spectra, library, "kscore", join, carried), "states")
+    ranked = P.matches_of(states)
+    fits = P.expectation_fit(P.histogram_of(states))
     used = S.ion_use(ranked, C.k_vectors(good), library)
     masses = library.select(F.col("mod_sequence").alias("peptide"),
                             F.col("matching_mass").alias("calc_mass"))

@@ -3,14 +3,21 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from specengine.functions.masses import residue_table
+from specengine.operators import blocks as B
 from specengine.operators import condition as C
 from specengine.operators import ions as I
+from specengine.operators import joins as J
+from specengine.operators import kernels as K
 from specengine.operators import psm as P
 from specengine.operators import scoring as S
+from specengine.plans import search as Q
+from specengine.plans import tables
+from specengine.plans.library_queries import unique_peptides
 
 RNG = random.Random(5)
 SPECTRUM = "id long, precursor struct<mz:double,charge:int,intensity:double>, peaks array<struct<mz:double,intensity:double>>"
@@ -147,6 +154,21 @@ def test_ion_weights(spark):
     assert {r.weight for r in rows if r.type == "y"} == {5.0}
 
 
+def block_of(peptides):
+    at = np.concatenate(([0], np.cumsum([len(p) for p in peptides])))
+    letters = "".join(peptides)
+    return K.Peptides(np.array([TABLE[c] for c in letters]), at, np.frombuffer(letters.encode(), np.uint8))
+
+
+def test_block_ions_match_a_loop():
+    for cap in (1, 2, 3):
+        ions = block_of(PEPTIDES + ["K"]).ions(cap)
+        for i, p in enumerate(PEPTIDES + ["K"]):
+            own = slice(ions.at[i], ions.at[i + 1])
+            got = list(zip(ions.z[own], ions.place[own], np.where(ions.is_y[own], "y", "b"), ions.mz[own]))
+            assert got == ion_list(p, cap)
+
+
 @pytest.mark.parametrize("charge", [1, 2, 3])
 def test_kscore_equals_sequential_usage(spark, charge):
     vector = [RNG.random() if RNG.random() < 0.4 else 0.0 for _ in range(1500)]
@@ -154,10 +176,11 @@ def test_kscore_equals_sequential_usage(spark, charge):
                                     "mod_sequence string, sequence string, matching_mass double")
     spectra = spark.createDataFrame([(1, (500.0, charge, None), vector)],
                                     "id long, precursor struct<mz:double,charge:int,intensity:double>, vector array<double>")
-    theory = S.choose_algorithm("kscore").theory(library)
-    pairs = spectra.join(theory.withColumn("id", F.lit(1).cast("long")), "id")
-    scored = S.choose_algorithm().score(pairs).select(
-        "id", F.lit(charge).alias("charge"), F.col("mod_sequence").alias("peptide"), "raw_score", "score")
+    index = np.flatnonzero(vector)
+    measured = K.Measured(charge, index, np.array(vector)[index], ())
+    raw, score, _ = K.kscore(measured, block_of(PEPTIDES), 0, len(PEPTIDES), K.Axis())
+    scored = spark.createDataFrame([(1, charge, p, float(x), float(y)) for p, x, y in zip(PEPTIDES, raw, score)],
+                                   "id long, charge int, peptide string, raw_score double, score double")
     rows = S.ion_use(scored, spectra, library).collect()
     assert len(rows) == len(PEPTIDES)
     for r in rows:
@@ -169,6 +192,107 @@ def test_kscore_equals_sequential_usage(spark, charge):
         assert r.score == pytest.approx(r.raw_score * math.log(n) / (3 * math.sqrt(n)) * 1000)
 
 
+def test_first_within_is_the_lowest_peak():
+    rng = np.random.default_rng(2)
+    peaks = np.sort(np.round(rng.random(2000) * 1500, 2))
+    mz = np.concatenate((rng.random(3000) * 1600, peaks[:50] + 0.025, peaks[:50] - 0.025))
+    for error in (0.025, 1.0):
+        want = []
+        for x in mz:
+            near = np.flatnonzero(np.abs(peaks - x) <= error)
+            want.append(near[0] if len(near) else -1)
+        assert K.first_within(peaks, mz, error).tolist() == want
+    assert K.first_within(np.zeros(0), mz, 1.0).max() == -1
+
+
+@pytest.mark.parametrize("charge", [1, 2])
+def test_peak_scores_equal_loops(charge):
+    rng = np.random.default_rng(4)
+    peaks, values = np.sort(rng.random(2000) * 1200 + 50), rng.random(2000) + 0.5
+    block = block_of(PEPTIDES)
+    cap = 1 if charge == 1 else 2
+    total = float(values.sum())
+    raw, *_ = K.morpheus(K.Measured(charge, peaks, values, (total,)), block, 1, 4, K.Axis())
+    _, score, _ = K.probid(K.Measured(charge, peaks, values, (3.5, 700.0)), block, 1, 4, K.Axis())
+    for i, p in enumerate(PEPTIDES[1:4]):
+        hits = [np.flatnonzero(np.abs(peaks - (mz - K.HYDROGEN_MASS * z)) <= 0.025) for z, _, _, mz in ion_list(p, cap)]
+        hits = [h[0] for h in hits if len(h)]
+        assert raw[i] == pytest.approx(len(hits) + sum(values[h] for h in hits) / total)
+        want, n = 3.5 * (p.count("W") + 1), 0
+        for _, _, _, mz in ion_list(p, 1):
+            near = np.flatnonzero(np.abs(peaks - mz) <= 1.0)
+            if len(near):
+                n += 1
+                off = mz - peaks[near[0]]
+                want += math.log(values[near[0]]) - math.log(math.sqrt(2 * math.pi) / 0.5) - off * off / 0.5
+        want += (n * math.log(n) if n else 0.0) - (2 * len(p) - n) * math.log(700.0)
+        assert score[i] == pytest.approx(want)
+
+
+def test_comet_counts_every_ion():
+    rng = np.random.default_rng(6)
+    bins = np.unique((rng.random(2000) * 40_000).astype(int))
+    values = rng.random(len(bins))
+    weight = dict(zip(bins.tolist(), values))
+    raw, *_ = K.comet(K.Measured(2, bins, values, ()), block_of(PEPTIDES), 0, len(PEPTIDES), K.Axis())
+    for i, p in enumerate(PEPTIDES):
+        want = sum(weight.get(int(mz * (1.0 / 0.03) + 1.0), 0.0) for _, _, _, mz in ion_list(p, 2)) * 0.005
+        assert raw[i] == pytest.approx(want)
+
+
+def test_blocks_bound_their_pairs():
+    n_left, n_right = np.zeros(500, int), np.zeros(500, int)
+    n_left[40], n_right[40] = 30_000, 30_000
+    n_left[41:400], n_right[41:400] = 7, 900
+    n_left[450], n_right[460] = 10**6, 10**6
+    plan = B.plan_blocks(n_left, n_right, 1.2)
+    pairs = np.bincount(plan.block, n_left * n_right.astype(float)) / (plan.left_parts * plan.right_parts)
+    rows = np.maximum(np.bincount(plan.block, n_left) / plan.left_parts, np.bincount(plan.block, n_right) / plan.right_parts)
+    assert pairs.max() <= 5_000_000 and rows.max() <= B.ROWS_PER_BLOCK
+    assert (np.diff(plan.block) >= 0).all() and (np.diff(plan.block) <= 1).all()
+    # Ordinary bins are joined, not scattered.
+    assert len(set(plan.block[41:400])) < 10
+
+
+@pytest.mark.parametrize("join", ["bins", "limits", "dalton"])
+def test_blocks_of_any_size_give_the_joins_pairs(spark, folder, join):
+    scans = tables.spectra(spark, folder).filter("id % 3 = 0")
+    library = unique_peptides(spark, folder).filter("length(sequence) < 14")
+    joins = {"bins": J.bin_charge_join, "limits": Q.limits_join, "dalton": J.da_tolerance_join}
+    want = sorted(tuple(r) for r in joins[join](scans, library).join(
+        S.choose_algorithm("morpheus").measure(scans).select("id"), "id").select("id", "mod_sequence").collect())
+    for target in (40.0, 1e9):
+        got = S.score_spectra(scans, library, Q.WINDOWS[join], "morpheus", positive=False, target=target)
+        assert sorted((r.id, r.peptide) for r in got.collect()) == want
+    assert len(want) > 100
+
+
+def test_ppm_reaches_half_a_dalton():
+    masses = np.array([999.4, 999.6, 1000.0, 1000.4, 1000.5, 1000.9])
+    assert J.dalton_window(20.0, "ppm").keeps(1000.0, 2, masses).tolist() == [False, True, True, True, False, False]
+    assert J.dalton_window(0.45, "ppm").keeps(1000.0, 2, masses).tolist() == [False, True, True, True, False, False]
+    assert J.dalton_window(1.0).keeps(1000.0, 2, masses).all()
+
+
+def test_states_equal_windows(spark):
+    rows = [(i % 7, f"PEP{i % 400}", float(int(RNG.expovariate(1 / 120)))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, peptide string, hyperscore double").repartition(9).distinct()
+    states = P.spectrum_states(df, 5)
+    got = sorted((r.id, r.rank, r.peptide, r.hyperscore) for r in P.matches_of(states).collect())
+    want = sorted((r.id, r.rank, r.peptide, r.hyperscore) for r in P.top_matches(df, 5).collect())
+    assert got == want
+    counts = {(r.id, r.bin): r.n for r in P.histogram_of(states).collect()}
+    assert counts == {(r.id, r.bin): r.n for r in P.hyperscore_histogram(df).collect()}
+    assert P.spectrum_states(df.limit(0)).count() == 0
+
+
+def test_expectation_reads_the_pairs_once(spark, folder):
+    library = unique_peptides(spark, folder)
+    states = Q.search_states(tables.spectra(spark, folder), library, carried=2)
+    plan = P.expectation(states)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FlatMapCoGroupsInArrow") == 1
+
+
 def test_unknown_algorithm():
     with pytest.raises(ValueError):
         S.choose_algorithm("none")

@@ -1,5 +1,6 @@
 """Numbering and joins that split hot keys must give what the plain forms give."""
 
+import math
 import os
 import random
 
@@ -32,6 +33,29 @@ def test_salted_join_equals_join(spark):
     assert hot[0] == 10
 
 
+def test_a_key_is_cut_by_its_pairs(spark):
+    crowd = spark.range(30_000).select(F.lit(7).cast("long").alias("key"), "id")
+    some = spark.range(300).select((F.col("id") % 10 + 100).alias("key"), "id")
+    parts = SK.key_parts(crowd.union(some), crowd.union(some), ["key"]).collect()
+    assert [r.key for r in parts] == [7]
+    assert math.ceil(30_000 / parts[0]["_a"]) * math.ceil(30_000 / parts[0]["_b"]) <= 5_000_000
+    many = spark.range(70_000).select(F.lit(7).cast("long").alias("key"))
+    few = spark.range(90).select(F.lit(7).cast("long").alias("key"))
+    row = SK.key_parts(many, few, ["key"]).first()
+    assert row["_a"] >= 3 and row["_b"] == 1 and math.ceil(70_000 / row["_a"]) * 90 <= 5_000_000
+    # Pairs alone ask for a cut, though neither side has many rows.
+    row = SK.key_parts(crowd.limit(2_500), crowd.limit(2_400), ["key"], pairs_per_task=100_000).first()
+    assert math.ceil(2_500 / row["_a"]) * math.ceil(2_400 / row["_b"]) <= 100_000
+
+
+def test_pairs_of_cut_keys_meet_once(spark):
+    _, left = skewed(spark, 400, "l")
+    _, right = skewed(spark, 300, "r")
+    plain = sorted(tuple(r) for r in left.join(right, "key").select("l_id", "r_id").collect())
+    cut = SK.salted_join(left, right, ["key"], 1000, pairs_per_task=500)
+    assert sorted(tuple(r) for r in cut.select("l_id", "r_id").collect()) == plain
+
+
 def test_row_index_is_dense_and_ordered(spark):
     rows = [(i, RNG.randint(0, 5)) for i in range(1000)]
     df = spark.createDataFrame(rows, "id long, v long").repartition(7)
