@@ -16,10 +16,12 @@ probability (1 - 0.8^8)^40 = 0.0006, one of 0.9 never; one of 0.4 meets with 0.0
    buckets leads: it is the most central text.  Members are paired with their leader, not with each other.
 3. Pairs are verified by the exact similarity of their whole texts; components of the links are classes.
 4. A bucket whose members are of several classes stays open with all of them.  Its members outside its
-   largest class meet every member of another class, in blocks of BLOCK by BLOCK: a turn of the best
-   partner in each block, then, in buckets still open, a turn of all.  Pairs are told by their signatures
-   (one byte a coordinate) inside the block, each in the first band that both share, and only those that
-   may be similar enough are verified.  No bucket is capped.
+   largest class meet every member of another class, in blocks of BLOCK by BLOCK rows or BLOCK_BYTES.  A
+   block compares by signatures (one byte a coordinate) first, in the first band that both share, and
+   verifies what may be similar enough by the exact similarity of the elements, which are sent once per
+   member and block.  It joins classes as it goes and hands on the links that joined two, never pairs, so
+   what lies below the similarity leaves no row.  No bucket is capped.  A bucket of n members of which m
+   lie outside its largest class costs m * n comparisons of 320 bytes.
 
 What this can miss: the bands' share above, and pairs whose signatures agree DEVIATIONS standard
 deviations less than their similarity lets expect (some 1e-9 of those at 0.8).  Every other pair that
@@ -37,7 +39,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +51,8 @@ SHINGLE = 5
 ROWS, BANDS = 8, 40
 COORDINATES = ROWS * BANDS
 SIMILARITY = 0.8
-#: Members of a bucket that are compared with as many others in one block.
-BLOCK = 512
+#: Members of a bucket that are compared with as many others in one block, and the bytes of either.
+BLOCK, BLOCK_BYTES = 512, 8_000_000
 DEVIATIONS = 6
 #: Text and rows that a task signs or compares at a time; a row throws some 2,800 darts, however short it is.
 STEP_BYTES, STEP_ROWS = 500_000, 512
@@ -126,8 +127,8 @@ def node(text: Column) -> Column:
 
 
 def bands(nodes: DataFrame) -> DataFrame:
-    """(node, bands, sig) of rows (node, text), one row per distinct node; sig has a byte per coordinate and
-    then the bands' keys."""
+    """(node, bands, sig, weight) of rows (node, text), one row per distinct node; sig has a byte per
+    coordinate and then the bands' keys, weight is the number of elements."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=STEP_BYTES, rows=STEP_ROWS):
             own = batch.column(0).to_pylist()
@@ -141,10 +142,24 @@ def bands(nodes: DataFrame) -> DataFrame:
             short = [x.tobytes() + k.tobytes() for x, k in zip((sig >> U(56)).astype(np.uint8), keys)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(
                 pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel())),
-                pa.array(short, pa.binary())], ["node", "bands", "sig"])
+                pa.array(short, pa.binary()), pa.array(np.bincount(row, minlength=batch.num_rows).astype(np.int64))],
+                ["node", "bands", "sig", "weight"])
 
-    made = nodes.mapInArrow(step, "node binary, bands array<long>, sig binary")
-    return made.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    made = nodes.mapInArrow(step, "node binary, bands array<long>, sig binary, weight long")
+    return made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("bands", "sig", "weight")])
+
+
+def elements(nodes: DataFrame) -> DataFrame:
+    """(node, elements): the sorted element hashes of rows (node, text), 8 bytes each."""
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, most=STEP_BYTES):
+            element, row = weighted_elements(*utf8(batch.column(1)))
+            order = np.lexsort((element, row))
+            element, at = element[order], np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows))))
+            own = [element[a:b].tobytes() for a, b in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["node", "elements"])
+
+    return nodes.select("node", "text").mapInArrow(step, "node binary, elements binary")
 
 
 def jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -181,7 +196,7 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     spark = rows.sparkSession
     texts = rows.filter(F.col("node").isNotNull())
     made = stored(bands(texts), "bands")
-    members = made.select("node", F.explode("bands").alias("key"))
+    members = made.select("node", "weight", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stored(members.join(small_or_shuffled(stored(shared, "keys").select("key")), "key"), "members")
     some = small_or_shuffled(members.select("node").distinct())
@@ -195,69 +210,76 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     led = members.join(small_or_shuffled(stored(leaders, "leaders")), "key")
     pairs = led.filter(F.col("node") != F.col("leader")).select("node", "leader").distinct()
     labels = _joined(None, stored(verified(pairs, texts, similarity), "links"))
-    for best in (True, False):
-        members = stored(still_open(members, labels), "open")
-        if members.isEmpty():
-            break
-        # A node's buckets, BANDS at most, meet its signature as one row.
-        lists = members.groupBy("node", "own").agg(
-            F.collect_list(F.struct("key", "size", "asking", "asks")).alias("buckets"))
-        signed = lists.join(made.select("node", "sig"), "node").select(
-            "node", "own", "sig", F.explode("buckets").alias("b")).select("node", "own", "sig", "b.*")
-        pairs = candidates(signed, similarity, best)
-        labels = _joined(labels, stored(verified(pairs, texts, similarity), "links"))
-    return labels
+    members = stored(still_open(members, labels), "open")
+    if members.isEmpty():
+        return labels
+    # A node's buckets, BANDS at most, meet its signature and elements as one row.
+    lists = stored(members.groupBy("node", "own", "weight").agg(
+        F.collect_list(F.struct("key", "blocks", "parts", "asks")).alias("buckets")), "lists")
+    exact = elements(texts.join(small_or_shuffled(lists.select("node")), "node", "left_semi"))
+    signed = lists.join(made.select("node", "sig"), "node").join(exact, "node")
+    return _joined(labels, stored(block_links(signed, similarity), "links"))
 
 
 def still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, node, own: their class) of the buckets that hold several classes, with the bucket's
-    size, the number outside its largest class (asking) and whether the member is one of these (asks)."""
-    own = members.select("key", "node").join(labels, "node", "left").select(
-        "key", "node", F.coalesce("cluster", "node").alias("own"))
+    """Members (key, node, weight, own: their class) of the buckets that hold several classes, whether one
+    lies outside its bucket's largest class (asks), and into how many blocks all of the bucket's members
+    and those that ask (parts) are dealt."""
+    own = members.select("key", "node", "weight").join(labels, "node", "left").select(
+        "key", "node", "weight", F.coalesce("cluster", "node").alias("own"))
     own = stored(own, "own")
-    by_class = own.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n"))
-    keys = by_class.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "own")).alias("most")).filter(
-        "size > most.n").select("key", "size", (F.col("size") - F.col("most.n")).alias("asking"),
-                                F.col("most.own").alias("largest"))
+    mass = F.sum(F.col("weight") * 8 + 9 * COORDINATES)
+    by_class = own.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n"), mass.alias("mass"))
+    keys = by_class.groupBy("key").agg(
+        F.sum("n").alias("size"), F.sum("mass").alias("mass"), F.max(F.struct("n", "own", "mass")).alias("most")).filter(
+        "size > most.n")
+
+    def cut(rows: Column, mass: Column) -> Column:
+        return F.greatest(F.ceil(rows / BLOCK), F.ceil(mass / BLOCK_BYTES)).cast("long")
+
+    keys = keys.select("key", F.col("most.own").alias("largest"), cut(F.col("size"), F.col("mass")).alias("blocks"),
+                       cut(F.col("size") - F.col("most.n"), F.col("mass") - F.col("most.mass")).alias("parts"))
     return own.join(small_or_shuffled(stored(keys, "keys")), "key").select(
-        "key", "node", "own", "size", "asking", (F.col("own") != F.col("largest")).alias("asks"))
+        "key", "node", "weight", "own", "blocks", "parts", (F.col("own") != F.col("largest")).alias("asks"))
 
 
-def candidates(members: DataFrame, similarity: float, best: bool) -> DataFrame:
-    """Distinct pairs (node, leader) of different classes that share a bucket and whose signatures may be
-    those of similar texts; best: of each asking member only the best one in each block.
+def block_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links (node, leader) between similar texts of different classes that share an open bucket.
 
-    One of the two asks in every bucket that holds both, so the first one they share is enough."""
+    Takes (node, own, weight, buckets, sig, elements).  One of two texts asks in every bucket that holds
+    both, so the first one they share is enough.  A block leaves out links within what it has joined."""
     least = COORDINATES * similarity - DEVIATIONS * (COORDINATES * similarity * (1 - similarity)) ** 0.5
     # A block holds a part of a bucket's members and a part of its asking ones; each of both meets each once.
-    blocks, parts = (F.ceil(F.col(c) / BLOCK).cast("long") for c in ("size", "asking"))
     place = F.xxhash64("node")
 
     def every(n: Column) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
-    rows = members.select("key", F.pmod(place, blocks).alias("block"), every(parts).alias("part"),
-                          F.lit(False).alias("turn"), "asks", "node", "own", "sig")
+    members = nodes.select("node", "own", "sig", "elements", F.explode("buckets").alias("b")).select(
+        "node", "own", "sig", "elements", "b.*")
+    rest = ["node", "own", "sig", "elements"]
+    rows = members.select("key", F.pmod(place, F.col("blocks")).alias("block"), every(F.col("parts")).alias("part"),
+                          F.lit(False).alias("turn"), *rest)
     rows = rows.union(members.filter("asks").select(
-        "key", every(blocks).alias("block"), F.pmod(place, parts).alias("part"),
-        F.lit(True).alias("turn"), "asks", "node", "own", "sig"))
+        "key", every(F.col("blocks")).alias("block"), F.pmod(place, F.col("parts")).alias("part"),
+        F.lit(True).alias("turn"), *rest))
     group = ["key", "block", "part"]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             # The last block may go on in the next batch.
-            table = pa.Table.from_batches([*rest, batch]).combine_chunks()
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
             if not table.num_rows:
                 continue
             ids = [table.column(c).to_numpy() for c in group]
             new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
             last = int(new[-1]) if len(new) else 0
-            rest = table.slice(last).to_batches()
+            held = table.slice(last).to_batches()
             if last:
                 yield found(table.slice(0, last), [0, *new.tolist()])
-        if rest:
-            table = pa.Table.from_batches(rest)
+        if held:
+            table = pa.Table.from_batches(held)
             yield found(table, [0, table.num_rows])
 
     def found(table: pa.Table, at: list[int]) -> pa.RecordBatch:
@@ -265,29 +287,48 @@ def candidates(members: DataFrame, similarity: float, best: bool) -> DataFrame:
         sig, bands = sig[:, :COORDINATES], sig[:, COORDINATES:]
         bands = np.ascontiguousarray(bands).view(np.int64)
         key, node = table.column("key").to_numpy(), table.column("node").combine_chunks()
-        rank = pc.rank(node, tiebreaker="dense").to_numpy()
-        own = utf8(table.column("own"))[0].reshape(-1, 16).view(np.uint64)
-        turn, asks = table.column("turn").to_numpy(), table.column("asks").to_numpy()
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        own = np.unique(utf8(table.column("own"))[0].reshape(-1, 16).view("S16").ravel(), return_inverse=True)[1].ravel()
+        data, edge = utf8(table.column("elements"))
+        element, edge = np.frombuffer(data.tobytes(), U), edge // 8
+        turn = table.column("turn").to_numpy()
+        left, right = [], []
         for low, high in zip(at, at[1:]):
-            others = low + np.flatnonzero(~turn[low:high])
-            theirs, of = sig[others], own[others]
-            for i in low + np.flatnonzero(turn[low:high]):
-                agree = agreement(theirs, sig[i])
-                near = np.flatnonzero((agree >= least) & (of != own[i]).any(axis=1))
-                shared = (bands[others[near]] == bands[i]).argmax(axis=1)
-                near = near[bands[i][shared] == key[i]]
-                if best and len(near):
-                    near = near[[np.argmax(agree[near])]]
-                elif len(near):  # where both ask, one of them does
-                    near = near[~asks[others[near]] | (rank[others[near]] > rank[i])]
-                left.append(np.full(len(near), i))
-                right.append(others[near])
+            label = np.unique(own[low:high], return_inverse=True)[1].ravel()
+            joined = np.arange(label.max() + 1)  # the class that stands for each class of the block
+            others = np.flatnonzero(~turn[low:high])
+            theirs, size, of = sig[low + others], np.diff(edge)[low + others], label[others]
+            for i in np.flatnonzero(turn[low:high]):
+                mine = element[edge[low + i]:edge[low + i + 1]]
+                near = np.flatnonzero(joined[of] != joined[label[i]])
+                near = near[np.minimum(size[near], len(mine)) >= similarity * np.maximum(size[near], len(mine))]
+                agree = agreement(theirs[near], sig[low + i])
+                near, agree = near[agree >= least], agree[agree >= least]
+                shared = (bands[low + others[near]] == bands[low + i]).argmax(axis=1)
+                here = bands[low + i][shared] == key[low]
+                for j in near[here][np.argsort(-agree[here], kind="stable")].tolist():
+                    if joined[of[j]] == joined[label[i]]:
+                        continue
+                    other = low + others[j]
+                    if similar(mine, element[edge[other]:edge[other + 1]], similarity):
+                        left.append(low + i)
+                        right.append(other)
+                        joined[joined == joined[of[j]]] = joined[label[i]]
         return pa.RecordBatch.from_arrays(
-            [node.take(pa.array(np.concatenate(x))) for x in (left, right)], ["a", "b"])
+            [node.take(pa.array(np.array(x, np.int64))) for x in (left, right)], ["a", "b"])
+
+    links = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(step, "a binary, b binary")
+    return links.select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("leader")).distinct()
+
 
-    pairs = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(step, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("leader")).distinct()
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted arrays of distinct elements have at least this Jaccard similarity."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return False
+    at = np.searchsorted(b, a)
+    shared = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return shared / (len(a) + len(b) - shared) >= similarity
 
 
 def agreement(sigs: np.ndarray, sig: np.ndarray) -> np.ndarray:

@@ -183,23 +183,53 @@ def test_near_duplicates_of_one_member(spark):
     assert {r.doc_id: r.class_id for r in got} == brute_classes(rows)
 
 
-@pytest.mark.parametrize("best", [True, False])
-def test_candidates_meet_across_blocks(spark, monkeypatch, best):
-    monkeypatch.setattr(dart_minhash, "BLOCK", 3)
+@pytest.mark.parametrize("size", [1, 3, 7, 512])
+def test_blocks_link_what_is_similar(spark, size):
+    """Twenty texts of one bucket: links join exactly the classes that brute force joins, whatever the blocks."""
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 256, 320, np.uint8)
-    sigs = [np.where(rng.random(320) < 0.05 * (i % 5), rng.integers(0, 256, 320, np.uint8), base) for i in range(20)]
+    base = [f"w{i}" for i in range(200)]
+    texts_ = [" ".join(edited(base, rng.choice(200, 2 * (i % 5), False), f"v{i}")) for i in range(20)]
     node = [bytes([i]) * 16 for i in range(20)]
-    own = [node[0] if i < 9 else node[i] for i in range(20)]
+    own = [node[0] if i < 5 else node[i] for i in range(20)]
+    data = pa.array(texts_)
+    element, row = dart_minhash.weighted_elements(*utf8(data))
+    sig = dart_minhash.signatures(element, row, 20)
+    short = (sig >> np.uint64(56)).astype(np.uint8)
     keys = np.array([[7, *range(100 * i, 100 * i + 39)] for i in range(20)])
+    blocks, parts = -(-20 // size), -(-15 // size)
     rows = spark.createDataFrame(
-        [(7, node[i], own[i], 20, 11, i >= 9, sigs[i].tobytes() + keys[i].tobytes()) for i in range(20)],
-        "key long, node binary, own binary, size long, asking long, asks boolean, sig binary")
-    got = {(bytes(r.node)[0], bytes(r.leader)[0]) for r in dart_minhash.candidates(rows, 0.8, best).collect()}
-    want = {(a, b) for a in range(20) for b in range(a + 1, 20)
-            if own[a] != own[b] and (sigs[a] == sigs[b]).sum() >= 256 - 6 * 51.2 ** 0.5}
-    assert got < want if best else got == want
-    assert {i for p in got for i in p} >= set(range(9, 20))
+        [(node[i], own[i], np.sort(element[row == i]).tobytes(), [(7, blocks, parts, i >= 5)],
+          short[i].tobytes() + keys[i].tobytes()) for i in range(20)],
+        "node binary, own binary, elements binary, buckets array<struct<key:long,blocks:long,parts:long,asks:boolean>>, "
+        "sig binary")
+    links = [(bytes(r.node)[0], bytes(r.leader)[0]) for r in dart_minhash.block_links(rows, 0.8).collect()]
+    exact = {(a, b): dart_minhash.jaccard(data.take([a]), data.take([b]))[0] for a in range(20) for b in range(a)}
+    assert all(exact[max(p), min(p)] >= 0.8 for p in links)
+
+    def joined(pairs):
+        label = list(range(20))
+        for a, b in pairs:
+            label = [label[a] if x == label[b] else x for x in label]
+        return sorted(sorted(i for i in range(20) if label[i] == x) for x in set(label))
+
+    first = [(0, i) for i in range(5)]
+    assert joined(first + links) == joined(first + [p for p, x in exact.items() if x >= 0.8])
+    assert 1 < len(joined(first + links)) < 16 and len(links) < 20 * blocks * parts
+
+
+def test_pairs_below_the_similarity_leave_no_rows(spark, monkeypatch):
+    """Texts of 0.65 to 0.75 share buckets by the thousand; what is handed on doesn't grow with their pairs."""
+    rng = np.random.default_rng(2)
+    counted = []
+    made = dart_minhash.block_links
+    monkeypatch.setattr(dart_minhash, "block_links", lambda *a: counted.append(made(*a)) or counted[-1])
+    for n in (150, 300):
+        base = [f"w{i}" for i in range(150)]
+        rows = [" ".join(edited(base, rng.choice(150, 3, False), f"v{i}")) for i in range(n)]
+        rows = list(enumerate(rows))
+        got = dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.doc_id: r.class_id for r in got} == brute_classes(rows)
+        assert counted[-1].count() < n
 
 
 def test_signatures_estimate_similarity():
