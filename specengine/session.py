@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Where a local session without `spark.checkpoint.dir` keeps the folder it made.
 OWN_FOLDER = "specengine.checkpoint.dir"
+#: Setting and bytes of a batch for Python steps.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -32,11 +34,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what a Python step gets at once by bytes, not by rows alone, unless the session says otherwise."""
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, once per session; Python steps import it there.
 
     The archive lies on the driver, which serves it to every executor, later ones too.
     """
+    bound_batches(spark)
     if spark.conf.get("specengine.shipped", None):
         return
     root = os.path.dirname(os.path.abspath(__file__))
