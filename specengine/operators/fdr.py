@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from specengine.functions.peptide import DECOY
 from specengine.functions.spectrum import fdr_bin, linear_bin
+from specengine.operators.skew import salted_join
 
 
 def fdr_counts(hits: DataFrame, keys: list[str] = (),
@@ -114,7 +115,7 @@ def protein_hits(hits: DataFrame, unique_only: bool = False) -> DataFrame:
         return rows
     shared = rows.select("peptide", "protein").distinct().groupBy("peptide").agg(
         F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == 1).select("peptide")
-    return rows.join(shared, "peptide", "left_semi")
+    return salted_join(rows, shared, ["peptide"]).select("protein", "scan", "peptide")
 
 
 def roc_points(scores: DataFrame, step: float = 0.001, last: float = 0.05,

@@ -10,9 +10,15 @@ from specengine.operators.skew import with_row_index
 BROADCAST_ROWS = 100_000
 
 
+def sampling_hash(*keys: str, seed: int = 0) -> Column:
+    """32 bits of the MD5 of the keys' text: any engine gives the same, however the rows are placed."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def percentile_filter(df: DataFrame, key: str, start: int, end: int) -> DataFrame:
     """Keep the rows whose key falls into hundredths [start, end) of the hash range."""
-    return df.filter(F.pmod(F.xxhash64(key), F.lit(100)).between(start, end - 1))
+    return df.filter((sampling_hash(key) % 100).between(start, end - 1))
 
 
 def nofk_filter(df: DataFrame, order: list[str], n: int, start: int) -> DataFrame:
@@ -25,8 +31,9 @@ def first_n(df: DataFrame, order: list[str | Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def random_fraction(df: DataFrame, fraction: float, seed: int = 17) -> DataFrame:
-    return df.sample(fraction, seed)
+def random_fraction(df: DataFrame, fraction: float, keys: list[str], seed: int = 17) -> DataFrame:
+    """About a fraction of the rows, chosen by their keys and the seed: the same ones in every run."""
+    return df.filter(sampling_hash(*keys, seed=seed) < round(fraction * 2**32))
 
 
 def limit_rows(df: DataFrame, key: str, max_rows: int | None) -> DataFrame:
@@ -38,8 +45,7 @@ def limit_rows(df: DataFrame, key: str, max_rows: int | None) -> DataFrame:
     if max_rows is None:
         return df
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    bucket = F.pmod(F.xxhash64(key), F.lit(1_000_000))
-    return df.filter(bucket * total < F.lit(max_rows).cast("long") * 1_000_000)
+    return df.filter(sampling_hash(key) % 1_000_000 * total < F.lit(max_rows).cast("long") * 1_000_000)
 
 
 def nonempty_id(df: DataFrame, column: str = "id") -> DataFrame:

@@ -155,12 +155,13 @@ def skewed_mass_split(library: DataFrame, limit: int = 30_000) -> DataFrame:
     """Chunk number of every peptide inside its whole mass; chunks hold about `limit` rows.
 
     The sizes come first, from a partially aggregated count, and rows then go
-    to a chunk by hash: no sort of a heavy mass and no single task for it.
+    to a chunk by hash: no sort of a heavy mass and no single task for it, also
+    when its size is brought back to its rows.
     """
     by_mass = library.withColumn("mass_int", F.col("matching_mass").cast("int"))
     sizes = by_mass.groupBy("mass_int").agg(
         F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("chunks"))
-    return by_mass.join(sizes, "mass_int").withColumn(
+    return salted_join(by_mass, sizes, ["mass_int"], sized_by=(by_mass.select("mass_int"), sizes)).withColumn(
         "chunk", F.pmod(F.xxhash64("mod_sequence"), F.col("chunks").cast("long")).cast("int"))
 
 

@@ -9,7 +9,7 @@ from specengine.functions.masses import daltons, matching_nano, peptide_nano
 from specengine.functions.peptide import DECOY, decoy_label, usable_peptide
 from specengine.operators.digest import digest
 from specengine.operators.mods import Modification, apply_mods, mods_nano
-from specengine.operators.skew import with_group_index, with_row_index
+from specengine.operators.skew import salted_join, with_group_index, with_row_index
 
 BIN_WIDTH = 0.1
 SECTION_ROWS = 10_000
@@ -197,10 +197,11 @@ def sequence_seen(df: DataFrame, position: str = "pos") -> DataFrame:
     """Flag each row whose sequence occurred at an earlier position.
 
     The first position per sequence is a partially aggregated minimum, so a
-    sequence that fills a third of the input is one row before the join.
+    sequence that fills a third of the input is one row before the join, which
+    cuts its rows into parts.
     """
     firsts = df.groupBy("sequence").agg(F.min(position).alias("_first"))
-    return df.join(firsts, "sequence").withColumn(
+    return salted_join(df, firsts, ["sequence"], sized_by=(df.select("sequence"), firsts)).withColumn(
         "seen", F.col(position) > F.col("_first")).drop("_first")
 
 

@@ -97,12 +97,13 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
 
 
 def with_row_index(df: DataFrame, order: Sequence[str | Column], name: str = "index",
-                   start: int = 0) -> DataFrame:
+                   start: int = 0, keep: str | None = None) -> DataFrame:
     """Dense index in global order, without moving all rows into one task.
 
     Rows are range-partitioned and sorted, stored once in the shared folder,
     and numbered by partition offset plus place in the partition.  The offsets
     frame has one row per partition.  `order` should end with a unique column.
+    `keep` names a column for the row's range.
     """
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).select(
         "*",
@@ -114,11 +115,9 @@ def with_row_index(df: DataFrame, order: Sequence[str | Column], name: str = "in
     offsets = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select(
         "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    return (
-        placed.join(F.broadcast(offsets), "_p")
-        .withColumn(name, F.col("_offset") + F.col("_i") + F.lit(start).cast("long"))
-        .drop("_p", "_i", "_offset")
-    )
+    numbered = placed.join(F.broadcast(offsets), "_p").withColumn(
+        name, F.col("_offset") + F.col("_i") + F.lit(start).cast("long")).drop("_i", "_offset")
+    return numbered.withColumnRenamed("_p", keep) if keep else numbered.drop("_p")
 
 
 def with_group_index(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
@@ -126,10 +125,13 @@ def with_group_index(df: DataFrame, group: Sequence[str], order: Sequence[str |
     """0-based index inside each group; a hot group is spread over many tasks.
 
     One global numbering by (group, order) is made, and the first number of a
-    group (a partially aggregated minimum) is taken off again.
+    group is taken off again.  That number is attached by (range, group), of
+    which none has more rows than a range of the sort, however large the group.
     """
-    indexed = with_row_index(df, [*group, *order], "_g")
-    first = indexed.groupBy(*group).agg(F.min("_g").alias("_first"))
-    return indexed.join(first, list(group)).withColumn(
+    indexed = with_row_index(df, [*group, *order], "_g", keep="_p")
+    here = indexed.groupBy("_p", *group).agg(F.min("_g").alias("_here"))
+    first = here.groupBy(*group).agg(F.min("_here").alias("_first"))
+    firsts = here.drop("_here").join(first, list(group))
+    return indexed.join(firsts, ["_p", *group]).withColumn(
         name, F.col("_g") - F.col("_first")
-    ).drop("_g", "_first")
+    ).drop("_g", "_first", "_p")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specengine.operators.skew import salted_join
+
 
 def linear_fit(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     """Slope, both intercepts and correlation; 0 where there is no fit."""
@@ -69,7 +71,7 @@ def group_values(df: DataFrame, key: str, value: str, chunk: int = 10_000) -> Da
     counted = df.groupBy(key, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     sizes = counted.groupBy(key).agg(
         F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("_parts"))
-    placed = counted.join(sizes, key).withColumn(
+    placed = salted_join(counted, sizes, [key]).withColumn(
         "part", F.pmod(F.xxhash64("value"), F.col("_parts")))
     return placed.groupBy(key, "part").agg(
         F.sort_array(F.collect_list(F.struct("value", "n"))).alias("values"))

@@ -18,6 +18,8 @@ from specengine.plans.registry import query
 from specengine.plans.tables import ctes, hits, result_set, table
 
 HITS_SQL = ctes("hits")
+#: The sampling hash of a key.
+HASH_SQL = "CAST('0x' || substr(md5('{seed}|' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT)"
 BIN_SQL = ("CASE WHEN score <= 1e-8 THEN 0 WHEN score >= 1e8 THEN 3199 "
            "ELSE CAST(floor((log10(score) + 8.0e0) / 0.005e0) AS INTEGER) END")
 COUNTS_SQL = HITS_SQL.rstrip() + f""",
@@ -276,7 +278,7 @@ def found_in_top(spark, folder):
 
 # ---- samples, order, sets, placement ---------------------------------------------------
 
-@query("percentile_filter")
+@query("percentile_filter", f"SELECT o_orderkey FROM orders WHERE {HASH_SQL.format(seed=0, key='o_orderkey')} % 100 BETWEEN 10 AND 29")
 def percentile_filter(spark, folder):
     return X.percentile_filter(table(spark, folder, "orders").select("o_orderkey"), "o_orderkey", 10, 30)
 
@@ -302,9 +304,9 @@ def first_n(spark, folder):
     return X.first_n(table(spark, folder, "events").select("event_id", "value"), ["value", "event_id"], 100)
 
 
-@query("random_fraction")
+@query("random_fraction", f"SELECT event_id FROM events WHERE {HASH_SQL.format(seed=17, key='event_id')} < {round(0.2 * 2**32)}")
 def random_fraction(spark, folder):
-    return X.random_fraction(table(spark, folder, "events").select("event_id"), 0.2)
+    return X.random_fraction(table(spark, folder, "events").select("event_id"), 0.2, ["event_id"])
 
 
 @query("select_middle_scans", """WITH o AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM events)
@@ -385,33 +387,57 @@ def first_last_name(spark, folder):
         "c_custkey", T.first_name(name).alias("first"), T.last_name(name).alias("last"))
 
 
-def _whole(df, key):
-    """The placement changes where rows are, not which rows there are."""
-    sizes = df.withColumn("_p", F.spark_partition_id()).groupBy("_p").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(key).alias("s"))
-    return sizes.agg(F.sum("n").alias("n"), F.sum("s").alias("total"))
+def _places(df, key):
+    """Per key: its rows, the partitions that hold them, and the highest of these."""
+    at = F.spark_partition_id()
+    return df.select(key.alias("key"), at.alias("at")).groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("at").alias("places"), F.max("at").alias("last")).select(
+        "key", "n", "places", "last")
 
 
-@query("by_hash", "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders")
+def _inside(df, key, n):
+    return _places(df, key).withColumn("inside", F.col("last") < n).drop("last")
+
+
+@query("by_hash", "SELECT user_id AS key, count(*) AS n, 1::BIGINT AS places, true AS inside FROM events GROUP BY 1")
 def by_hash(spark, folder):
-    return _whole(PT.by_hash(table(spark, folder, "orders"), 7, "o_orderkey"), "o_orderkey")
+    """All rows of a key lie in one of the partitions asked for."""
+    return _inside(PT.by_hash(table(spark, folder, "events"), 7, "user_id"), F.col("user_id"), 7)
 
 
-@query("by_mass", "SELECT count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS total FROM part")
+@query("by_mass", """SELECT CAST(floor(p_retailprice) AS INTEGER) AS key, count(*) AS n, 1::BIGINT AS places, true AS inside
+FROM part GROUP BY 1""")
 def by_mass(spark, folder):
-    return _whole(PT.by_mass(table(spark, folder, "part"), 7, "p_retailprice"), "p_partkey")
+    """All rows of a whole mass lie in one partition."""
+    return _inside(PT.by_mass(table(spark, folder, "part"), 7, "p_retailprice"), F.col("p_retailprice").cast("int"), 7)
 
 
-@query("by_first_letter", "SELECT count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS total FROM part")
+@query("by_first_letter", """SELECT upper(substr(p_name, 1, 1)) AS letter, count(*) AS n, count(DISTINCT p_name) AS n_words,
+  count(DISTINCT p_name) AS n_places, 0::BIGINT AS n_crossing FROM part GROUP BY 1""")
 def by_first_letter(spark, folder):
-    return _whole(PT.by_first_letter(table(spark, folder, "part"), "p_name"), "p_partkey")
-
-
-@query("by_column", "SELECT count(*) AS n, CAST(sum(turn) AS BIGINT) AS total FROM conversations")
+    """A word lies in one partition, and no partition reaches into the words of the next one."""
+    placed = PT.by_first_letter(table(spark, folder, "part"), "p_name")
+    word = F.struct(F.ascii(F.upper(F.substring("p_name", 1, 1))).alias("letter"), F.col("p_name").alias("word"))
+    rows = placed.select("p_name", word.alias("w"), F.spark_partition_id().alias("at"))
+    ranges = rows.groupBy("at").agg(F.min("w").alias("low"), F.max("w").alias("high"))
+    crossing = ranges.alias("a").join(ranges.alias("b"), F.expr("a.at < b.at AND a.high >= b.low")).select(
+        F.expr("a.at").alias("at")).distinct().withColumn("crossing", F.lit(True))
+    return rows.join(F.broadcast(crossing), "at", "left").groupBy(
+        F.upper(F.substring("p_name", 1, 1)).alias("letter")).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("p_name").alias("n_words"),
+        F.countDistinct("p_name", "at").alias("n_places"), F.count("crossing").alias("n_crossing"))
+
+
+@query("by_column", "SELECT conv_id AS key, count(*) AS n, 1::BIGINT AS places, true AS inside FROM conversations GROUP BY 1")
 def by_column(spark, folder):
-    return _whole(PT.by_column(table(spark, folder, "conversations"), 5, "conv_id"), "turn")
+    return _inside(PT.by_column(table(spark, folder, "conversations"), 5, "conv_id"), F.col("conv_id"), 5)
 
 
-@query("repartition_if_needed", "SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events")
+@query("repartition_if_needed", """SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total, 12::BIGINT AS n_before,
+  6::BIGINT AS n_after FROM events""")
 def repartition_if_needed(spark, folder):
-    return _whole(PT.coalesce(PT.repartition_if_needed(table(spark, folder, "events"), 12), 6), "event_id")
+    wide = PT.repartition_if_needed(table(spark, folder, "events"), 12)
+    few = PT.coalesce(wide, 6)
+    used = lambda df: PT.partition_sizes(df).agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"))
+    before, after = used(wide).toDF("n_before", "n"), used(few).toDF("n_after", "n")
+    return few.agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("total")).join(before, "n").join(after, "n")

@@ -16,6 +16,7 @@ from specengine.operators import scoring as S
 from specengine.plans import search as Q
 from specengine.plans.library_queries import _unique_sql, unique_peptides
 from specengine.plans.registry import query
+from specengine.plans.report_queries import HASH_SQL
 from specengine.plans.spectrum_queries import (
     COMET_ROWS_SQL, SPECTRA_SQL, conditioned_sql, k_rows_sql)
 from specengine.plans.tables import ctes, precursors, proteins, spectra, table
@@ -507,12 +508,23 @@ def pick_top_scans(spark, folder):
     return O.pick_top_scans(P.best_match(psm(spark, folder)), 25).select("id", "peptide", "hyperscore")
 
 
-@query("limit_spectra", "SELECT count(*) AS n FROM orders")
+def _limited_sql(rows: str, key: str, limit: int) -> str:
+    """Rows whose hash is below the share of the limit; the limit is the operator's feature."""
+    return f"""SELECT {key} FROM {rows} WHERE {HASH_SQL.format(seed=0, key=key)} % 1000000
+  * (SELECT count(*) FROM {rows}) < {limit}::BIGINT * 1000000"""
+
+
+@query("limit_spectra", ctes("precursors") + _limited_sql("precursors", "id", 400))
 def limit_spectra(spark, folder):
+    return X.limit_rows(precursors(spark, folder), "id", 400).select("id")
+
+
+@query("unlimited_spectra", ctes("precursors") + "SELECT id FROM precursors")
+def unlimited_spectra(spark, folder):
     """Without a limit every spectrum stays."""
-    return X.limit_rows(precursors(spark, folder), "id", None).agg(F.count(F.lit(1)).alias("n"))
+    return X.limit_rows(precursors(spark, folder), "id", None).select("id")
 
 
-@query("limit_proteins")
+@query("limit_proteins", ctes("proteins") + _limited_sql("proteins", "protein", 50))
 def limit_proteins(spark, folder):
     return X.limit_rows(proteins(spark, folder), "protein", 50).select("protein")

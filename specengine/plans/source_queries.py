@@ -20,7 +20,7 @@ from specengine.plans.registry import query
 from specengine.plans.score_queries import HISTOGRAM_SQL, KSCORE_SQL, psm
 from specengine.plans.spectrum_queries import SPECTRA_SQL
 from specengine.plans.tables import ctes, hits, proteins, spectra, table
-from specengine.session import scratch_path, spread
+from specengine.session import scratch_path, spread, store
 from specengine.sinks import files as S
 from specengine.sinks import reports as R
 from specengine.sources import reports as RR
@@ -323,10 +323,11 @@ def lines_from_files(spark, folder):
 # ---- reports -----------------------------------------------------------------------
 
 def report(spark, folder):
-    library = build_library(proteins(spark, folder))
+    library = store(build_library(proteins(spark, folder)), "library")
     found = Q.search_report(spectra(spark, folder), library)
     members = digest(proteins(spark, folder)).select(F.col("sequence").alias("peptide"), "protein").distinct()
-    return R.ranked_report(found).withColumn("rt_sec", F.lit(0.0)), members
+    results = R.ranked_report(found).withColumn("rt_sec", F.lit(0.0))
+    return store(results, "results"), store(members, "members")  # both are read several times
 
 
 REPORT_SQL = KSCORE_SQL + """
@@ -352,7 +353,7 @@ FROM psm_ranked JOIN firsts ON sequence = peptide WHERE rank <= 8""")
 def read_pepxml_hits(spark, folder):
     path = scratch_path(spark, "pepxml")
     results, members = report(spark, folder)
-    R.write_pepxml(R.psm_report(results, members), path)
+    R.write_pepxml(results, members, path)
     return RR.read_pepxml_hits(spark, path).select(
         "scan", "charge", "rank", "peptide", "hyperscore", F.size("proteins").alias("n_proteins"), "is_decoy")
 
@@ -398,8 +399,8 @@ def write_protein_tsv(spark, folder):
     path = scratch_path(spark, "proteins")
     R.write_protein_tsv(hit_rows(spark, folder), path)
     parts = F.split("value", "\t")
-    return spark.read.text(path).select(parts[0].alias("protein"), F.explode(F.slice(
-        parts, F.lit(2), F.size(parts))).alias("peptide"))
+    return spark.read.text(path).select(parts[0].alias("protein"), F.explode(F.filter(F.slice(
+        parts, F.lit(2), F.size(parts)), lambda p: p != "")).alias("peptide"))
 
 
 @query("search_report", HISTOGRAM_SQL + """

@@ -163,36 +163,41 @@ def _decode_pairs(batches):
             peaks, index=batch.index))
 
 
-MZXML_SCAN = """
-_num int, _msLevel int, _polarity string, _retentionTime string,
-precursorMz array<struct<_VALUE:double,_precursorIntensity:double,_precursorCharge:int,
-_activationMethod:string>>,
-peaks array<struct<_VALUE:string,_precision:int,_compressionType:string>>
-"""
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute in the text of a start tag, NULL without it."""
+    found = F.regexp_extract(tag, rf"(?:^|\s){name}\s*=\s*[\"']([^\"']*)[\"']", 1)
+    return F.when(F.regexp_like(tag, F.lit(rf"(?:^|\s){name}\s*=")), found)
 
 
 def read_mzxml(spark: SparkSession, path, ms_level: int | None = 2) -> DataFrame:
-    """Scans of mzXML files, also those nested in a survey scan; survey scans are dropped first."""
-    schema = f"{MZXML_SCAN}, scan array<struct<{_as_struct(MZXML_SCAN)}>>"
-    raw = read_xml_tag(spark, path, "scan", schema)
-    own = raw.drop("scan")
-    nested = raw.filter(F.size("scan") > 0).select(F.explode("scan").alias("s")).select("s.*")
-    scans = own.unionByName(nested)
+    """Scans of mzXML files, however deep they are nested in other scans; survey scans are dropped first.
+
+    Files are cut behind each list of peaks, in parallel within a file.  What
+    lies before a list holds the start of its scan, as the last start of a scan
+    there, whether the scans around it are closed or not.
+    """
+    pieces = spark.read.option("lineSep", "</peaks>").text(path)
+    start = F.regexp_extract("value", r"(?s)^.*<scan\s([^>]*)>", 1)
+    body = F.regexp_extract("value", r"(?s)^.*<scan\s[^>]*>(.*)$", 1)
+    scans = pieces.filter(F.regexp_like("value", F.lit(r"<scan\s"))).select(start.alias("_tag"), body.alias("_body")).filter(
+        F.regexp_like("_body", F.lit(r"<peaks[\s>]")))
     if ms_level is not None:
-        scans = scans.filter(F.col("_msLevel") == ms_level)
-    first = lambda c: F.get(c, F.lit(0))
-    flat = scans.filter(F.size("peaks") > 0).select(
-        F.col("_num").cast("string").alias("id"), F.col("_num").cast("string").alias("label"),
-        F.col("_num").alias("scan_number"), F.col("_msLevel").alias("ms_level"),
-        F.when(F.col("_polarity") == "-", "minus").otherwise("plus").alias("polarity"),
-        rt_seconds(F.col("_retentionTime")).alias("rt_sec"),
-        first("precursorMz")._activationMethod.alias("activation"),
-        first("precursorMz")._VALUE.alias("_mz"),
-        F.coalesce(first("precursorMz")._precursorCharge, F.lit(0)).alias("_z"),
-        first("precursorMz")._precursorIntensity.alias("_i"),
-        F.regexp_replace(first("peaks")._VALUE, r"\s", "").alias("_text"),
-        F.coalesce(first("peaks")._precision, F.lit(32)).alias("_bits"),
-        (F.coalesce(first("peaks")._compressionType, F.lit("none")) == "zlib").alias("_packed"))
+        scans = scans.filter(_attribute(F.col("_tag"), "msLevel").try_cast("int") == ms_level)
+    parent, peaks = (F.regexp_extract("_body", rf"(?s)<{n}\b([^>]*)>", 1) for n in ("precursorMz", "peaks"))
+    whole = scans.withColumn("_parent", parent).withColumn("_list", peaks)
+    number = _attribute(F.col("_tag"), "num")
+    flat = whole.select(
+        number.alias("id"), number.alias("label"), number.try_cast("int").alias("scan_number"),
+        _attribute(F.col("_tag"), "msLevel").try_cast("int").alias("ms_level"),
+        F.when(_attribute(F.col("_tag"), "polarity") == "-", "minus").otherwise("plus").alias("polarity"),
+        rt_seconds(_attribute(F.col("_tag"), "retentionTime")).alias("rt_sec"),
+        _attribute(F.col("_parent"), "activationMethod").alias("activation"),
+        F.regexp_extract("_body", r"(?s)<precursorMz\b[^>]*>\s*([^<\s]*)", 1).try_cast("double").alias("_mz"),
+        F.coalesce(_attribute(F.col("_parent"), "precursorCharge").try_cast("int"), F.lit(0)).alias("_z"),
+        _attribute(F.col("_parent"), "precursorIntensity").try_cast("double").alias("_i"),
+        F.regexp_replace(F.regexp_extract("_body", r"(?s)<peaks\b[^>]*>(.*)$", 1), r"\s", "").alias("_text"),
+        F.coalesce(_attribute(F.col("_list"), "precision").try_cast("int"), F.lit(32)).alias("_bits"),
+        (F.coalesce(_attribute(F.col("_list"), "compressionType"), F.lit("none")) == "zlib").alias("_packed"))
     kept = [f"{f.name} {f.dataType.simpleString()}" for f in flat.schema.fields
             if f.name not in ("_text", "_bits", "_packed")]
     decoded = flat.mapInPandas(_decode_pairs, ", ".join([*kept, f"peaks {PEAKS}"]))
@@ -200,20 +205,6 @@ def read_mzxml(spark: SparkSession, path, ms_level: int | None = 2) -> DataFrame
         F.col("_mz"), F.col("_z"), F.col("_i"))).withColumn("peaks", F.array_sort("peaks")))
 
 
-def _as_struct(ddl: str) -> str:
-    """Column list `name type, ...` as struct fields `name:type,...` (top level only)."""
-    import re
-
-    depth, fields, field = 0, [], ""
-    for c in " ".join(ddl.split()):
-        depth += {"<": 1, ">": -1}.get(c, 0)
-        if c == "," and depth == 0:
-            fields, field = [*fields, field], ""
-        else:
-            field += c
-    return ",".join(re.sub(r"^\s*(\w+)\s+", r"\1:", f).strip() for f in [*fields, field])
-
-
 # Accession numbers of the values read from mzML.
 MS_LEVEL, SELECTED_MZ, CHARGE_STATE, PEAK_INTENSITY = (
     "MS:1000511", "MS:1000744", "MS:1000041", "MS:1000042")

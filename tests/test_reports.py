@@ -110,12 +110,12 @@ def test_fasta(spark, tmp_path):
 
 def test_mgf(spark, tmp_path):
     path = tmp_path / "a.mgf"
-    path.write_text("BEGIN IONS\nTITLE=one\nPEPMASS=500.5 8795.7\nCHARGE=2+\nRTINSECONDS=12.5\nSCANS=3\n"
+    path.write_text("BEGIN IONS\nTITLE=one\nPEPMASS=500.5 1234.5\nCHARGE=2+\nRTINSECONDS=12.5\nSCANS=3\n"
                     "200.5\t3.0\n100.5 2.0\n300 0.0\nbad line here x\nEND IONS\n\n"
-                    "BEGIN IONS\nTITLE=Label: W, Spot_Id: 159752, Peak: 1\nPEPMASS=400.25\n100 1\nEND IONS\n")
+                    "BEGIN IONS\nTITLE=Plate: K, Spot_Id: 7341, Run: 12\nPEPMASS=400.25\n100 1\nEND IONS\n")
     rows = {r.id: r for r in SS.read_spectra(spark, str(path)).collect()}
-    one, two = rows["one"], rows["159752"]
-    assert tuple(one.precursor) == (500.5, 2, 8795.7) and one.rt_sec == 12.5
+    one, two = rows["one"], rows["7341"]
+    assert tuple(one.precursor) == (500.5, 2, 1234.5) and one.rt_sec == 12.5
     assert [tuple(p) for p in one.peaks] == [(100.5, 2.0), (200.5, 3.0)]
     assert tuple(two.precursor) == (400.25, 1, None)
     path.write_text("BEGIN IONS\nTITLE=x\nWRONG=1\nEND IONS\n")
@@ -194,3 +194,88 @@ def test_people_and_taxonomy(spark, tmp_path):
     assert ST.read_people(spark, str(tmp_path / "p.csv")).filter("age > 10").count() == 1
     (tmp_path / "t.xml").write_text('<bioml><taxon label="yeast"><file format="peptide" URL="y.fasta"/></taxon></bioml>')
     assert tuple(ST.read_taxonomy(spark, str(tmp_path / "t.xml")).first()) == ("yeast", "peptide", "y.fasta")
+
+
+def test_a_hit_in_many_proteins_is_one_hit(spark, tmp_path):
+    """2,500 proteins of one peptide: one spectrum_query, one search_hit, all names."""
+    from specengine.sources import reports as RR
+
+    row = (7, 2, 800.25, None, 1, "PEPK", 90.0, 40.0, 0.5, 3, 4, 7, 10.0, 20.0, 800.0)
+    fields = ("id long, charge int, precursor_mass double, rt_sec double, rank int, peptide string, hyperscore double, "
+              "next_hyperscore double, expect double, b_count int, y_count int, matched_peaks int, b_score double, "
+              "y_score double, calc_mass double")
+    second = (7, 2, 800.25, None, 2, "AEK[57.02]", 40.0, 0.0, 0.5, 3, 4, 7, 10.0, 20.0, 799.0)
+    other = (8, 3, 500.0, 1.5, 1, "AEK[57.02]", 30.0, 0.0, 0.7, 1, 1, 2, 3.0, 4.0, 499.0)
+    results = spark.createDataFrame([row, second, other], fields)
+    members = spark.createDataFrame([("PEPK", f"P{i}") for i in range(2500)] + [("AEK[57.02]", 'Q<1>&"x"')],
+                                    "peptide string, protein string")
+    path = str(tmp_path / "pepxml")
+    R.write_pepxml(results, members, path)
+    hits = {(r.scan, r["rank"]): r for r in RR.read_pepxml_hits(spark, path).collect()}
+    assert sorted(hits) == [("7", 1), ("7", 2), ("8", 1)]
+    assert sorted(hits["7", 1].proteins) == sorted(f"P{i}" for i in range(2500))
+    assert hits["8", 1].peptide == "AEK[57.02]" and hits["8", 1].is_modified
+    assert hits["7", 2].proteins == ["Q<1>& x"] and hits["8", 1].rt_sec == 1.5
+    text = "".join(f.read_text() for f in sorted((tmp_path / "pepxml").glob("part-*")))
+    assert text.count("<spectrum_query") == 2 and text.count("<search_hit") == 3
+    assert 'num_tot_proteins="2500"' in text and text.count("<alternative_protein") == 2499
+    import xml.etree.ElementTree as ET
+    for f in (tmp_path / "pepxml").glob("part-*"):
+        assert ET.fromstring(f.read_text()).tag == "msms_run_summary"
+
+
+def test_a_protein_is_one_line(spark, tmp_path):
+    rows = [("A", f"PEP{i}") for i in range(2500)] + [("B", "PEP1"), ("C", "PEP2"), ("C", "PEP3")]
+    hits = spark.createDataFrame([(p, q, 1, 0.0) for p, q in rows], "protein string, peptide string, scan int, rt_sec double")
+    R.write_protein_tsv(hits, str(tmp_path / "tsv"))
+    lines = [x.split("\t") for f in sorted((tmp_path / "tsv").glob("part-*")) for x in f.read_text().splitlines()]
+    assert [x[0] for x in lines] == ["A", "B", "C"]
+    assert sorted((x[0], q) for x in lines for q in x[1:] if q) == sorted(rows)
+
+
+def test_scans_nested_three_levels_deep(spark, tmp_path):
+    def scan(num, level, inner="", peaks=True):
+        listed = f'<peaks precision="32" byteOrder="network" pairOrder="m/z-int">{pack([100.0 + num, 5.0], ">f4")}</peaks>'
+        return (f'<scan\n num="{num}" msLevel="{level}" retentionTime="PT{num}S">\n<scanOrigin parentFileID="x" num="9"/>'
+                f'<precursorMz precursorIntensity="7.5" precursorCharge="2" activationMethod="CID">\n{500 + num}.25</precursorMz>'
+                f'{listed if peaks else ""}{inner}</scan>')
+
+    text = "<msRun>" + scan(1, 1, scan(2, 2, scan(3, 3, scan(4, 4)) + scan(5, 3)) + scan(6, 2), peaks=False) + scan(7, 1) + "</msRun>"
+    path = tmp_path / "deep.mzxml"
+    path.write_text(text)
+    rows = {int(r.id): r for r in SS.read_mzxml(spark, str(path), None).collect()}
+    assert sorted(rows) == [2, 3, 4, 5, 6, 7]
+    for n, r in rows.items():
+        assert r.precursor.mz == 500.25 + n and r.peaks[0].mz == 100.0 + n and r.rt_sec == float(n)
+    assert {n: r.ms_level for n, r in rows.items()} == {2: 2, 3: 3, 4: 4, 5: 3, 6: 2, 7: 1}
+    assert sorted(int(r.id) for r in SS.read_mzxml(spark, str(path), 3).collect()) == [3, 5]
+
+
+def test_streamed_counts_survive_a_restart(spark, tmp_path):
+    from specengine.streaming import words as SW
+
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    for lines in (["red blue", "red"], ["green red"], ["blue"]):
+        spark.createDataFrame([(x,) for x in lines], "text string").coalesce(1).write.mode("append").parquet(source)
+        running = SW.running_word_count(SW.stream_parquet(spark, source, "text string"), out, progress)
+        running.processAllAvailable()
+        running.stop()
+    assert {r.word: r.n for r in SW.latest_counts(spark, out).collect()} == {"RED": 3, "BLUE": 2, "GREEN": 1}
+    # A trigger writes what changed, not everything.
+    last = spark.read.parquet(out).filter("trigger = 2").collect()
+    assert [(r.word, r.n) for r in last] == [("BLUE", 2)]
+
+
+def test_streamed_digest_is_the_digest(spark, tmp_path):
+    from specengine.operators.digest import digest
+    from specengine.streaming import words as SW
+
+    rows = spark.createDataFrame([("A", "MKAAARGGGK"), ("B", "AAAKPGGRTT")], "protein string, sequence string")
+    rows.repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = SW.stream_parquet(spark, str(tmp_path / "in"), rows.schema)
+    running = SW.streaming_digest(stream, str(tmp_path / "out"), str(tmp_path / "progress"))
+    running.processAllAvailable()
+    running.stop()
+    key = ["protein", "sequence"]
+    got = spark.read.parquet(str(tmp_path / "out")).select(*key).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, digest(rows).select(*key).collect())) and got

@@ -251,6 +251,44 @@ def test_select_proteins_containing(spark):
     assert {r.protein for r in X.select_proteins_containing(proteins, listed).collect()} == {"A", "C"}
 
 
+def test_samples_do_not_depend_on_partitions(spark):
+    df = spark.range(5000).withColumn("k", F.col("id") * 7)
+    samples = [lambda d: X.percentile_filter(d, "k", 10, 30), lambda d: X.random_fraction(d, 0.2, ["k"]),
+               lambda d: X.limit_rows(d, "k", 700)]
+    for sample in samples:
+        one, many = ({r.id for r in sample(df.repartition(n)).collect()} for n in (1, 50))
+        assert one == many and 600 < len(one) < 1200
+    assert {r.id for r in X.random_fraction(df, 0.2, ["k"], seed=1).collect()} != {
+        r.id for r in X.random_fraction(df, 0.2, ["k"], seed=2).collect()}
+
+
+def partition_rows(df):
+    return sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_a_hot_group_is_numbered_over_many_tasks(spark):
+    rows = [(0 if i % 3 == 0 else i % 50, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "g long, v long").repartition(8)
+    got = SK.with_group_index(df, ["g"], ["v"])
+    seen, want = {}, {}
+    for g, v in sorted(rows):
+        want[g, v] = seen[g] = seen.get(g, -1) + 1
+    assert {(r.g, r.v): r["index"] for r in got.collect()} == want
+
+
+def test_rows_of_a_hot_key_get_their_side_row_in_parts(spark):
+    hot = spark.range(90_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("key"), "id")
+    side = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = SK.salted_join(hot, side, ["key"], rows_per_task=2_000)
+        sizes = partition_rows(joined)
+        assert sum(sizes) == 90_000 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert joined.filter("key = 0").agg(F.min("n"), F.max("n")).first() == (30_000, 30_000)
+
+
 def test_limit_rows(spark):
     df = spark.range(10_000)
     assert X.limit_rows(df, "id", None).count() == 10_000
