@@ -29,8 +29,3 @@ def first_name(name: Column) -> Column:
 
 def last_name(name: Column) -> Column:
     return F.element_at(F.split(F.trim(name), r"\s+"), -1)
-
-
-def ascii_folded(text: Column) -> Column:
-    """Every non-ASCII character becomes one `?`; the length stays the same."""
-    return F.regexp_replace(text, r"[^\x00-\x7F]", "?")

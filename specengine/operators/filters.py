@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specengine.operators.skew import with_row_index
+from specengine.session import store
 
 BROADCAST_ROWS = 100_000
+#: Peptides of one automaton, about.
+PEPTIDES_PER_SHARD = 200_000
 
 
 def sampling_hash(*keys: str, seed: int = 0) -> Column:
@@ -83,24 +90,42 @@ def select_proteins_by_prefix(proteins: DataFrame, ids: DataFrame) -> DataFrame:
     return keyed.join(least, "_prefix", "left_semi").drop("_prefix")
 
 
-def select_proteins_containing(proteins: DataFrame, peptides: DataFrame) -> DataFrame:
+def select_proteins_containing(proteins: DataFrame, peptides: DataFrame,
+                               shard_rows: int = PEPTIDES_PER_SHARD) -> DataFrame:
     """Proteins whose sequence contains a listed peptide.
 
-    A peptide is found through its first four letters, or all of a shorter one, so a protein is compared
-    only with peptides that start somewhere in it.
+    The distinct peptides are counted and dealt into shards of about
+    `shard_rows`.  A task builds one automaton of a shard and reads each
+    sequence once, to its first hit, so a peptide that every protein holds
+    costs no more than any other, and no sequence is shuffled.
     """
-    listed = peptides.filter(F.col("sequence") != "").select(F.col("sequence").alias("_peptide")).distinct().withColumn(
-        "_w", F.substring("_peptide", 1, 4))
-    sizes = sorted(r[0] for r in listed.select(F.length("_w")).distinct().collect())  # 1 to 4
-
-    def words_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("sequence") - (n - 1)))
-        return F.transform(starts, lambda i: F.substring(F.col("sequence"), i, F.lit(n)))
-
-    words = proteins.select("protein", "sequence", F.explode(F.array_distinct(F.flatten(F.array(
-        *[words_of(n) for n in sizes or [4]])))).alias("_w"))
-    found = words.join(listed, "_w").filter(F.contains("sequence", "_peptide"))
-    return proteins.join(found.select("protein").distinct(), "protein", "left_semi")
+    spark = proteins.sparkSession
+    listed = store(peptides.filter(F.col("sequence") != "").select("sequence").distinct(), "peptides")
+    shards = -(-listed.count() // shard_rows)
+    found = spark.createDataFrame([], proteins.select("protein").schema)
+    for i in range(shards):
+        own = listed.filter(F.pmod(F.xxhash64("sequence"), F.lit(shards)) == i)
+        words = spark.sparkContext.broadcast([r.sequence for r in own.collect()])  # one shard
+        found = found.union(proteins.select("protein", "sequence").mapInArrow(
+            _holders(words), found.schema))
+    return proteins.join(found.distinct(), "protein", "left_semi")
+
+
+def _holders(words: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for word in words.value:
+            automaton.add_word(word)
+        if not len(automaton):
+            return
+        automaton.make_automaton()
+        for batch in batches:
+            hit = [s is not None and next(automaton.iter(s), None) is not None for s in batch.column(1).to_pylist()]
+            yield batch.select([0]).filter(pa.array(hit, pa.bool_()))
+
+    return find
 
 
 def select_middle_scans(df: DataFrame, order: list[str], n: int) -> DataFrame:

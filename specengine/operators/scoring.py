@@ -28,6 +28,7 @@ from specengine.operators.ions import scored_ions, with_ions
 from specengine.operators.joins import Window, add_precursor_mass
 from specengine.operators.mods import residue_masses
 from specengine.operators.skew import salted_join
+from specengine.session import spread_work
 
 # Scores are rounded, so that equal ones tie whatever the order of their sums.
 SCORE_DIGITS = 6
@@ -260,8 +261,9 @@ def ion_use(matches: DataFrame, vectors: DataFrame, library: DataFrame) -> DataF
     theory = with_ions(kept, 2).select(F.col("mod_sequence").alias("peptide"), "ions")
     ions = F.when(F.col("charge") == 1, scored_ions(F.col("ions"), 1)).otherwise(F.col("ions"))
     # A peptide that many spectra match is cut into parts.
-    df = salted_join(matches.join(vectors.select("id", "vector"), "id"), theory, ["peptide"], sized_by=(
-        matches.select("peptide"), kept.select(F.col("mod_sequence").alias("peptide")))).withColumn(
+    joined = salted_join(matches.join(vectors.select("id", "vector"), "id"), theory, ["peptide"], sized_by=(
+        matches.select("peptide"), kept.select(F.col("mod_sequence").alias("peptide"))))
+    df = spread_work(joined, "id", "peptide").withColumn(
         "_c", F.transform(ion_credits(ions), lambda c: F.struct(
             c.b.alias("b"), c.y.alias("y"), c.nb.alias("nb"), c.ny.alias("ny"),
             _at(F.col("vector"), c.k).alias("v")))).drop("ions", "vector")

@@ -59,7 +59,7 @@ def case_variant_count(lines: DataFrame, k: int = 3, column: str = "text") -> Da
     Substrings are counted before the 2^k variants are made, so the explosion
     works on distinct substrings.
     """
-    text = F.regexp_replace(F.lower(F.col(column)), "[^a-z]", "")
+    text = F.regexp_replace(F.lower(F.col(column)), r"[^\p{L}]", "")
     grams = lines.select(text.alias("t")).filter(F.length("t") >= k).select(F.explode(F.transform(
         F.sequence(F.lit(1), F.length("t") - k + 1),
         lambda i: F.substring(F.col("t"), i, F.lit(k)))).alias("gram"))

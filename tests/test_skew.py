@@ -249,6 +249,22 @@ def test_select_proteins_containing(spark):
     proteins = spark.createDataFrame([("A", "MKWVTFISLL"), ("B", "GGGGGG"), ("C", "TFIS")], "protein string, sequence string")
     listed = spark.createDataFrame([("TFIS",), ("VTFISL",)], "sequence string")
     assert {r.protein for r in X.select_proteins_containing(proteins, listed).collect()} == {"A", "C"}
+    assert X.select_proteins_containing(proteins, listed.limit(0)).count() == 0
+
+
+def test_many_peptides_are_found_as_by_search(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ACDE") for _ in range(n))
+    rows = [(f"P{i}", "AAAA" + word(60) if i % 4 else word(3)) for i in range(200)] + [("none", None), ("empty", "")]
+    words = [word(rng.choice((1, 5, 6, 9))) for _ in range(40)] + [""]
+    for listed in (words, [w for w in words if len(w) > 4]):
+        want = {p for p, s in rows if s and any(w and w in s for w in listed)}
+        proteins = spark.createDataFrame(rows, "protein string, sequence string").repartition(3)
+        peptides = spark.createDataFrame([(w,) for w in listed], "sequence string")
+        for shard in (7, 1000):  # several automata, and one
+            got = X.select_proteins_containing(proteins, peptides, shard)
+            assert {r.protein for r in got.collect()} == want and want
+            assert got.columns == ["protein", "sequence"]
 
 
 def test_samples_do_not_depend_on_partitions(spark):
