@@ -258,8 +258,8 @@ MODS = MO.parse_mods("15.9949@M,79.9663@Y")
 
 def _mods_sql() -> str:
     nh3, h2o = M.formula_nano("NH3"), M.formula_nano("H2O")
-    return ctes("proteins", "pieces", "peptides", f"""u AS (SELECT DISTINCT sequence FROM peptides),
-sites AS (
+    return ctes("proteins", "pieces", "peptides", f"""u AS MATERIALIZED (SELECT DISTINCT sequence FROM peptides),
+sites AS MATERIALIZED (
   SELECT sequence, CAST(p AS INTEGER) AS pos, CASE substr(sequence, p, 1) WHEN 'M' THEN 15994900000 ELSE 79966300000 END AS nano,
          CASE substr(sequence, p, 1) WHEN 'M' THEN '15.995' ELSE '79.966' END AS label
   FROM u, unnest(range(1, length(sequence) + 1)) AS r(p)
