@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specengine.llm.common import U, add_columns, chunks, fresh, small_or_shuffled, stored, utf8
+from specengine.llm.common import U, add_columns, chunks, fresh, small_or_shuffled, stored, utf8, words
 
 ORDER = 5
 SHARD_ROWS = 4_000_000
@@ -233,14 +233,17 @@ def with_bits(docs: DataFrame, model: Model, text: str, bits: str, size: str, ke
             data, at = utf8(column)
             grams, first = _grams(data, at)
             value = np.add.reduceat(model.log_p(grams), first, dtype=np.float64) / -np.log(2)
-            blank = np.array([not data[a:b].tobytes().strip(b" \t\n\v\f\r") if b - a < 200 else False
-                              for a, b in zip(at[:-1], at[1:])], bool)
+            blank = np.bincount(words(data, at)[2], minlength=len(at) - 1) == 0  # no word, however long
             yield add_columns(batch, () if keep_text else (text,), **{
                 bits: pa.array(value, mask=blank), size: pa.array(np.diff(at) + 1)})
 
     return docs.mapInArrow(score, schema)
 
 
+#: Columns of the verdict.
+RESULTS = ("perplexity", "bits_per_byte", "bits_limit", "kept")
+
+
 @dataclass
 class Classifier:
     model: Model
@@ -282,8 +285,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
 
 
 def classify(docs: DataFrame, classifier: Classifier, keep_text: bool = True) -> DataFrame:
-    """docs with perplexity (per byte), bits, its language's limit, and kept."""
+    """docs with perplexity (per byte), bits, its language's limit, and kept.
+
+    A result column whose name docs has already gets an underscore in front (see `fresh`)."""
     c = fresh(docs, "bits_", "size_", "lang_", "middle_", "limit_")
+    out = fresh(docs, *RESULTS)
     scored = with_bits(docs, classifier.model, "text", c["bits_"], c["size_"], keep_text)
     limits = classifier.limits.withColumnsRenamed({"lang": c["lang_"], "middle": c["middle_"], "limit": c["limit_"]})
     own = limits.filter(F.col(c["lang_"]).isNotNull())
@@ -294,11 +300,12 @@ def classify(docs: DataFrame, classifier: Classifier, keep_text: bool = True) ->
     drawn = (bits + PRIOR_BYTES * middle) / (size + PRIOR_BYTES)
     joined = scored.join(small_or_shuffled(own), scored["lang"] == own[c["lang_"]], "left")
     return joined.withColumns({
-        "perplexity": F.pow(F.lit(2.0), bits / size), "bits_per_byte": drawn, "bits_limit": limit,
-        "kept": bits.isNotNull() & F.coalesce(drawn <= limit, F.lit(True)),
+        out["perplexity"]: F.pow(F.lit(2.0), bits / size), out["bits_per_byte"]: drawn, out["bits_limit"]: limit,
+        out["kept"]: bits.isNotNull() & F.coalesce(drawn <= limit, F.lit(True)),
     }).drop(*c.values())
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with their own columns."""
-    return classify(docs, fit(docs, labels)).filter("kept").select(*docs.columns)
+    kept = fresh(docs, *RESULTS)["kept"]
+    return classify(docs, fit(docs, labels)).filter(F.col(kept)).select(*docs.columns)

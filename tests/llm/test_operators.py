@@ -232,6 +232,22 @@ def test_pairs_below_the_similarity_leave_no_rows(spark, monkeypatch):
         assert counted[-1].count() < n
 
 
+def test_quality_keeps_columns_and_finds_blanks_of_any_length(spark, folder):
+    docs = table(spark, folder, "documents").select(*[c.split()[0] for c in SCHEMA.split(", ")])
+    blank = spark.createDataFrame([(8001, " " * 100, "en", "s", 1), (8002, " \t" * 5000, "en", "s", 1),
+                                   (8003, "\n" * 300, "de", "s", 1)], SCHEMA)
+    named = docs.union(blank).withColumns(
+        {"kept": F.lit("mine"), "perplexity": F.lit("p"), "bits_limit": F.lit(1), "BITS_PER_BYTE": F.lit(2)})
+    labels = table(spark, folder, "labels")
+    out = quality_lm.keep_quality(named, labels)
+    assert out.columns == named.columns
+    rows = out.collect()
+    assert {(r.kept, r.perplexity, r.bits_limit, r["BITS_PER_BYTE"]) for r in rows} == {("mine", "p", 1, 2)}
+    assert {r.doc_id for r in rows} == {r.doc_id for r in quality_lm.keep_quality(docs, labels).collect()}
+    scored = quality_lm.classify(blank, quality_lm.fit(docs, labels)).collect()
+    assert [r.perplexity for r in scored] == [None] * 3 and not any(r.kept for r in scored)
+
+
 def test_signatures_estimate_similarity():
     base = [f"w{i}" for i in range(400)]
     rows = [" ".join(base), " ".join(base[:-40] + [f"x{i}" for i in range(40)]), " ".join(base * 2), "a b"]
