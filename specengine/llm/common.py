@@ -16,8 +16,8 @@ from specengine.session import scratch_path
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a side of a join may be broadcast (a few dozen MB of ids).
 BROADCAST_ROWS = 1_000_000
-#: Bytes of text that a Python step holds as numbers at a time.
-CHUNK_BYTES = 1_000_000
+#: Bytes of text that a Python step holds as numbers at a time; steps with many numbers a byte take fewer.
+CHUNK_BYTES, FEW_BYTES = 4_000_000, 1_000_000
 
 U = np.uint64
 

@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specengine.llm.common import U, add_columns, chunks, fresh, small_or_shuffled, stored, utf8, words
+from specengine.llm.common import FEW_BYTES, U, add_columns, chunks, fresh, small_or_shuffled, stored, utf8, words
 
 ORDER = 5
 SHARD_ROWS = 4_000_000
@@ -71,7 +71,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(counts)], ["gram", "n"])
 
-    for batch in chunks(batches):
+    for batch in chunks(batches, most=FEW_BYTES):
         g = np.sort(_grams(*utf8(batch.column(0)))[0])
         new = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
         both = np.concatenate((grams, g[new]))
@@ -228,7 +228,7 @@ def with_bits(docs: DataFrame, model: Model, text: str, bits: str, size: str, ke
     schema = StructType(kept).add(bits, DoubleType()).add(size, LongType())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text):
+        for batch in chunks(batches, text, FEW_BYTES):
             column = batch.column(batch.schema.get_field_index(text))
             data, at = utf8(column)
             grams, first = _grams(data, at)

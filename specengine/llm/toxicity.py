@@ -33,7 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from specengine.llm.common import U, add_columns, chunks, mix, small_or_shuffled, span_hashes, spans, stored, utf8
+from specengine.llm.common import (
+    FEW_BYTES, U, add_columns, chunks, mix, small_or_shuffled, span_hashes, spans, stored, utf8,
+)
 from specengine.llm.quality_lm import discounts
 
 WINDOW = 4
@@ -61,7 +63,7 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = np.zeros((0, 4), np.int64)  # hash, stem's hash (0: it is a stem), toxic, other
 
-    for batch in chunks(batches):
+    for batch in chunks(batches, most=FEW_BYTES):
         word, stem, row, _ = _words(batch.column(0))
         if len(word) == 0:
             continue
@@ -238,7 +240,7 @@ def with_score(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFra
         schema = schema.add(name, DoubleType())
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=FEW_BYTES):
             f = model.features(batch.column(batch.schema.get_field_index("text")))
             yield add_columns(batch, () if keep_text else ("text",), mean_ratio=f[:, 0], window_ratio=f[:, 1],
                               score=model.score(f))
