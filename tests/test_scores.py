@@ -334,3 +334,57 @@ def test_few_scores_use_the_default_line(spark):
     row = P.expectation(df).first()
     assert (row.slope, row.intercept) == (-0.18, 3.5)
     assert row.expect == pytest.approx(10 ** (3.5 - 0.18 * 5))
+
+
+# ---- many spectra at once --------------------------------------------------------------------
+
+@pytest.mark.parametrize("name", ["kscore", "tandem", "comet", "morpheus", "probid"])
+def test_batches_equal_the_plain_kernels(name):
+    """Hits only, whatever the runs: empty ones, spectra without a peak, peaks off the axis."""
+    rng = np.random.default_rng(8)
+    peptides = ["".join(rng.choice(list("ACDEFGHIKLMNPQRSTVWY"), rng.integers(1, 30))) for _ in range(300)] + ["K"]
+    block = block_of(peptides)
+    first = rng.integers(0, 250, 40)
+    last = np.minimum(first + rng.integers(0, 60, 40), len(peptides))
+    sizes = np.append(0, rng.integers(1, 60, 39))
+    width = {"kscore": 1.0, "tandem": 0.4, "comet": 0.03}.get(name)
+    axes = [np.sort(rng.random(n) * 2000 + 40) for n in sizes]
+    if width:
+        axes = [np.unique(np.append(np.trunc(a / width), -3)) if len(a) else a for a in axes]
+    values = [rng.random(len(a)) + 0.1 for a in axes]
+    extra = rng.random((40, 2)) * 9 + 1
+    at = np.append(0, np.cumsum([len(a) for a in axes]))
+    spectra = K.Spectra(at, np.concatenate(axes), np.concatenate(values), extra)
+    for charge in (1, 2):
+        pairs = K.Pairs(first, last)
+        for positive in (False, True):
+            place, raw, score, hyper = K.BATCHES[name](spectra, pairs, block, charge, positive)
+            spectrum, peptide = pairs.of(place)
+            for i in np.flatnonzero(sizes > 0):
+                axis = axes[i].astype(int) if width else axes[i]
+                want = K.KERNELS[name](K.Measured(charge, axis, values[i], tuple(extra[i])), block, first[i], last[i], K.Axis())
+                own = spectrum == i
+                seen = peptide[own] - first[i]
+                for got, plain in zip((raw[own], score[own], hyper[own]), want):
+                    assert got == pytest.approx(plain[seen])
+                assert positive or len(seen) == last[i] - first[i]
+                assert set(np.flatnonzero(want[1] > 0)) <= set(seen)
+        hits = np.count_nonzero(raw)
+        assert 0 < hits < pairs.n
+
+
+def test_a_batch_holds_bounded_pairs():
+    size, peaks = np.array([10, 3 << 20, 5, 7, 1 << 19, 1 << 19, 9]), np.array([1, 1, 1, 1, 1, 20, 1])
+    got = S._batches(size, peaks, np.array([0, 1, 3, 4, 5, 6]))
+    assert np.concatenate(got).tolist() == [0, 1, 3, 4, 5, 6] and len(got) > 3
+    assert all(len(b) == 1 or (size * (1 + peaks // 8))[b[1:]].sum() <= S.BATCH_PAIRS for b in got)
+
+
+def test_states_of_blocks_equal_windows_over_all_pairs(spark, folder):
+    scans, library = tables.spectra(spark, folder), unique_peptides(spark, folder)
+    states = Q.search_states(scans, library, "kscore", "bins", 3)
+    pairs = Q.search(scans, library)
+    want = sorted((r.id, r.rank, r.peptide, r.hyperscore) for r in P.top_matches(pairs, 3).collect())
+    assert sorted((r.id, r.rank, r.peptide, r.hyperscore) for r in P.matches_of(states).collect()) == want
+    counts = {(r.id, r.bin): r.n for r in P.histogram_of(states).collect()}
+    assert counts == {(r.id, r.bin): r.n for r in P.hyperscore_histogram(pairs).collect()} and len(want) > 100
