@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -376,10 +377,43 @@ def test_batches_equal_the_plain_kernels(name):
 def test_a_batch_holds_bounded_pairs():
     size, peaks = np.array([10, 3 << 20, 5, 7, 1 << 19, 1 << 19, 9]), np.array([1, 1, 1, 1, 1, 20, 1])
     got = S._batches(size, peaks, np.array([0, 1, 3, 4, 5, 6]))
-    assert np.concatenate(got).tolist() == [0, 1, 3, 4, 5, 6] and len(got) > 3
+    assert np.concatenate(got).tolist() == [0, 1, 3, 4, 5, 6] and len(got) == 3
     assert all(len(b) == 1 or (size * (1 + peaks // 8))[b[1:]].sum() <= S.BATCH_PAIRS for b in got)
 
 
+def test_slices_of_peptides_meet_every_pair_once(monkeypatch):
+    """A block gives the same pairs and states whatever its slices hold."""
+    rng = np.random.default_rng(9)
+    peptides = sorted({"".join(rng.choice(list("ACDEFGHIK"), 9)) for _ in range(90)})
+    masses = np.sort(np.round(rng.random(len(peptides)) * 2 + 1000, 3))
+    right = pa.table({"mod_sequence": peptides, "sequence": peptides, "matching_mass": masses,
+                      "residues": [[TABLE[c] for c in p] for p in peptides]})
+    left = pa.table({"id": np.arange(30), "charge": pa.array([1, 2, 3] * 10, pa.int32()),
+                     "precursor_mass": np.linspace(999.5, 1002.5, 30),
+                     "axis": [np.arange(i % 3, 1100.0, 3) for i in range(30)],
+                     "value": [rng.random(len(range(i % 3, 1100, 3))) for i in range(30)],
+                     "extra": pa.array([[]] * 30, pa.list_(pa.float64()))})
+    made = []
+    for size in (8_192, 7):
+        monkeypatch.setattr(S, "SLICE_PEPTIDES", size)
+        rows = S._scored("kscore", J.BINS, True, None)(left, right).to_pylist()
+        parts = S._scored("kscore", J.BINS, True, 2)(left, right).to_pylist()
+        best = {}
+        for p in parts:
+            best.setdefault(p["id"], []).extend((-t["hyperscore"], t["peptide"]) for t in p["top"])
+        made.append((sorted(map(str, rows)), {i: sorted(b)[:2] for i, b in best.items()},
+                     sum(c["n"] for p in parts for c in p["counts"])))
+    assert made[0] == made[1] and made[0][2] == len(made[0][0]) > 500
+
+
+def test_ion_use_reads_stored_matches(spark, folder):
+    """The search is not repeated in the plan: its peptides, spectra and matches are files by then."""
+    scans, library = tables.spectra(spark, folder).limit(50), unique_peptides(spark, folder)
+    best = P.matches_of(Q.search_states(scans, library, carried=1))
+    used = S.ion_use(best, C.k_vectors(C.condition_spectra(scans, C.Settings(isotope_mz=150.0))), library)
+    assert "FlatMapCoGroupsInArrow" not in used._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_states_of_blocks_equal_windows_over_all_pairs(spark, folder):
     scans, library = tables.spectra(spark, folder), unique_peptides(spark, folder)
     states = Q.search_states(scans, library, "kscore", "bins", 3)
