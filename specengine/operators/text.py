@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specengine.functions.arrays import once
+from specengine.functions.arrays import let, once
 from specengine.functions.text import levenshtein_similarity, regularize_word
 from specengine.session import shuffle_partitions
 
@@ -57,12 +57,14 @@ def case_variant_count(lines: DataFrame, k: int = 3, column: str = "text") -> Da
     """All upper/lower case variants of every k-letter substring, counted.
 
     Substrings are counted before the 2^k variants are made, so the explosion
-    works on distinct substrings.
+    works on distinct substrings.  A text is cut into letters once: `substring`
+    reads it from its start, which is quadratic in a long text.
     """
     text = F.regexp_replace(F.lower(F.col(column)), r"[^\p{L}]", "")
-    grams = lines.select(text.alias("t")).filter(F.length("t") >= k).select(F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("t") - k + 1),
-        lambda i: F.substring(F.col("t"), i, F.lit(k)))).alias("gram"))
+    grams = lines.select(text.alias("t")).filter(F.length("t") >= k).select(F.explode(
+        let(F.split("t", ""), lambda letters: F.transform(
+            F.sequence(F.lit(0), F.length("t") - k),
+            lambda i: F.concat(*[F.get(letters, i + j) for j in range(k)])))).alias("gram"))
     counted = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     letter = lambda mask, i: F.when(
         mask.bitwiseAND(1 << i) > 0, F.upper(F.substring("gram", i + 1, 1))

@@ -39,3 +39,18 @@ def test_windows_line_ends(spark, tmp_path):
     (tmp_path / "b.msp").write_bytes(("# made here\r\n" + entry.format("AAK") + entry.format("CCK")).encode())
     found = spectra.read_msp(spark, str(tmp_path / "b.msp")).collect()
     assert sorted((r.peptide, r.protein, len(r.peaks)) for r in found) == [("AAK", "Q", 2), ("CCK", "Q", 2)]
+
+
+def test_case_variants_of_a_long_text_take_time_in_proportion(spark):
+    import time
+    from collections import Counter
+
+    from specengine.operators import text as X
+    letters = "".join(chr(97 + (i * i // 7) % 26) if i % 5 else "é" for i in range(400_000))
+    frame = spark.createDataFrame([(letters.upper(),), ("a𝒳b",), ("ab",), (None,)], "text string")
+    began = time.time()
+    got = {r.variant: r.n for r in X.case_variant_count(frame).filter("variant = lower(variant)").collect()}
+    assert time.time() - began < 40
+    want = Counter(letters[i:i + 3] for i in range(len(letters) - 2))
+    want["a𝒳b"] += 1  # a letter of two UTF-16 units, without a lower case
+    assert {k: v for k, v in got.items() if k != "a𝒳b"} == {k: v for k, v in want.items() if k != "a𝒳b"} and "a𝒳b" in got
