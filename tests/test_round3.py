@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from specengine.operators import digest as D
 from specengine.operators import joins as J
 from specengine.operators import library as L
 from specengine.operators import windowsums
@@ -42,3 +43,31 @@ def test_window_sums_keep_the_exact_edges_and_cut_blocks(spark):
             scans, library, window, window, F.lit(1), keeps, "nano", rows=rows).collect()}
         each = (len(inside), sum(1 << i for i in inside))
         assert got == {1: (2 * each[0], 2 * each[1]), 2: each, 3: each}
+
+
+def test_distinct_peptides_equal_plain_digest(spark, monkeypatch):
+    given = [("a", "MKAAAAKAAAAKCCCCRPDDDDK"), ("b", "AAAAKAAAAK"), ("a", "AAAAKWWWW"), ("c", ""), ("d", None), ("e", "KKKKKK"),
+             (None, "AAAAKGGGGGGG"), (None, "AAAAK"), ("f", "AAAAKGGGGGGGBGGGG" * 3)]
+    proteins = spark.createDataFrame(given, "protein string, sequence string")
+
+    for most in (1_000_000, 12):  # the second one takes long rows through the shuffle
+        monkeypatch.setattr(D._distinct_peptides, "__defaults__", (most,))
+        for missed in (0, 2):
+            whole = D.digest(proteins, "trypsin", missed, usable=False).select("protein", "sequence").collect()
+            usable = lambda x: 4 <= len(x) <= 40 and not set(x) & set("BZ")
+            want = {(r[0], r[1]) for r in whole if usable(r[1])}
+            got = [tuple(r) for r in D.missed_cleavages(proteins, missed).collect()]
+            assert sorted(got, key=str) == sorted(want, key=str)
+            ends = {(r[0], x) for r in whole for n in range(1, len(r[1]) + 1) for x in (r[1][:n], r[1][-n:]) if usable(x)}
+            got = [tuple(r) for r in D.semi_cleavages(proteins, missed=missed).collect()]
+            assert sorted(got, key=str) == sorted(ends, key=str)
+
+
+def test_distinct_peptides_of_single_labels_are_not_shuffled(spark, tmp_path):
+    spark.range(500).select(F.col("id").cast("string").alias("protein"), F.lit("AAAAKCCCCK" * 9).alias("sequence")).write.parquet(
+        str(tmp_path / "p"))
+    proteins = spark.read.parquet(str(tmp_path / "p"))
+    for df in (D.missed_cleavages(proteins), D.semi_cleavages(proteins)):
+        assert df.select("protein").distinct().count() == 500
+        plan = df._jdf.queryExecution().executedPlan().toString().lower()
+        assert plan.count("exchange") == plan.count("repartition_by_num") == 1  # the proteins' own
