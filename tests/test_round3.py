@@ -71,3 +71,14 @@ def test_distinct_peptides_of_single_labels_are_not_shuffled(spark, tmp_path):
         assert df.select("protein").distinct().count() == 500
         plan = df._jdf.queryExecution().executedPlan().toString().lower()
         assert plan.count("exchange") == plan.count("repartition_by_num") == 1  # the proteins' own
+
+
+def test_seen_sequences_are_not_shuffled_as_keys(spark, tmp_path):
+    given = [(7, "AB"), (3, "AB"), (5, "C"), (9, "AB"), (1, None), (None, "C"), (2, ""), (4, "")]
+    spark.createDataFrame(given, "pos long, sequence string").write.parquet(str(tmp_path / "p"))
+    df = L.sequence_seen(spark.read.parquet(str(tmp_path / "p")))
+    assert set(df.columns) == {"sequence", "pos", "seen"}
+    got = {(r.pos, r.sequence): r.seen for r in df.collect()}
+    assert got == {(7, "AB"): True, (3, "AB"): False, (5, "C"): False, (9, "AB"): True, (None, "C"): None,
+                   (2, ""): False, (4, ""): True}
+    assert "hashpartitioning(sequence" not in df._jdf.queryExecution().executedPlan().toString()
