@@ -1,10 +1,14 @@
 """Steps whose cost grew faster than their input, held against the plain forms."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from specengine.functions.masses import residue_table
 from specengine.operators import digest as D
 from specengine.operators import joins as J
+from specengine.operators import kernels as K
 from specengine.operators import library as L
+from specengine.operators import scoring as S
 from specengine.operators import windowsums
 
 
@@ -82,3 +86,44 @@ def test_seen_sequences_are_not_shuffled_as_keys(spark, tmp_path):
     assert got == {(7, "AB"): True, (3, "AB"): False, (5, "C"): False, (9, "AB"): True, (None, "C"): None,
                    (2, ""): False, (4, ""): True}
     assert "hashpartitioning(sequence" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def _block(rng, n):
+    letters = [rng.choice(list(b"ACDEFGHIKLMNPQRSTVWY"), size=rng.integers(4, 30)) for _ in range(n)]
+    at = np.append(0, np.cumsum([len(x) for x in letters]))
+    letters = np.concatenate(letters).astype(np.uint8)
+    masses = np.zeros(256, np.int64)
+    for letter, nano in residue_table().items():
+        masses[ord(letter)] = nano
+    return K.Peptides(masses[letters], at, letters)
+
+
+def test_credits_are_sorted_and_nothing_is_hashed(monkeypatch):
+    def refused(*args, **kwargs):
+        raise AssertionError("np.unique hashes whole numbers")
+
+    peptides = _block(np.random.default_rng(7), 60)
+    ions = peptides.ions(2)
+    hits = [set() for _ in range(60)]
+    for peptide, k in zip(ions.peptide.tolist(), K.k_index(ions.mz).tolist()):
+        hits[peptide].add(k)
+    monkeypatch.setattr(np, "unique", refused)
+    at, index, share = K._credits(peptides, 2)
+    for i, hit in enumerate(hits):
+        want = {k: 1.0 for k in hit} | {k + d: 0.5 for k in hit for d in (1, -1) if k + d not in hit}
+        own = slice(at[i], at[i + 1])
+        assert index[own].tolist() == sorted(want) and dict(zip(index[own].tolist(), share[own].tolist())) == want
+    for key in (np.array([5, 2, 5, 0]), np.array([-1, 7, -1]), np.array([1 << 61, 3, 1 << 61]), np.zeros(0, np.int64)):
+        order = np.argsort(key, kind="stable")
+        assert [x.tolist() for x in K.sorted_order(key)] == [key[order].tolist(), order.tolist()]
+    assert K.distinct(np.zeros(0, np.int64)).tolist() == [] and K.distinct(np.array([3, 1, 3])).tolist() == [1, 3]
+
+
+def test_blocks_are_not_merged_by_bytes(spark):
+    scans, library = _sides(spark)
+    vectors = scans.withColumn("precursor", F.col("precursor").withField("charge", F.lit(1))).withColumn(
+        "peaks", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct(
+            (200.0 + 37 * i).alias("mz"), (50.0 + i).alias("intensity"))))
+    plan = S.score_spectra(vectors, library, J.BINS, "morpheus")._jdf.queryExecution().executedPlan().toString()
+    cut = [x for x in plan.splitlines() if "Exchange hashpartitioning(block" in x]
+    assert len(cut) == 2 and all("REPARTITION_BY_NUM" in x for x in cut)
