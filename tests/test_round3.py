@@ -8,8 +8,10 @@ from specengine.operators import digest as D
 from specengine.operators import joins as J
 from specengine.operators import kernels as K
 from specengine.operators import library as L
+from specengine.operators import psm as P
 from specengine.operators import scoring as S
 from specengine.operators import windowsums
+from specengine.plans import score_queries
 
 
 def _sides(spark):
@@ -127,3 +129,26 @@ def test_blocks_are_not_merged_by_bytes(spark):
     plan = S.score_spectra(vectors, library, J.BINS, "morpheus")._jdf.queryExecution().executedPlan().toString()
     cut = [x for x in plan.splitlines() if "Exchange hashpartitioning(block" in x]
     assert len(cut) == 2 and all("REPARTITION_BY_NUM" in x for x in cut)
+
+
+def test_states_serve_best_matches_and_histograms(spark):
+    rows = [("k", i % 5, f"PEP{i % 90}", float(i * 37 % 400)) for i in range(600)]
+    df = spark.createDataFrame(rows, "algorithm string, id long, peptide string, hyperscore double").distinct()
+    states = P.spectrum_states(df, 2)
+    same = lambda a, b, *c: sorted(a.select(*c).collect()) == sorted(b.select(*c).collect())
+    assert same(P.best_match(states), P.best_match(df), "id", "peptide", "hyperscore")
+    assert same(P.best_and_next(states), P.best_and_next(df), "id", "best_peptide", "next_peptide")
+    assert same(P.hyperscore_histogram(states), P.hyperscore_histogram(df), "id", "bin", "n")
+
+
+def test_pairs_are_scored_once_and_not_handed_on(spark, folder, monkeypatch):
+    def refused(*args, **kwargs):
+        raise AssertionError("all pairs are handed on")
+
+    monkeypatch.setattr(S, "score_spectra", refused)
+    made = []
+    meet = S._meet
+    monkeypatch.setattr(S, "_meet", lambda *args, **kwargs: made.append(1) or meet(*args, **kwargs))
+    plan = score_queries.combine_scored_scans(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" not in plan
+    assert len(made) == 1
