@@ -131,6 +131,30 @@ def test_blocks_are_not_merged_by_bytes(spark):
     assert len(cut) == 2 and all("REPARTITION_BY_NUM" in x for x in cut)
 
 
+def _with_peaks(scans):
+    return scans.withColumn("precursor", F.col("precursor").withField("charge", 1 + F.col("precursor.charge") % 2)).withColumn(
+        "peaks", F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: F.struct(
+            (150.0 + 17 * i + F.col("id") % 13).alias("mz"), (50.0 + i).alias("intensity"))))
+
+
+def test_limits_and_totals_of_blocks_equal_those_of_the_pairs(spark):
+    scans, library = _sides(spark)
+    scans = _with_peaks(scans)
+    pairs = S.score_spectra(scans, library, J.BINS, "tandem").collect()
+    limit = sorted(p.hyperscore for p in pairs)[len(pairs) // 2]
+    kept = S.score_spectra(scans, library, J.BINS, "tandem", above=limit).collect()
+    assert sorted(kept) == sorted(p for p in pairs if p.hyperscore > limit) and len(kept) > 20
+    of = {}
+    for p in pairs:
+        of.setdefault((p.algorithm, p.id, p.charge), []).append(p)
+    got = {(t.algorithm, t.id, t.charge): t for t in S.score_totals(scans, library, J.BINS, "tandem").collect()}
+    assert got.keys() == of.keys()
+    for key, mine in of.items():
+        t = got[key]
+        assert (t.n, t.raw_best, t.best) == (len(mine), max(p.raw_score for p in mine), max(p.score for p in mine))
+        assert abs(t.raw_total - sum(p.raw_score for p in mine)) < 1e-6
+
+
 def test_states_serve_best_matches_and_histograms(spark):
     rows = [("k", i % 5, f"PEP{i % 90}", float(i * 37 % 400)) for i in range(600)]
     df = spark.createDataFrame(rows, "algorithm string, id long, peptide string, hyperscore double").distinct()
@@ -151,4 +175,5 @@ def test_pairs_are_scored_once_and_not_handed_on(spark, folder, monkeypatch):
     monkeypatch.setattr(S, "_meet", lambda *args, **kwargs: made.append(1) or meet(*args, **kwargs))
     plan = score_queries.combine_scored_scans(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" not in plan
-    assert len(made) == 1
+    score_queries.score_charges(spark, folder)
+    assert len(made) == 2
