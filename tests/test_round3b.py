@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from specengine.functions.masses import k_mass_index
+from specengine.operators import cluster as CL
 from specengine.operators import condition as C
 
 PEAK = "array<struct<mz:double,intensity:double>>"
@@ -64,3 +65,38 @@ def test_k_normalisation_works_in_the_row_and_equals_plain_python(spark):
         assert set(got[id_]) == set(one)
         for k, (m, v) in got[id_].items():
             assert m == one[k][0] and (length == 0 or abs(v - scaled[k] / length) < 1e-12)
+
+
+def test_groups_without_shared_bins_list_no_pairs_and_link_as_brute_force():
+    rng = np.random.default_rng(4)
+    for trial in range(30):
+        n = 200
+        rows = []
+        for g in range(2):
+            for _ in range(n // 2):
+                others = np.sort(rng.choice(np.arange(10, 60 if trial % 2 else 5000), 2, replace=False))
+                w = rng.random(3) * [3, 1, 1] + 0.01
+                start = 500 + 5 * rng.random()
+                rows.append((g, start, start + rng.random(), np.concatenate(([g], others)), w / np.linalg.norm(w), rng.random(3) < 0.8))
+        rows.sort(key=lambda r: (r[0], r[1]))
+        group, lo, hi = (np.array([r[k] for r in rows]) for k in range(3))
+        bins, weights, major = (np.concatenate([r[k] for r in rows]) for k in (3, 4, 5))
+        at, leader = np.arange(0, 3 * n + 1, 3), np.arange(n)
+        listed = []
+        later = CL._later
+        try:
+            CL._later = lambda run: listed.append(later(run)) or listed[-1]
+            left = CL._link_few(leader, np.arange(n), group, lo, hi, np.ones(n), bins, weights, major, at, 1.0, 0.6, group.astype(int), 200)
+        finally:
+            CL._later = later
+        assert not len(left) and listed[0].sum() < (2000 if trial % 2 else 40)
+        want = np.arange(n)
+        for a in range(n):
+            for b in range(a + 1, n):
+                if group[a] != group[b] or lo[b] - hi[a] > 1.0:
+                    continue
+                shared = [(x, y) for x in range(3) for y in range(3) if rows[a][3][x] == rows[b][3][y]]
+                product = sum(rows[a][4][x] * rows[b][4][y] for x, y in shared)
+                if round(product, 9) >= 0.6 and any(rows[a][5][x] and rows[b][5][y] for x, y in shared):
+                    want[want == max(want[a], want[b])] = min(want[a], want[b])
+        assert (leader == want).all()
