@@ -1,11 +1,16 @@
 """Steps whose memory or time grew faster than their input, held against plain forms."""
 
+import base64
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from specengine.functions.masses import k_mass_index
 from specengine.operators import cluster as CL
 from specengine.operators import condition as C
+from specengine.plans import source_queries
+from specengine.sources import spectra as SS
 
 PEAK = "array<struct<mz:double,intensity:double>>"
 PRECURSOR = "struct<mz:double,charge:int,intensity:double>"
@@ -100,3 +105,48 @@ def test_groups_without_shared_bins_list_no_pairs_and_link_as_brute_force():
                 if round(product, 9) >= 0.6 and any(rows[a][5][x] and rows[b][5][y] for x, y in shared):
                     want[want == max(want[a], want[b])] = min(want[a], want[b])
         assert (leader == want).all()
+
+
+def _floats(values, kind):
+    return base64.b64encode(np.asarray(values).astype(kind).tobytes()).decode()
+
+
+def test_one_mzml_file_is_read_by_many_tasks(spark, tmp_path):
+    cv = '<cvParam cvRef="MS" accession="{}" value="{}"/>'.format
+    array = lambda values, name: f'<binaryDataArray>{cv("MS:1000523", "")}{cv(name, "")}<binary>{_floats(values, "<f8")}</binary></binaryDataArray>'
+    spectra = [
+        f'<spectrum index="{i}" id="scan={i}">{cv("MS:1000511", 1 + (i % 4 > 0))}<precursorList><precursor><selectedIonList><selectedIon>'
+        f'{cv("MS:1000744", 400 + i)}{cv("MS:1000041", 2)}</selectedIon></selectedIonList></precursor></precursorList>\n<binaryDataArrayList>'
+        f'{array([100.0, 200.0 + i], "MS:1000514")}{array([1.0, 2.0], "MS:1000515")}</binaryDataArrayList></spectrum>' for i in range(40)]
+    path = tmp_path / "one.mzml"
+    path.write_text('<?xml version="1.0"?><mzML><run><spectrumList count="40">\n' + "\n".join(spectra) + "</spectrumList></run></mzML>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = SS.read_mzml(spark, str(path))
+        assert df.rdd.getNumPartitions() > 3
+        got = {r.id: (r.precursor.mz, r.precursor.charge, [tuple(p) for p in r.peaks]) for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {str(i): (400.0 + i, 2, [(100.0, 1.0), (200.0 + i, 2.0)]) for i in range(40) if i % 4}
+
+
+def test_first_scans_are_taken_before_any_is_decoded(spark, tmp_path):
+    scan = '<scan num="{}" msLevel="2"><precursorMz precursorCharge="1">500.5</precursorMz><peaks precision="32">{}</peaks></scan>'.format
+    good = _floats([100.0, 3.0], ">f4")
+    path = tmp_path / "scans.mzxml"
+    path.write_text("<msRun>" + scan(12, "AAA") + scan(9, good) + scan(1, good) + scan(10, good) + "</msRun>")
+    df = SS.combine_scans(spark, [str(path)], 3)
+    assert [(r.id, r.scan_number, len(r.peaks)) for r in df.collect()] == [("1", 1, 1), ("9", 9, 1), ("10", 10, 1)]
+    assert "TakeOrderedAndProject" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_are_written_by_one_python_step(spark, tmp_path):
+    def element(batches):
+        for batch in batches:
+            yield pd.DataFrame({"value": [f"<a>{i}</a>" for i in batch["id"]]})
+
+    source_queries.write_document(spark.range(0, 6, 1, 2), element, str(tmp_path / "out"), "r")
+    files = sorted(tuple(p.read_text().split()) for p in (tmp_path / "out").glob("part-*"))
+    assert files == [("<r>", "<a>0</a>", "<a>1</a>", "<a>2</a>", "</r>"), ("<r>", "<a>3</a>", "<a>4</a>", "<a>5</a>", "</r>")]
