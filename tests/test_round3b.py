@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from specengine.functions.masses import k_mass_index
 from specengine.operators import cluster as CL
 from specengine.operators import condition as C
+from specengine.operators import library as L
+from specengine.operators import mods as MO
 from specengine.plans import source_queries
 from specengine.sources import spectra as SS
 
@@ -150,3 +152,13 @@ def test_documents_are_written_by_one_python_step(spark, tmp_path):
     source_queries.write_document(spark.range(0, 6, 1, 2), element, str(tmp_path / "out"), "r")
     files = sorted(tuple(p.read_text().split()) for p in (tmp_path / "out").glob("part-*"))
     assert files == [("<r>", "<a>0</a>", "<a>1</a>", "<a>2</a>", "</r>"), ("<r>", "<a>3</a>", "<a>4</a>", "<a>5</a>", "</r>")]
+
+
+def test_residues_are_added_up_once_for_a_peptide_not_for_its_variants(spark):
+    proteins = spark.createDataFrame([("P1", "MMAYMKMEEYCMRMMMWYK"), ("P2", "QMYMK")], "protein string, sequence string")
+    library = L.build_library(proteins, mods=MO.parse_mods("15.9949@M"))
+    again = L.add_masses(library.select("sequence", "mods", F.col("nano").alias("want")))  # from the residues of every variant
+    assert library.count() > 10 and again.filter("want <> nano").count() == 0 and "_residues" not in library.columns
+    given = MO.apply_mods(proteins.select("sequence", F.lit(7).cast("long").alias("r")), MO.parse_mods("15.9949@M"), 1)
+    got = L.add_masses(given, residues="r")
+    assert got.filter(F.col("nano") != 7 + MO.mods_nano(F.col("mods"))).count() == 0 and "r" not in got.columns
