@@ -7,7 +7,7 @@ from check import compare
 from tests.test_queries import con  # noqa: F401
 
 
-@pytest.mark.parametrize("name", ["read_params"])
+@pytest.mark.parametrize("name", ["read_params", "read_taxonomy"])
 def test_documents_of_ready_text_are_written_and_read_back(spark, con, folder, name):  # noqa: F811
     status, note, _, _ = compare(spark, con, folder, name, entry.queries()[name], entry.oracle_sql()[name])
     assert status == "ok", note
