@@ -1,13 +1,57 @@
 """Queries that failed by an error, a sum or a size, held against plain forms."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from check import compare
+from specengine.operators import condition as C
+from specengine.operators import library as L
+from specengine.operators import scoring as S
+from specengine.plans import tables
 from tests.test_queries import con  # noqa: F401
+from tests.test_scores import ion_list, sequential_kscore
 
 
 @pytest.mark.parametrize("name", ["read_params", "read_taxonomy"])
 def test_documents_of_ready_text_are_written_and_read_back(spark, con, folder, name):  # noqa: F811
     status, note, _, _ = compare(spark, con, folder, name, entry.queries()[name], entry.oracle_sql()[name])
     assert status == "ok", note
+
+
+def test_ion_use_moves_neither_ions_nor_dense_vectors(spark):
+    rng = np.random.default_rng(8)
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    names = sorted({"".join(rng.choice(list(letters), rng.integers(1, 25))) for _ in range(60)})
+    library = L.add_masses(spark.createDataFrame([(n,) for n in names], "sequence string")).withColumn("mod_sequence", F.col("sequence"))
+    vectors, rows = {}, []
+    for i in range(200):
+        vector = np.zeros(int(rng.integers(1, 2600)))
+        at = rng.integers(0, len(vector), len(vector) // 4)
+        vector[at] = rng.integers(1, 99, len(at)) / 8
+        vectors[i] = vector
+        rows += [(i, int(rng.integers(1, 4)), str(p)) for p in rng.choice(names, 3, replace=False)]
+    matches = spark.createDataFrame(rows, "id long, charge int, peptide string")
+    dense = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "id long, vector array<double>")
+    sparse = spark.createDataFrame([(i, np.flatnonzero(v).astype(float).tolist(), v[v > 0].tolist()) for i, v in vectors.items()],
+                                   "id long, axis array<double>, value array<double>")
+    used = S.ion_use(matches, sparse, library)
+    plan = used._jdf.queryExecution().optimizedPlan().toString()
+    assert "ions" not in plan and "vector" not in plan
+    got = {(r.id, r.peptide): (r.b_score, r.y_score, r.b_count, r.y_count, r.matched_peaks) for r in used.collect()}
+    assert got == {(r.id, r.peptide): (r.b_score, r.y_score, r.b_count, r.y_count, r.matched_peaks)
+                   for r in S.ion_use(matches, dense, library).collect()}
+    assert len(got) == len(rows)
+    for id_, charge, peptide in rows:
+        score, count = sequential_kscore(vectors[id_], ion_list(peptide, 1 if charge == 1 else 2))
+        assert got[id_, peptide] == (pytest.approx(score["b"]), pytest.approx(score["y"]), count["b"], count["y"], count["b"] + count["y"])
+
+
+def test_sparse_and_dense_vectors_are_the_same(spark, folder):
+    scans = tables.spectra(spark, folder).limit(300)
+    rows = C.k_vectors(C.condition_spectra(scans, C.Settings(isotope_mz=150.0))).collect()
+    assert len(rows) > 20
+    for r in rows:
+        assert [(k, v) for k, v in enumerate(r.vector) if v != 0] == [(int(k), v) for k, v in zip(r.axis, r.value)]
+        assert len(r.vector) == int(r.axis[-1]) + 1
