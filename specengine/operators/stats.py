@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specengine.operators.skew import salted_join
+from specengine.session import store
 
 
 def linear_fit(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
@@ -75,3 +76,15 @@ def group_values(df: DataFrame, key: str, value: str, chunk: int = 10_000) -> Da
         "part", F.pmod(F.xxhash64("value"), F.col("_parts")))
     return placed.groupBy(key, "part").agg(
         F.sort_array(F.collect_list(F.struct("value", "n"))).alias("values"))
+
+
+def long_if_fits(df: DataFrame, *names: str) -> DataFrame:
+    """Decimal columns of few rows as LONG if every value fits, otherwise as they are.
+
+    The rows are stored, as they are read twice.
+    """
+    kept = store(df, "sums")
+    most = kept.agg(*[F.max(F.abs(F.col(n))).alias(n) for n in names]).first()
+    if any(most[n] is not None and most[n] >= 1 << 63 for n in names):
+        return kept
+    return kept.withColumns({n: F.col(n).cast("long") for n in names})

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from check import compare
+from specengine.functions import masses as M
 from specengine.operators import condition as C
+from specengine.operators import ions as I
 from specengine.operators import library as L
 from specengine.operators import scoring as S
-from specengine.plans import tables
+from specengine.plans import score_queries, tables
 from tests.test_queries import con  # noqa: F401
 from tests.test_scores import ion_list, sequential_kscore
 
@@ -55,3 +57,14 @@ def test_sparse_and_dense_vectors_are_the_same(spark, folder):
     for r in rows:
         assert [(k, v) for k, v in enumerate(r.vector) if v != 0] == [(int(k), v) for k, v in zip(r.axis, r.value)]
         assert len(r.vector) == int(r.axis[-1]) + 1
+
+
+BIG = [3 << 61, 3 << 61, 1 << 61, (1 << 20) - 1, -5]
+
+
+def test_sums_of_masses_beyond_a_long_are_exact(spark, folder, monkeypatch):
+    peptides = spark.createDataFrame([(v,) for v in BIG], "nano long")
+    assert peptides.agg(M.nano_sum(F.col("nano"))).first()[0] == sum(BIG) >= 1 << 63
+    monkeypatch.setattr(score_queries, "small_library", lambda *_: peptides)
+    got = {r.type: int(r.nano) for r in score_queries.ion_types(spark, folder).collect()}
+    assert got == {t: sum(BIG) + len(BIG) * sign * M.formula_nano(f) for t, _, _, f, sign in I.ION_TYPES}
