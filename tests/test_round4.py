@@ -68,3 +68,9 @@ def test_sums_of_masses_beyond_a_long_are_exact(spark, folder, monkeypatch):
     monkeypatch.setattr(score_queries, "small_library", lambda *_: peptides)
     got = {r.type: int(r.nano) for r in score_queries.ion_types(spark, folder).collect()}
     assert got == {t: sum(BIG) + len(BIG) * sign * M.formula_nano(f) for t, _, _, f, sign in I.ION_TYPES}
+    ions = peptides.select(F.lit(1).alias("z"), F.lit(2).alias("pos"), F.lit("b").alias("type"), "nano", F.lit(1.5).alias("mz"))
+    monkeypatch.setattr(I, "theoretical_ions", lambda *_: ions)
+    assert score_queries.theoretical_ions(spark, folder).first().nano == sum(BIG)
+    monkeypatch.setattr(I, "theoretical_ions", lambda *_: ions.filter("nano < 1L << 60"))
+    small = score_queries.theoretical_ions(spark, folder)
+    assert small.first().nano == sum(BIG[3:]) and small.schema["nano"].dataType.simpleString() == "bigint"
