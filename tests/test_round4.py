@@ -12,6 +12,7 @@ from specengine.operators import ions as I
 from specengine.operators import library as L
 from specengine.operators import scoring as S
 from specengine.plans import score_queries, tables
+from specengine.plans import search as Q
 from tests.test_queries import con  # noqa: F401
 from tests.test_scores import ion_list, sequential_kscore
 
@@ -74,3 +75,25 @@ def test_sums_of_masses_beyond_a_long_are_exact(spark, folder, monkeypatch):
     monkeypatch.setattr(I, "theoretical_ions", lambda *_: ions.filter("nano < 1L << 60"))
     small = score_queries.theoretical_ions(spark, folder)
     assert small.first().nano == sum(BIG[3:]) and small.schema["nano"].dataType.simpleString() == "bigint"
+
+
+def test_limit_sums_equal_the_pairs(spark):
+    rng = np.random.default_rng(12)
+    scans = []
+    for i in range(400):
+        z = int(rng.integers(0, 4))
+        mass = float(rng.integers(300, 5200)) + float(rng.choice([0.0, 0.6, 0.5, 0.1, rng.random()]))
+        scans.append((i, ((mass - 1.007276) / max(z, 1) + 1.007276, z, None)))
+    scans.append((400, None))
+    spectra = spark.createDataFrame(scans, "id long, precursor struct<mz:double,charge:int,intensity:double>")
+    masses = [float(m) for m in range(280, 5300)] + [float(m) for m in np.round(rng.random(6000) * 5000 + 280, 4)]
+    library = spark.createDataFrame([(f"P{i}", m, i * 10**9) for i, m in enumerate(masses)], "mod_sequence string, matching_mass double, nano long")
+    pairs = Q.limits_join(spectra, library)
+    want = {r.id: (r.n, r.nano) for r in pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("nano").alias("nano")).collect()}
+    sums = Q.limits_join(spectra, library, sums="nano")
+    assert {r.id: (r.n, r.nano) for r in sums.collect()} == want and len(want) > 380
+
+
+def test_within_limits_makes_no_pairs(spark, folder):
+    plan = score_queries.within_limits(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "mass_int" not in plan
