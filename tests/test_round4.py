@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from check import compare
 from specengine.functions import masses as M
+from specengine.functions import text as T
 from specengine.operators import condition as C
 from specengine.operators import ions as I
 from specengine.operators import library as L
 from specengine.operators import scoring as S
+from specengine.operators import text as X
+from specengine.operators.editdistance import PackedLines
 from specengine.plans import score_queries, tables
 from specengine.plans import search as Q
 from tests.test_queries import con  # noqa: F401
@@ -97,3 +100,45 @@ def test_limit_sums_equal_the_pairs(spark):
 def test_within_limits_makes_no_pairs(spark, folder):
     plan = score_queries.within_limits(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "mass_int" not in plan
+
+
+def test_packed_distances_equal_the_table():
+    rng = np.random.default_rng(3)
+    make = lambda: "".join(rng.choice(list("abcdé ß😀"), rng.choice([0, 1, 7, 8, 9, 63, 64, 65, 130])))
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    packed, lines = PackedLines(), []
+    for _ in range(60):
+        line = make()
+        if lines:
+            assert packed.distances(line).tolist() == [table(line, other) for other in lines]
+        packed.add(line)
+        lines.append(line)
+        if len(lines) > 12:
+            packed.drop()
+            lines.pop(0)
+
+
+def test_best_lines_equal_all_pairs_and_blocks_hand_on_one_match_a_line(spark):
+    rng = np.random.default_rng(21)
+    rows = []
+    for c in range(6):
+        for n in sorted(rng.choice(90, 40, replace=False).tolist()) + [91, 91]:
+            rows.append((f"c{c}", n, None if rng.random() < 0.03 else "".join(rng.choice(list("aBcÉ "), rng.integers(0, 30)))))
+    lines = spark.createDataFrame(rows, "chapter string, line_no int, line string")
+    a, b = lines.alias("a"), lines.alias("b")
+    pairs = a.join(b, (F.col("a.chapter") == F.col("b.chapter")) & (F.col("a.line_no") != F.col("b.line_no"))
+                   & (F.abs(F.col("a.line_no") - F.col("b.line_no")) <= 7))
+    want = pairs.select("a.chapter", "a.line_no", F.struct(
+        T.levenshtein_similarity(F.col("a.line"), F.col("b.line")).alias("s"), (-F.col("b.line_no")).alias("o")).alias("m")).groupBy(
+        "chapter", "line_no").agg(F.max("m").alias("m")).select("chapter", "line_no", -F.col("m.o"), "m.s").collect()
+    got = X.best_line_match(lines, 7)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want))) and len(want) > 200
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
