@@ -8,12 +8,15 @@ import __spark_entry__ as entry
 from check import compare
 from specengine.functions import masses as M
 from specengine.functions import text as T
+from specengine.operators import blocks as B
 from specengine.operators import condition as C
 from specengine.operators import ions as I
+from specengine.operators import joins as J
 from specengine.operators import library as L
 from specengine.operators import scoring as S
 from specengine.operators import text as X
 from specengine.operators.editdistance import PackedLines
+from specengine.operators.mods import residue_masses
 from specengine.plans import score_queries, tables
 from specengine.plans import search as Q
 from tests.test_queries import con  # noqa: F401
@@ -142,3 +145,27 @@ def test_best_lines_equal_all_pairs_and_blocks_hand_on_one_match_a_line(spark):
     got = X.best_line_match(lines, 7)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want))) and len(want) > 200
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_crowded_bins_are_cut_so_that_few_rows_are_copied():
+    n_left, n_right = np.zeros(100, int), np.zeros(100, int)
+    n_left[50], n_right[50] = 30_000, 70_000
+    plan = B.plan_blocks(n_left, n_right, 1.2)
+    a, b = int(plan.left_parts[plan.block[50]]), int(plan.right_parts[plan.block[50]])
+    assert 30_000 * 70_000 / (a * b) <= 5_000_000 and 30_000 / a <= B.ROWS_PER_BLOCK and 70_000 / b <= B.ROWS_PER_BLOCK
+    assert 30_000 * b + 70_000 * a < 2_300_000  # cutting one side alone copies 12.7 million rows
+
+
+def test_a_peptide_goes_to_its_blocks_by_its_letters(spark):
+    mods = "array<struct<pos:int,nano:bigint>>"
+    rows = [("PEPTIDEK", "PEPTIDEK", []), ("M[15.9949]KC", "MKC", [(1, 15_994_900_000), (3, 5)]), ("WxW", "WxW", None), ("ACD", "ACD", [(3, 7), (3, 8)])]
+    library = spark.createDataFrame(rows, f"mod_sequence string, sequence string, mods {mods}")
+    want = library.select(residue_masses(F.col("sequence"), F.col("mods")).alias("m")).collect()
+    table = library.select("mod_sequence", F.when(F.col("sequence") != F.col("mod_sequence"), F.col("sequence")).alias("sequence"), "mods").toArrow()
+    residues, at, letters = S._residues(table)
+    assert letters.tobytes() == b"PEPTIDEKMKCWxWACD"
+    assert [residues[a:b].tolist() for a, b in zip(at, at[1:])] == [[m or 0 for m in r.m] for r in want]
+    scans = spark.createDataFrame([(1, (500.0, 1, None), [(200.0, 4.0), (300.0, 9.0)])],
+                                  "id long, precursor struct<mz:double,charge:int,intensity:double>, peaks array<struct<mz:double,intensity:double>>")
+    plan = S.score_spectra(scans, library.withColumn("matching_mass", F.lit(500.0)), J.BINS, "morpheus")
+    assert "residues" not in plan._jdf.queryExecution().optimizedPlan().toString()
