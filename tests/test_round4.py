@@ -14,11 +14,13 @@ from specengine.operators import ions as I
 from specengine.operators import joins as J
 from specengine.operators import library as L
 from specengine.operators import scoring as S
+from specengine.operators import skew as SK
 from specengine.operators import text as X
 from specengine.operators.editdistance import PackedLines
 from specengine.operators.mods import residue_masses
 from specengine.plans import score_queries, tables
 from specengine.plans import search as Q
+from specengine.sinks import reports as R
 from tests.test_queries import con  # noqa: F401
 from tests.test_scores import ion_list, sequential_kscore
 
@@ -169,3 +171,11 @@ def test_a_peptide_goes_to_its_blocks_by_its_letters(spark):
                                   "id long, precursor struct<mz:double,charge:int,intensity:double>, peaks array<struct<mz:double,intensity:double>>")
     plan = S.score_spectra(scans, library.withColumn("matching_mass", F.lit(500.0)), J.BINS, "morpheus")
     assert "residues" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_join_without_hot_keys_is_a_plain_one(spark):
+    left, right = spark.range(500).withColumn("l", F.col("id") * 2), spark.range(100).withColumn("r", F.col("id") * 3)
+    joined = SK.salted_join(left, right, ["id"])
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "explode" not in plan and joined.columns == ["id", "l", "r"]
+    assert sorted(joined.collect()) == sorted(left.join(right, "id").collect())
