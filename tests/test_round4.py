@@ -179,3 +179,15 @@ def test_a_join_without_hot_keys_is_a_plain_one(spark):
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "explode" not in plan and joined.columns == ["id", "l", "r"]
     assert sorted(joined.collect()) == sorted(left.join(right, "id").collect())
+
+
+def test_report_pieces_count_the_proteins_once(spark, monkeypatch):
+    made, counted = [], R.protein_counts
+    monkeypatch.setattr(R, "protein_counts", lambda *args: made.append(1) or counted(*args))
+    results = spark.createDataFrame([(1, 2, 500.0, 0.0, 1, "PEPK", 9.0, 3.0, 0.1, 4, 1.0, 2.0, 499.5)],
+                                    "id long, charge int, precursor_mass double, rt_sec double, rank int, peptide string, hyperscore double, "
+                                    "next_hyperscore double, expect double, matched_peaks int, b_score double, y_score double, calc_mass double")
+    members = spark.createDataFrame([("PEPK", f"P{i}") for i in range(25)] + [("OTHER", "P1")], "peptide string, protein string")
+    text = "".join(r.value for r in R.pepxml_pieces(results, members, 10).orderBy("id", "rank", "place", "part").collect())
+    assert len(made) == 1 and text.count("<alternative_protein") == 24 and 'protein="P0" num_tot_proteins="25"' in text
+    assert sum(len(r.proteins) for r in R.psm_report(results, members).collect()) == 25
