@@ -78,9 +78,9 @@ def test_sums_of_masses_beyond_a_long_are_exact(spark, folder, monkeypatch):
     got = {r.type: int(r.nano) for r in score_queries.ion_types(spark, folder).collect()}
     assert got == {t: sum(BIG) + len(BIG) * sign * M.formula_nano(f) for t, _, _, f, sign in I.ION_TYPES}
     ions = peptides.select(F.lit(1).alias("z"), F.lit(2).alias("pos"), F.lit("b").alias("type"), "nano", F.lit(1.5).alias("mz"))
-    monkeypatch.setattr(I, "theoretical_ions", lambda *_: ions)
+    monkeypatch.setattr(I, "theoretical_ions", lambda *_, **__: ions)
     assert score_queries.theoretical_ions(spark, folder).first().nano == sum(BIG)
-    monkeypatch.setattr(I, "theoretical_ions", lambda *_: ions.filter("nano < 1L << 60"))
+    monkeypatch.setattr(I, "theoretical_ions", lambda *_, **__: ions.filter("nano < 1L << 60"))
     small = score_queries.theoretical_ions(spark, folder)
     assert small.first().nano == sum(BIG[3:]) and small.schema["nano"].dataType.simpleString() == "bigint"
 
@@ -191,3 +191,20 @@ def test_report_pieces_count_the_proteins_once(spark, monkeypatch):
     text = "".join(r.value for r in R.pepxml_pieces(results, members, 10).orderBy("id", "rank", "place", "part").collect())
     assert len(made) == 1 and text.count("<alternative_protein") == 24 and 'protein="P0" num_tot_proteins="25"' in text
     assert sum(len(r.proteins) for r in R.psm_report(results, members).collect()) == 25
+
+
+def test_ions_of_many_peptides_equal_those_of_a_row(spark):
+    rng = np.random.default_rng(31)
+    rows = [("".join(rng.choice(list("ACDEFGHIKLMNPQRSTVWYBX"), rng.integers(1, 30))), []) for _ in range(80)]
+    rows += [("", []), (None, None), ("MKC", [(1, 15_994_900_000), (3, 5)]), ("P", []), ("AP", None)]
+    peptides = spark.createDataFrame([(f"n{i}", *r) for i, r in enumerate(rows)], "mod_sequence string, sequence string, mods array<struct<pos:int,nano:bigint>>")
+    plain = I.with_ions(peptides).select(F.col("mod_sequence").alias("peptide"), F.explode_outer("ions").alias("ion")).select("peptide", "ion.*")
+    got = I.theoretical_ions(peptides)
+    assert got.columns == plain.columns and got.dtypes == plain.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    # Beyond a letter that is no residue nothing is known.
+    unknown = I.theoretical_ions(spark.createDataFrame([("PxK",)], "sequence string"), 1).collect()
+    assert [(r.pos, r.type, r.nano is None) for r in unknown] == [(1, "b", False), (1, "y", True), (2, "b", True), (2, "y", True), (3, "b", True)]
+    few = I.theoretical_ions(peptides, fields=("type", "weight"))
+    assert few.columns == ["type", "weight"] and few.count() == plain.count()
+    assert "flatten" not in few._jdf.queryExecution().optimizedPlan().toString()
